@@ -20,7 +20,7 @@ def feed_stream(
 ) -> DataFrame:
     """Articles of feed files as they land. Event time is arrival time, so an old article seen for
     the first time is not late."""
-    raw = spark.readStream.schema(RAW_FEEDS).option("wholetext", True).text(folder)
+    raw = spark.readStream.schema(RAW_FEEDS).text(folder, wholetext=True)
     stamped = raw.select(
         "value", "feed_rank", "fetch", F.col("_metadata.file_modification_time").alias("ingest_ts")
     )

@@ -26,6 +26,7 @@ from tidings.sources.feeds import dedup_key, parse_feeds, read_feeds
 from tidings.sources.labels import label_lines
 from tidings.sources.tables import (
     FILE_ORDER,
+    drop_blank_titles,
     profile,
     read_articles_csv,
     read_corpus,
@@ -37,7 +38,6 @@ from tidings.sources.tables import (
 from tidings.streaming.refresh import (
     batch_folder,
     feed_stream,
-    first_seen,
     ingest,
     rolling_latest,
 )
@@ -87,14 +87,14 @@ def newest_summaries(spark, sf):
 
 FEED_SQL = f"""WITH {S.ARTICLES},
     found AS (
-      SELECT a.*, p.html, a.entry_index // {V.DOCS_PER_FETCH} AS fetch,
+      SELECT a.*, p.html, a.entry_index // {V.DOCS_PER_FETCH} AS fetch_no,
              row_number() OVER (
                PARTITION BY feed_rank, a.entry_index // {V.DOCS_PER_FETCH} ORDER BY entry_index
              ) - 1 AS position
       FROM arts a LEFT JOIN pages p ON p.page_id = a.entry_index
     )
     SELECT source, CAST(feed_rank AS BIGINT) AS feed_rank,
-           fetch * 4294967296 + position AS entry_index, {S.clean('title')} AS title, link,
+           fetch_no * 4294967296 + position AS entry_index, {S.clean('title')} AS title, link,
            {S.clean('coalesce(html, description)')} AS description,
            strftime(CAST(nullif(published, '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS published_ts,
            md5(coalesce(nullif(link, ''), {S.clean('title')})) AS article_id
@@ -202,8 +202,6 @@ def keyed_articles(spark, sf):
     f"WITH {S.ARTICLES} SELECT article_id, title FROM arts WHERE {S.strip('title')} <> ''"
 )
 def titled_articles(spark, sf):
-    from tidings.sources.tables import drop_blank_titles
-
     return drop_blank_titles(V.articles(spark, sf)).select("article_id", "title")
 
 
@@ -1054,18 +1052,14 @@ def stream_ingest(spark, sf):
 
 
 @query(
-    f"""WITH {S.ARTICLES}
-    SELECT strftime(CAST(nullif(published, '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS published_ts
-    FROM arts
-    QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(link, ''), {S.clean('title')})
-                               ORDER BY feed_rank, entry_index) = 1
-    ORDER BY published_ts DESC NULLS LAST LIMIT 30"""
+    f"""SELECT * FROM ({FEED_SQL}) ORDER BY published_ts DESC NULLS LAST, feed_rank, entry_index
+    LIMIT 30"""
 )
 def stream_latest(spark, sf):
     run = scratch_path(spark, "latest")
     articles = feed_stream(spark, landed(spark, sf), V.feed_catalog())
-    writer = rolling_latest(first_seen(articles), f"{run}/newest", f"{run}/checkpoint")
+    writer = rolling_latest(articles, f"{run}/newest", f"{run}/checkpoint")
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
     newest = batch_folder(f"{run}/newest", running.lastProgress["batchId"])
-    return spark.read.parquet(newest).select(stamp("published_ts"))
+    return _feed_columns(spark.read.schema(articles.schema).parquet(newest))
