@@ -124,7 +124,11 @@ SINGLE_PROMPT = (
     "Each line should be <= 22 words and fact-focused.\n\n"
 )
 
-# Character classes (Unicode white space and line boundaries).
+# White space of Unicode text, as characters and as a pattern, and line boundaries.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )

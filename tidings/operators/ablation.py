@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
+from tidings.functions.once import with_once
+from tidings.functions.text import bind
 from tidings.operators.labelling import (
     Scorer,
-    bind,
     fill,
     literal_strings,
     overlap_scorer,
@@ -79,15 +80,13 @@ def predictions_by_template(
     logits = (scorer or overlap_scorer())(text, every)
     width = len(names)
     starts = F.array(*(F.lit(place * width + 1) for place in range(len(catalog))))
-    return df.withColumn(
-        "yhats",
-        bind(
-            logits,
-            lambda xs: F.transform(
-                starts, lambda start: best_label(F.slice(xs, start, F.lit(width)), names)
-            ),
+    best = bind(
+        logits,
+        lambda xs: F.transform(
+            starts, lambda start: best_label(F.slice(xs, start, F.lit(width)), names)
         ),
     )
+    return with_once(df, yhats=best)
 
 
 def ablate(
@@ -104,10 +103,9 @@ def ablate(
     """
     catalog = fixed.TEMPLATES if templates is None else templates
     judged = predictions_by_template(pairs, labels, catalog, phrases, scorer)
-    hits = judged.select(F.transform("yhats", lambda yhat: yhat == F.col("y")).alias("hit"))
-    counted = hits.agg(
+    counted = judged.agg(
         *(
-            F.count_if(F.get("hit", F.lit(place))).alias(f"hits{place}")
+            F.count_if(F.get("yhats", F.lit(place)) == F.col("y")).alias(f"hits{place}")
             for place in range(len(catalog))
         ),
         F.count(F.lit(1)).alias("total"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidings import fixed_values as fixed
 from tidings.functions.text import contains_any, strip
 from tidings.operators.articles import head_in_order
-from tidings.operators.positions import with_position
+from tidings.operators.positions import rejoin, with_position
 from tidings.sources.labels import Label, checked
 from tidings.sources.tables import FILE_ORDER
 
@@ -96,9 +96,10 @@ def shuffle_rows(
     df: DataFrame, seed: int = fixed.SAMPLE_SEED, id_column: str = "article_id"
 ) -> DataFrame:
     """All rows in a repeatable random order, numbered from 1 in ``shuffle_pos``."""
-    keyed = df.withColumn("_key", seeded_key(seed, id_column))
+    narrow = df.select(id_column, seeded_key(seed, id_column).alias("_key"))
     order = [F.col("_key").asc(), F.col(id_column).asc()]
-    return with_position(keyed, [], order, "shuffle_pos").drop("_key")
+    placed = with_position(narrow, [], order, "shuffle_pos").drop("_key")
+    return rejoin(df, placed, id_column)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

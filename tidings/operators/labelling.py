@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidings import fixed_values as fixed
 from tidings.functions import text as T
+from tidings.functions.once import with_once
+from tidings.functions.text import bind
 from tidings.operators.articles import recency
 from tidings.operators.positions import with_position
 from tidings.sources.labels import Label, checked, label_table
@@ -28,14 +30,6 @@ def literal_strings(values: list[str]) -> Column:
     return F.array(*(F.lit(value) for value in values))
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``use``.
-
-    A plain column used inside an array lambda is evaluated again for every element.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def overlap_counts(premise: Column, hypotheses: list[str]) -> Column:
     """Share of each hypothesis's distinct words found in the premise.
 
@@ -125,7 +119,7 @@ def score_labels(
     names = [label.label for label in checked(labels)]
     text = article_premise() if premise is None else premise
     logits = (scorer or overlap_scorer())(text, fill(template, names))
-    return df.withColumn("scores", ranked_labels(softmax(logits), names))
+    return with_once(df, scores=ranked_labels(softmax(logits), names))
 
 
 def map_display(df: DataFrame, labels: list[Label]) -> DataFrame:
@@ -173,7 +167,9 @@ def hypotheses(
             for rank, label in enumerate(checked(labels))
         )
     )
-    return df.select("article_id", article_premise().alias("premise"), F.inline(pairs))
+    # Two steps: the premise is built per article, not per hypothesis.
+    texts = df.select("article_id", article_premise().alias("premise"))
+    return texts.select("*", F.inline(pairs))
 
 
 def attach_predictions(articles: DataFrame, predictions: DataFrame) -> DataFrame:

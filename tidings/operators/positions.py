@@ -2,8 +2,8 @@
 
 A plain window puts a whole group into one task. Here the rows are range-partitioned on group and
 order, so a large group spreads over many partitions; each partition is scanned on its own and
-shifted by what the partitions before it hold. Frames should be narrow: they are range-shuffled
-and written once.
+shifted by what the partitions before it hold. Frames are written, range-shuffled and written
+again, so callers pass keys and order columns only and join the result back by ``rejoin``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ ROW_BITS = 33
 def _lay_out(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """``df`` sorted over its range partitions, with the place of each row; written once."""
     keys = [F.col(name).asc_nulls_first() for name in by] + order
-    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # Range partitioning reads its input twice, once to sample it, so that is written first.
+    sorted_rows = pin(df, "unplaced").repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = pin(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "positions")
     return placed.select(
         *df.columns,
@@ -59,6 +60,14 @@ def _join_segments(rows: DataFrame, segments: DataFrame, by: list[str]) -> DataF
     return rows.join(segments, on).drop(*names.values())
 
 
+def rejoin(df: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """Bring the columns added to a narrow frame back to ``df``; ``key`` is unique on both sides."""
+    added = [name for name in placed.columns if name not in df.columns]
+    if set(df.columns) <= set(placed.columns):
+        return placed.select(*df.columns, *added)
+    return df.join(placed.select(key, *added), key).select(*df.columns, *added)
+
+
 def with_position(
     df: DataFrame, by: list[str], order: list[Column], name: str = "position"
 ) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
 from tidings.functions import replies as R
 from tidings.functions import text as T
 from tidings.operators.articles import recency
-from tidings.operators.positions import paced_starts, with_position
+from tidings.operators.positions import paced_starts, rejoin, with_position
 
 # A responder turns requests into responses, for example by calling a service from each task.
 Responder = Callable[[DataFrame], DataFrame]
@@ -159,25 +159,27 @@ def error_classes(responses: DataFrame) -> DataFrame:
     return responses.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def arrival_order() -> list[Column]:
-    return [F.col("arrival_ts").asc(), F.col("request_id").asc()]
+ARRIVAL = ["api_key_id", "arrival_ts", "request_id"]
 
 
 def quota(requests: DataFrame, per_day: int = fixed.REQUESTS_PER_DAY) -> DataFrame:
     """Mark the first ``per_day`` requests of each key and UTC day as admitted; 0 is no limit."""
     if per_day <= 0:
         return requests.withColumn("admitted", F.lit(True))
-    dated = requests.withColumn("_day", F.to_date("arrival_ts"))
-    placed = with_position(dated, ["api_key_id", "_day"], arrival_order(), "_nth")
-    return placed.withColumn("admitted", F.col("_nth") <= per_day).drop("_day", "_nth")
+    dated = requests.select(*ARRIVAL, F.to_date("arrival_ts").alias("_day"))
+    order = [F.col("arrival_ts").asc(), F.col("request_id").asc()]
+    placed = with_position(dated, ["api_key_id", "_day"], order, "_nth")
+    admitted = (F.col("_nth") <= per_day).alias("admitted")
+    return rejoin(requests, placed.select(*ARRIVAL, admitted), "request_id")
 
 
-def pace(requests: DataFrame, per_minute: int = fixed.REQUESTS_PER_MINUTE) -> DataFrame:
+def pace(requests: DataFrame, per_minute: float = fixed.REQUESTS_PER_MINUTE) -> DataFrame:
     """Start time of each request when those of a key are at least 60/``per_minute`` s apart."""
     if per_minute <= 0:
         raise ValueError("per_minute must be positive")
-    timed = requests.withColumn("_arrival", F.unix_micros("arrival_ts"))
-    paced = paced_starts(
-        timed, ["api_key_id"], arrival_order(), "_arrival", round(60_000_000 / per_minute)
-    )
-    return paced.withColumn("start_ts", F.timestamp_micros("start")).drop("_arrival", "start")
+    gap = round(60_000_000 / per_minute)
+    timed = requests.select(*ARRIVAL, F.unix_micros("arrival_ts").alias("_arrival"))
+    order = [F.col("_arrival").asc(), F.col("request_id").asc()]
+    paced = paced_starts(timed, ["api_key_id"], order, "_arrival", gap)
+    started = paced.select(*ARRIVAL, F.timestamp_micros("start").alias("start_ts"))
+    return rejoin(requests, started, "request_id")

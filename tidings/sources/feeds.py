@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
+from tidings.functions.once import with_once
 from tidings.functions.text import clean_text, or_else, strip
 from tidings.functions.times import published_time
 from tidings.sources.schemas import FEED_DOCUMENT, RAW_FEEDS
@@ -70,15 +71,18 @@ def normalize_entries(entries: DataFrame, feeds: list[tuple[str, str]]) -> DataF
     """Feed entries to articles. Only an absent title becomes "Untitled", an empty one stays."""
     published = or_else(F.col("published"), F.coalesce("updated", F.lit("")))
     extra = [name for name in entries.columns if name == "ingest_ts"]
-    cleaned = entries.select(
+    text = with_once(
+        entries,
+        clean_title=clean_text(F.coalesce("title", F.lit(fixed.UNTITLED))),
+        clean_description=clean_text(or_else(F.col("summary"), F.coalesce("description", F.lit("")))),
+    )
+    cleaned = text.select(
         source_name(F.col("feed_rank"), feeds).alias("source"),
         "feed_rank",
         (F.col("fetch") * FETCH_STRIDE + F.col("position")).alias("entry_index"),
-        clean_text(F.coalesce("title", F.lit(fixed.UNTITLED))).alias("title"),
+        F.col("clean_title").alias("title"),
         strip(F.coalesce("link", F.lit(""))).alias("link"),
-        clean_text(or_else(F.col("summary"), F.coalesce("description", F.lit("")))).alias(
-            "description"
-        ),
+        F.col("clean_description").alias("description"),
         published.alias("published"),
         published_time(F.col("published"), F.col("updated")).alias("published_ts"),
         *extra,

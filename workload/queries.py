@@ -584,12 +584,12 @@ def category_buckets(spark, sf):
 
 DIGEST_SQL = f"""WITH {S.MATCHED},
     blocks AS (
-      SELECT recipient, number,
+      SELECT m.recipient, m.number,
              number || '. ' || title || ' (' || category || ', ' || source || ')' || chr(10)
                || array_to_string(list_transform(
                     string_split({S.fallback(S.DETAILS)}, chr(10)), lambda s: '   ' || s), chr(10))
                || chr(10) AS block
-      FROM matched
+      FROM matched m JOIN tagged t ON t.article_id = m.article_id
     ),
     bodies AS (
       SELECT recipient, string_agg(block, chr(10) ORDER BY number) AS middle, count(*) AS n
