@@ -169,7 +169,7 @@ MATCHED = f"""
 {TAGGED},
 {RECIPIENTS},
 wanted AS (SELECT recipient, max_articles, unnest(categories) AS category FROM recipients),
-leading AS (
+tops AS (
   SELECT article_id, category, published_ts, feed_rank, entry_index FROM tagged
   QUALIFY row_number() OVER (PARTITION BY category ORDER BY {RECENCY})
     <= (SELECT max(max_articles) FROM recipients)
@@ -179,7 +179,7 @@ matched AS (
          row_number() OVER (PARTITION BY w.recipient
                             ORDER BY t.published_ts DESC NULLS LAST, t.feed_rank, t.entry_index)
            AS number
-  FROM wanted w JOIN leading t ON t.category = w.category
+  FROM wanted w JOIN tops t ON t.category = w.category
   QUALIFY number <= w.max_articles
 )"""
 
