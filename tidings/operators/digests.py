@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import text as T
 from tidings.operators.articles import recency, with_summary
+from tidings.session import pin
 
 CHOICE = ["categories", "max_articles"]
 
@@ -31,31 +32,40 @@ def most_articles(recipients: DataFrame) -> int:
     return recipients.agg(F.coalesce(F.max("max_articles"), F.lit(0))).first()[0]
 
 
-def match_choices(tagged: DataFrame, recipients: DataFrame) -> DataFrame:
+ENTRY = ["article_id", "category", "published_ts", "feed_rank", "entry_index"]
+
+
+def match_choices(leading: DataFrame, recipients: DataFrame) -> DataFrame:
     """Articles of every distinct choice of categories and size, with ``number`` 1, 2, ...
 
     The articles depend on the choice alone, so recipients with the same choice share the work.
+    ``leading`` holds the newest articles of each category, enough for the largest digest.
     """
-    keep = ["article_id", "category", "published_ts", "feed_rank", "entry_index"]
-    leading = leading_articles(tagged.select(*keep), most_articles(recipients))
     choices = with_choice(recipients).select(*CHOICE).distinct()
     wanted = choices.select(*CHOICE, F.explode("categories").alias("category"))
     number = F.row_number().over(Window.partitionBy(*CHOICE).orderBy(*recency()))
     return (
-        wanted.join(leading, "category")
+        wanted.join(leading.select(*ENTRY), "category")
         .withColumn("number", number)
         .where(F.col("number") <= F.col("max_articles"))
         .select(*CHOICE, "number", "article_id")
     )
 
 
+def _per_choice(matched: DataFrame, value: str) -> DataFrame:
+    """One row per choice with its ``entries`` in order, at most ``max_articles`` of them.
+
+    Written out, so that Spark knows its size when it joins the recipients: it is broadcast while
+    small, and beyond that a choice shared by very many recipients is split as a skewed join.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("number", value)))
+    return pin(matched.groupBy(*CHOICE).agg(entries.alias("entries")), "choices")
+
+
 def match_recipients(tagged: DataFrame, recipients: DataFrame) -> DataFrame:
     """Recipient, ``number`` and article of every digest entry."""
-    per_choice = (
-        match_choices(tagged, recipients)
-        .groupBy(*CHOICE)
-        .agg(F.array_sort(F.collect_list(F.struct("number", "article_id"))).alias("entries"))
-    )
+    leading = leading_articles(tagged.select(*ENTRY), most_articles(recipients))
+    per_choice = _per_choice(match_choices(leading, recipients), "article_id")
     return (
         with_choice(recipients)
         .join(per_choice, CHOICE)
@@ -84,27 +94,20 @@ def digests(
 
     Recipients without a matching article get greeting and sign-off only.
     """
-    matched = match_choices(tagged, recipients)
-    used = tagged.join(matched.select("article_id").distinct(), "article_id", "left_semi")
-    blocks = with_summary(used).select(
-        "article_id",
-        T.digest_block(
-            F.col("title"), F.col("category"), F.col("source"), F.col("summary")
-        ).alias("block"),
-    )
-    # A list holds at most max_articles blocks.
-    listed = (
-        matched.join(blocks, "article_id")
-        .groupBy(*CHOICE)
-        .agg(F.array_sort(F.collect_list(F.struct("number", "block"))).alias("blocks"))
-    )
+    block = T.digest_block(F.col("title"), F.col("category"), F.col("source"), F.col("summary"))
+    # The texts are cut down to their blocks before the first shuffle. What is left, the newest few
+    # of each category, is written out since two steps use it.
+    blocks = with_summary(tagged).select(*ENTRY, block.alias("block"))
+    leading = pin(leading_articles(blocks, most_articles(recipients)), "leading")
+    matched = match_choices(leading, recipients)
+    listed = _per_choice(matched.join(leading.select("article_id", "block"), "article_id"), "block")
     line = T.subject_line(subject, as_of)
     greeting = F.concat(F.lit("Hi "), F.col("recipient"), F.lit(","))
     top = F.array(
         line, F.lit(""), greeting, F.lit(""), F.lit("Here are your top updates today:"), F.lit("")
     )
     bottom = F.array(F.lit(""), F.lit("Regards,"), F.lit(sign_off))
-    middle = F.coalesce(numbered_blocks(F.col("blocks")), F.array().cast("array<string>"))
+    middle = F.coalesce(numbered_blocks(F.col("entries")), F.array().cast("array<string>"))
     return (
         with_choice(recipients)
         .join(listed, CHOICE, "left")
@@ -112,6 +115,6 @@ def digests(
             "recipient",
             line.alias("subject"),
             F.array_join(F.concat(top, middle, bottom), "\n").alias("body"),
-            F.coalesce(F.size("blocks"), F.lit(0)).cast("bigint").alias("n_articles"),
+            F.coalesce(F.size("entries"), F.lit(0)).cast("bigint").alias("n_articles"),
         )
     )

@@ -12,6 +12,7 @@ from tidings.functions import replies as R
 from tidings.functions import text as T
 from tidings.operators.articles import recency
 from tidings.operators.positions import paced_starts, rejoin, with_position
+from tidings.session import pin
 
 # A responder turns requests into responses, for example by calling a service from each task.
 Responder = Callable[[DataFrame], DataFrame]
@@ -142,10 +143,12 @@ def summarize(
     articles: DataFrame, k: int, first: Responder, second: Responder
 ) -> DataFrame:
     """Articles with summaries from two responders, the second standing in for the first."""
-    requests = pack_requests(articles, k)
+    requests = pin(pack_requests(articles, k), "requests")
     outgoing = requests.select("request_id", "payload")
-    answered = coalesce_responses(
-        outgoing.select("request_id"), first(outgoing), second(outgoing)
+    # Replies are costly to get, so they are written before they are used.
+    answered = pin(
+        coalesce_responses(outgoing.select("request_id"), first(outgoing), second(outgoing)),
+        "replies",
     )
     return attach_summaries(articles, request_members(requests), parse_replies(answered))
 

@@ -10,6 +10,7 @@ from tidings.operators.ablation import ablate
 from tidings.operators.corpus import prepare_eval
 from tidings.operators.labelling import Scorer, classify
 from tidings.operators.metrics import class_report, confusion, report_averages
+from tidings.session import pin
 from tidings.sources.labels import Label
 from tidings.sources.tables import resolve_columns
 
@@ -36,8 +37,12 @@ def predict(
 def evaluate(
     pairs: DataFrame, labels: list[Label], scorer: Scorer | None = None
 ) -> dict[str, DataFrame]:
-    """Class report, averages, confusion matrix and ablation of a corpus."""
-    preds = predict(pairs, labels, scorer=scorer)
+    """Class report, averages, confusion matrix and ablation of a corpus.
+
+    Predictions are written once, without the texts, and shared by the metrics.
+    """
+    scored = predict(pairs, labels, scorer=scorer)
+    preds = pin(scored.select("y", "yhat", "confidence"), "predictions")
     return {
         "class_report": class_report(preds),
         "averages": report_averages(preds),
