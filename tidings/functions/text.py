@@ -118,9 +118,14 @@ def premise(title: Column, description: Column) -> Column:
     return strip(F.concat(title, F.lit(". "), F.coalesce(description, F.lit(""))))
 
 
+def word_pieces(text: Column) -> Column:
+    """Lower-case words of a text; the first or last piece may be empty."""
+    return F.split(F.lower(text), WORD_GAP)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
+    return F.array_remove(word_pieces(text), "")
 
 
 def label_name(label: Column) -> Column:

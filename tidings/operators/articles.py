@@ -13,6 +13,8 @@ from tidings.sources.feeds import dedup_key
 from tidings.sources.tables import FILE_ORDER
 
 FIRST_SEEN = ["feed_rank", "entry_index"]
+# Chosen rows up to this many are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def recency() -> list[Column]:
@@ -55,11 +57,14 @@ def newest_unique(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
     """The newest ``n`` articles after deduplication.
 
     Keys and times alone decide, so only they are shuffled; descriptions are fetched for the ``n``
-    rows that stay, a number fixed by the caller, which makes the broadcast safe.
+    rows that stay. Two numbers per row make a small ``n`` safe to broadcast; for a large one Spark
+    picks the join.
     """
     narrow = df.select("link", "title", "published_ts", *FIRST_SEEN)
     chosen = latest(dedup_first_seen(narrow), n).select(*FIRST_SEEN)
-    return df.join(F.broadcast(chosen), FIRST_SEEN, "left_semi").orderBy(*recency())
+    if n <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
+    return df.join(chosen, FIRST_SEEN, "left_semi").orderBy(*recency())
 
 
 def head_in_order(df: DataFrame, n: int, order: list[str] = FILE_ORDER) -> DataFrame:

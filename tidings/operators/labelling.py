@@ -30,14 +30,14 @@ def literal_strings(values: list[str]) -> Column:
     return F.array(*(F.lit(value) for value in values))
 
 
-def overlap_counts(premise: Column, hypotheses: list[str]) -> Column:
+def overlap_shares(premise: Column, hypotheses: list[str]) -> Column:
     """Share of each hypothesis's distinct words found in the premise.
 
     The premise is reduced to words that occur in some hypothesis first, so a long text is searched
     once and not once per hypothesis.
     """
     words = F.array(*(F.array_distinct(T.tokens(F.lit(text))) for text in hypotheses))
-    known = F.array_intersect(T.tokens(premise), F.array_distinct(F.flatten(words)))
+    known = F.array_intersect(T.word_pieces(premise), F.array_distinct(F.flatten(words)))
     return bind(
         known,
         lambda found: F.transform(
@@ -50,7 +50,7 @@ def overlap_scorer(scale: float = 10.0) -> Scorer:
     """Deterministic scorer that needs no model."""
 
     def score(premise: Column, hypotheses: list[str]) -> Column:
-        return F.transform(overlap_counts(premise, hypotheses), lambda share: share * scale)
+        return F.transform(overlap_shares(premise, hypotheses), lambda share: share * scale)
 
     return score
 

@@ -371,7 +371,7 @@ def category_totals(spark, sf):
     FROM placed"""
 )
 def provider_fallback(spark, sf):
-    packed = V.batch_requests(spark, sf)
+    packed = V.sent_requests(spark, sf)
     first, second = V.batch_replies(spark, sf, packed)
     outgoing = packed.select("request_id", "batch")
     return Q.coalesce_responses(outgoing, first, second).select(
@@ -397,7 +397,7 @@ ANSWERED = f"""{S.ARTICLES}, {S.PLACED},
     FROM answered"""
 )
 def attached_summaries(spark, sf):
-    packed = V.batch_requests(spark, sf)
+    packed = V.sent_requests(spark, sf)
     first, second = V.batch_replies(spark, sf, packed)
     answered = Q.coalesce_responses(packed.select("request_id"), first, second)
     filled = Q.attach_summaries(
@@ -412,7 +412,7 @@ def attached_summaries(spark, sf):
     FROM answered WHERE reply IS NOT NULL"""
 )
 def reply_summaries(spark, sf):
-    packed = V.batch_requests(spark, sf)
+    packed = V.sent_requests(spark, sf)
     first, second = V.batch_replies(spark, sf, packed)
     outgoing = packed.select("request_id", "batch")
     answered = Q.coalesce_responses(outgoing, first, second)

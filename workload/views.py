@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidings.operators.labelling import classify
 from tidings.operators.requests import pack_requests, request_members
 from tidings.plans.evaluation import eval_pairs, predict
+from tidings.session import pin
 from tidings.sources.labels import Label
 
 LABELS = [Label("en", "EN"), Label("fr", "FR"), Label("es", "ES"), Label("de", "DE")]
@@ -172,6 +173,11 @@ def batch_requests(spark: SparkSession, sf: str) -> DataFrame:
     return pack_requests(articles(spark, sf), BATCH)
 
 
+def sent_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of the packed requests, written once since requests and replies both use them."""
+    return pin(batch_requests(spark, sf).select("request_id", "batch", "members"), "sent")
+
+
 def batch_replies(
     spark: SparkSession, sf: str, packed: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
