@@ -74,3 +74,17 @@ def test_union_fills_missing_columns(spark):
     b = spark.createDataFrame([("2", "y")], "article_id string, link string")
     got = {tuple(row) for row in N.union_articles(a, b).collect()}
     assert got == {("1", "x", None), ("2", None, "y")}
+
+
+def test_head_in_file_order(spark, tmp_path):
+    """Rows come in file order across files and splits, whatever the number asked for."""
+    from tidings.sources.tables import read_csv
+
+    for name, start in (("a", 0), ("b", 100), ("c", 200)):
+        lines = "".join(f"{i}\n" for i in range(start, start + 100))
+        (tmp_path / f"{name}.csv").write_text("n\n" + lines)
+    table = read_csv(spark, str(tmp_path), multi_line=False).withColumn("n", F.col("n").cast("int"))
+    odd = table.where("n % 2 = 1")
+    for n in (1, 60, 110, 500):
+        got = sorted(row["n"] for row in N.head_in_order(odd, n).collect())
+        assert got == list(range(1, 300, 2))[:n]

@@ -8,7 +8,7 @@ from tidings.operators import digests as D
 from tidings.operators import requests as Q
 from tidings.sources.schemas import ARTICLES
 
-BODY = """Subject: Your Daily Briefing (05 Jan 2024)
+BODY = """Subject: Your News Digest (05 Jan 2024)
 
 Hi Ann,
 
@@ -25,7 +25,7 @@ Here are your top updates today:
 
 
 Regards,
-Daily Briefing"""
+News Digest"""
 
 
 def tagged(spark, n=2):
@@ -50,10 +50,10 @@ def test_digest_body(spark):
     as_of = F.lit("2024-01-05").cast("date")
     rows = {r["recipient"]: r for r in D.digests(tagged(spark), people, as_of).collect()}
     assert rows["Ann"]["body"] == BODY
-    assert rows["Ann"]["subject"] == "Subject: Your Daily Briefing (05 Jan 2024)"
+    assert rows["Ann"]["subject"] == "Subject: Your News Digest (05 Jan 2024)"
     assert (rows["Ann"]["n_articles"], rows["Bob"]["n_articles"]) == (2, 1)
     assert "1. New" in rows["Bob"]["body"] and "Old" not in rows["Bob"]["body"]
-    assert rows["Cy"]["body"].endswith("today:\n\n\nRegards,\nDaily Briefing")
+    assert rows["Cy"]["body"].endswith("today:\n\n\nRegards,\nNews Digest")
 
 
 def test_matches_are_numbered_without_gaps(spark):

@@ -99,6 +99,19 @@ CSV_SOURCE = "Local CSV"
 NO_SUMMARY = "Summary unavailable."
 PAD_LINE = "Additional details are awaited."
 
+# Lines of a digest and of an article card.
+GREETING = "Hi {},"
+OPENING = "Here are your top updates today:"
+CLOSING = "Regards,"
+DIGEST_DATE = "dd MMM yyyy"
+LINE_INDENT = "   "
+CARD_HEADING = "### [%s](%s)"
+CARD_CAPTION = "Source: %s | Published: %s | Zero-shot confidence: %.2f"
+NO_DATE = "N/A"
+
+# Place of the text in a provider's reply.
+CONTENT_PATH = "$.choices[0].message.content"
+
 # Summary shape, digest size, triage threshold, request limits.
 SUMMARY_LINES = 3
 SUMMARY_WORDS = 22

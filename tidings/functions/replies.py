@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidings import fixed_values as fixed
 from tidings.functions.text import contains_any, or_else, strip
 
-CONTENT_PATH = "$.choices[0].message.content"
-
 
 def json_payload(text: Column) -> Column:
     """JSON part of a reply: code fence dropped, then the widest list, else the widest object."""
@@ -44,4 +42,4 @@ def is_rate_limited(error: Column) -> Column:
 
 def reply_content(status: Column, body: Column) -> Column:
     """Text of a successful reply, else NULL."""
-    return F.when(status < 400, F.get_json_object(body, CONTENT_PATH))
+    return F.when(status < 400, F.get_json_object(body, fixed.CONTENT_PATH))

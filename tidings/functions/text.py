@@ -175,28 +175,25 @@ def contains_any(text: Column, words: list[str], whole_words: bool = False) -> C
 
 
 def card_heading(title: Column, link: Column) -> Column:
-    return F.format_string("### [%s](%s)", title, link)
+    return F.format_string(fixed.CARD_HEADING, title, link)
 
 
 def card_caption(source: Column, published: Column, confidence: Column) -> Column:
-    return F.format_string(
-        "Source: %s | Published: %s | Zero-shot confidence: %.2f",
-        source,
-        F.coalesce(published, F.lit("N/A")),
-        confidence,
-    )
+    when = F.coalesce(published, F.lit(fixed.NO_DATE))
+    return F.format_string(fixed.CARD_CAPTION, source, when, confidence)
 
 
 def subject_line(subject: str, as_of: Column) -> Column:
     return F.concat(
-        F.lit(f"Subject: {subject} ("), F.date_format(as_of, "dd MMM yyyy"), F.lit(")")
+        F.lit(f"Subject: {subject} ("), F.date_format(as_of, fixed.DIGEST_DATE), F.lit(")")
     )
 
 
 def indented(summary: Column) -> Column:
     """Every line of a summary moved in by three spaces, one line per line break."""
     lines = F.split(summary, fixed.LINE_BREAK)
-    return F.array_join(F.transform(lines, lambda line: F.concat(F.lit("   "), line)), "\n")
+    moved = F.transform(lines, lambda line: F.concat(F.lit(fixed.LINE_INDENT), line))
+    return F.array_join(moved, "\n")
 
 
 def digest_block(title: Column, category: Column, source: Column, summary: Column) -> Column:

@@ -48,34 +48,60 @@ def dedup_first_seen(df: DataFrame) -> DataFrame:
     )
 
 
-def latest(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
-    """The newest ``n`` articles, in order."""
+def top_rows(df: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` rows of a narrow or small frame."""
     return df.orderBy(*recency()).limit(n)
 
 
-def newest_unique(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
-    """The newest ``n`` articles after deduplication.
+def _fetch(df: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """The articles chosen, in order. Two numbers per row make a small ``n`` safe to broadcast; for
+    a large one Spark picks the join."""
+    keys = chosen.select(*FIRST_SEEN)
+    if n <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    return df.join(keys, FIRST_SEEN, "left_semi").select(*df.columns).orderBy(*recency())
+
 
-    Keys and times alone decide, so only they are shuffled; descriptions are fetched for the ``n``
-    rows that stay. Two numbers per row make a small ``n`` safe to broadcast; for a large one Spark
-    picks the join.
+def latest(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
+    """The newest ``n`` articles, in order.
+
+    Every input partition sends ``n`` rows to the task that merges them, so only times and positions
+    travel; texts are fetched for the rows that stay.
     """
+    return _fetch(df, top_rows(df.select("published_ts", *FIRST_SEEN), n), n)
+
+
+def newest_unique(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
+    """The newest ``n`` articles after deduplication, decided on keys and times alone."""
     narrow = df.select("link", "title", "published_ts", *FIRST_SEEN)
-    chosen = latest(dedup_first_seen(narrow), n).select(*FIRST_SEEN)
-    if n <= MOST_BROADCAST:
-        chosen = F.broadcast(chosen)
-    return df.join(chosen, FIRST_SEEN, "left_semi").orderBy(*recency())
+    return _fetch(df, top_rows(dedup_first_seen(narrow), n), n)
 
 
 def head_in_order(df: DataFrame, n: int, order: list[str] = FILE_ORDER) -> DataFrame:
-    """The first ``n`` rows in file order."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in file order.
+
+    The rows of each file split are counted first, then only splits that hold one of the first ``n``
+    rows are sorted. As every counted split has a row, ``n`` of them are enough.
+    """
+    split = order[:-1]
+    if not split:
+        return df.orderBy(*order).limit(n)
+    sizes = df.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).orderBy(*split).limit(n)
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    needed = (
+        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .where(F.col("_before") < n)
+        .select(*split)
+    )
+    if n <= MOST_BROADCAST:
+        needed = F.broadcast(needed)
+    kept = df.join(needed, split, "left_semi").select(*df.columns)
+    return kept.orderBy(*order).limit(n)
 
 
-def newest_rows(df: DataFrame, n: int = fixed.NEWEST, dated: bool = True) -> DataFrame:
-    """The first ``n`` rows of a file, newest first where it has a date column."""
-    order = [F.col("published_ts").desc_nulls_last()] if dated else []
-    return df.orderBy(*order, *FILE_ORDER).limit(n)
+def newest_rows(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
+    """The first ``n`` rows of a file, newest first where it has dates."""
+    return df.orderBy(F.col("published_ts").desc_nulls_last(), *FILE_ORDER).limit(n)
 
 
 def filter_categories(df: DataFrame, categories: list[str]) -> DataFrame:

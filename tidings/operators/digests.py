@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidings import fixed_values as fixed
 from tidings.functions import text as T
 from tidings.operators.articles import recency, with_summary
 from tidings.session import pin
@@ -87,8 +88,8 @@ def digests(
     tagged: DataFrame,
     recipients: DataFrame,
     as_of: Column,
-    subject: str = "Your Daily Briefing",
-    sign_off: str = "Daily Briefing",
+    subject: str = "Your News Digest",
+    sign_off: str = "News Digest",
 ) -> DataFrame:
     """One text per recipient: greeting, numbered articles with three-line summaries, sign-off.
 
@@ -102,11 +103,10 @@ def digests(
     matched = match_choices(leading, recipients)
     listed = _per_choice(matched.join(leading.select("article_id", "block"), "article_id"), "block")
     line = T.subject_line(subject, as_of)
-    greeting = F.concat(F.lit("Hi "), F.col("recipient"), F.lit(","))
-    top = F.array(
-        line, F.lit(""), greeting, F.lit(""), F.lit("Here are your top updates today:"), F.lit("")
-    )
-    bottom = F.array(F.lit(""), F.lit("Regards,"), F.lit(sign_off))
+    greeting = F.replace(F.lit(fixed.GREETING), F.lit("{}"), F.col("recipient"))
+    blank = F.lit("")
+    top = F.array(line, blank, greeting, blank, F.lit(fixed.OPENING), blank)
+    bottom = F.array(blank, F.lit(fixed.CLOSING), F.lit(sign_off))
     middle = F.coalesce(numbered_blocks(F.col("entries")), F.array().cast("array<string>"))
     return (
         with_choice(recipients)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidings import fixed_values as fixed
-from tidings.operators.articles import drop_unkeyed, latest
+from tidings.operators.articles import drop_unkeyed, top_rows
 from tidings.sources.feeds import dedup_key, parse_feeds
 from tidings.sources.schemas import RAW_FEEDS
 
@@ -70,7 +70,7 @@ def rolling_latest(
                 batch_folder(folder, batch_id - 1)
             )
             seen = before.unionByName(batch)
-        latest(seen, n).write.mode("overwrite").parquet(batch_folder(folder, batch_id))
+        top_rows(seen, n).write.mode("overwrite").parquet(batch_folder(folder, batch_id))
 
     return articles.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

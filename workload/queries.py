@@ -595,11 +595,11 @@ DIGEST_SQL = f"""WITH {S.MATCHED},
       SELECT recipient, string_agg(block, chr(10) ORDER BY number) AS middle, count(*) AS n
       FROM blocks GROUP BY 1
     )
-    SELECT r.recipient, 'Subject: Your Daily Briefing (31 Jan 2024)' AS subject,
-           'Subject: Your Daily Briefing (31 Jan 2024)' || chr(10) || chr(10) || 'Hi '
+    SELECT r.recipient, 'Subject: Your News Digest (31 Jan 2024)' AS subject,
+           'Subject: Your News Digest (31 Jan 2024)' || chr(10) || chr(10) || 'Hi '
              || r.recipient || ',' || chr(10) || chr(10) || 'Here are your top updates today:'
              || chr(10) || chr(10) || coalesce(b.middle || chr(10), '') || chr(10) || 'Regards,'
-             || chr(10) || 'Daily Briefing' AS body,
+             || chr(10) || 'News Digest' AS body,
            coalesce(b.n, 0) AS n_articles
     FROM recipients r LEFT JOIN bodies b ON b.recipient = r.recipient"""
 
