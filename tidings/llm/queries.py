@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import language
+from tidings.llm import language, toxicity
 from tidings.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,11 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     samples = language.labelled_windows(docs)
     found = language.identify(docs, samples, keep=["doc_id"])
     return found.withColumn("held_out", held_out("doc_id"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.withColumn("held_out", held_out("doc_id"))
