@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import language, toxicity
+from tidings.llm import language, pages, secrets, toxicity
 from tidings.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,15 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, folder, "labels"))
     found = toxicity.score(docs, model, keep=["doc_id"])
     return found.withColumn("held_out", held_out("doc_id"))
+
+
+@query
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.find_secrets(docs, keep=["doc_id"])
+
+
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "pages").select("page_id", "url", "html")
+    return pages.extract(found, pages.train(spark), keep=["page_id", "url"])
