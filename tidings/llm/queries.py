@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import language, pages, secrets, toxicity
+from tidings.llm import language, near, pages, secrets, toxicity
 from tidings.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "pages").select("page_id", "url", "html")
     return pages.extract(found, pages.train(spark), keep=["page_id", "url"])
+
+
+@query
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
