@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import language, near, pages, secrets, toxicity
+from tidings.llm import language, leaks, near, pages, secrets, toxicity
 from tidings.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leaks.find_leaks(docs, table(spark, folder, "benchmark"))
