@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import language, leaks, near, pages, secrets, toxicity
+from tidings.llm import language, leaks, near, packing, pages, secrets, token_files, toxicity
 from tidings.llm.common import held_out, table
+from tidings.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +57,17 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return leaks.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
+@query
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.token_spans(spark, path)
