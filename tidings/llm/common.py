@@ -143,6 +143,33 @@ def word_bytes(data: np.ndarray) -> np.ndarray:
     return inside
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and of U+00C0-U+00DE made small, byte for byte."""
+    out = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] = data[at] + np.uint8(32)
+    return out
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits with the bit of every hash's highest bits set, as 64-bit words; no
+    more than 2**bits / 64 numbers reach the driver, whatever the number of hashes."""
+    top = F.shiftrightunsigned(column, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), top.bitwiseAND(63).cast("int"))
+    words = hashes.groupBy(F.shiftrightunsigned(top, 6).alias("at")).agg(F.bit_or(one).alias("set"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    rows = words.toPandas()
+    out[rows["at"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64)
+    return out.view(WIDE)
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have their bit set."""
+    top = hashes >> WIDE(64 - bits)
+    return ((words[top >> WIDE(6)] >> (top & WIDE(63))) & WIDE(1)).astype(bool)
+
+
 def byte_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, UTF-8 bytes, offsets) of each slice of a text column."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import STEP, WIDE, Words, byte_slices, lists, mixed, powers
+from tidings.llm.common import (
+    STEP, WIDE, Words, bitmap, byte_slices, in_bitmap, lists, mixed, powers,
+)
 from tidings.llm.near import SIMILARITY
 from tidings.session import pin
 
@@ -30,7 +32,6 @@ LEAST_SHARE = SIMILARITY
 REACH = 64
 # The bitmap has 2**BITMAP bits, whatever the benchmark's size.
 BITMAP = 24
-WORD_BITS = 6
 
 
 def seeds(words: Words, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -108,33 +109,17 @@ def _item_seeds(items: DataFrame, shortest: int) -> DataFrame:
     return items.select("key", "words").mapInPandas(run, "key long, place long, seed long")
 
 
-def _bitmap(found: DataFrame, bits: int) -> bytes:
-    """The bitmap of all seeds; at most 2**bits / 64 numbers reach the driver."""
-    top = F.shiftrightunsigned("seed", 64 - bits)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), top.bitwiseAND(63).cast("int"))
-    parts = found.groupBy(F.shiftrightunsigned(top, WORD_BITS).alias("at")).agg(
-        F.bit_or(one).alias("set")
-    )
-    out = np.zeros(1 << (bits - WORD_BITS), np.int64)
-    rows = parts.toPandas()
-    out[rows["at"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64)
-    return out.tobytes()
-
-
 def _segments(
-    docs: DataFrame, text_col: str, id_col: str, bitmap, bits: int, short: tuple[int, ...], reach: int
+    docs: DataFrame, text_col: str, id_col: str, marked, bits: int, short: tuple[int, ...], reach: int
 ) -> DataFrame:
     """Stretches of training texts around hits in the bitmap, with the seeds hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bitmap.value, WIDE)
         for batch in batches:
             for start, stop, data, offsets in byte_slices(batch.column(1)):
                 words = Words(data, offsets)
                 place, hashes = seeds(words, short)
-                top = hashes >> WIDE(64 - bits)
-                set_ = (table[top >> WIDE(WORD_BITS)] >> (top & WIDE(63))) & WIDE(1)
-                hit = np.flatnonzero(set_)
+                hit = np.flatnonzero(in_bitmap(marked.value, hashes, bits))
                 if not len(hit):
                     continue
                 place, hashes = place[hit], hashes[hit]
@@ -214,8 +199,8 @@ def find_leaks(
     lengths = items.where(F.size("words") < shortest).select(F.size("words").alias("n")).distinct()
     short = tuple(sorted(row.n for row in lengths.collect()))
     known = pin(_item_seeds(items, shortest), "item-seeds")
-    bitmap = spark.sparkContext.broadcast(_bitmap(known, bits))
-    segments = pin(_segments(docs, text_col, id_col, bitmap, bits, short, reach), "segments")
+    marked = spark.sparkContext.broadcast(bitmap(known, "seed", bits))
+    segments = pin(_segments(docs, text_col, id_col, marked, bits, short, reach), "segments")
     hits = segments.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("segment", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
     shifts = (

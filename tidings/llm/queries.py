@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import language, leaks, near, packing, pages, secrets, token_files, toxicity
+from tidings.llm import imatch, language, leaks, near, packing, pages, secrets, token_files, toxicity
 from tidings.llm.common import held_out, table
 from tidings.session import scratch_path
 
@@ -71,3 +71,9 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.token_spans(spark, path)
+
+
+@query
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return imatch.compare_edited(docs, imatch.learn_lexicon(docs))
