@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 FOLDS = 5
 # Arrays made at once cover about so many bytes or characters; one longer text is a slice by itself.
@@ -38,11 +38,41 @@ def slices(lengths: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         start = stop
 
 
-def text_slices(texts: pd.Series) -> Iterator[tuple[int, int, list[str]]]:
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, row after the last, texts) of each slice; null is read as empty."""
-    whole = [text if isinstance(text, str) else "" for text in texts]
-    for start, stop in slices(np.fromiter(map(len, whole), np.int64, len(whole))):
-        yield start, stop, whole[start:stop]
+    texts = [text or "" for text in column.to_pylist()]
+    for start, stop in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+        yield start, stop, texts[start:stop]
+
+
+def with_text_columns(
+    docs: DataFrame,
+    text_col: str,
+    keep: list[str] | None,
+    made: dict[str, str],
+    compute: Callable[[list[str]], list],
+) -> DataFrame:
+    """The columns ``keep`` (all but the text if none are named) and those of ``made`` (name, type),
+    which ``compute`` gives for a list of whole texts as one array or list for each. Kept columns
+    pass through untouched; those named as in ``made``, whatever the case, are replaced."""
+    taken = {name.lower() for name in made}
+    keep = [
+        name for name in (keep or docs.columns) if name != text_col and name.lower() not in taken
+    ]
+    kinds = [docs.sparkSession.createDataFrame([], f"c {kind}").schema[0].dataType for kind in made.values()]
+    schema = docs.select(*keep).schema
+    for name, kind in zip(made, kinds, strict=True):
+        schema = schema.add(name, kind)
+    arrow = [to_arrow_type(kind) for kind in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, texts in text_slices(batch.column(len(keep))):
+                kept = [batch.column(place).slice(start, stop - start) for place in range(len(keep))]
+                new = [pa.array(one, kind) for one, kind in zip(compute(texts), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, *made])
+
+    return docs.select(*keep, text_col).mapInArrow(run, schema)
 
 
 @cache

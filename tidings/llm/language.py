@@ -7,15 +7,13 @@ it needs, the nearer it is to the language (Ziv and Merhav's cross parsing).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import held_out, letters, text_slices
+from tidings.llm.common import held_out, letters, with_text_columns
 
 # Labelled text per language: the windows of one row in each of these buckets of hashed rows.
 BUCKETS = 64
@@ -173,26 +171,17 @@ def identify(
     alphabetical order wins. Columns of the same names are replaced.
     """
     learnt = tuple(sorted(samples.items()))
-    names = [lang for lang, _ in learnt]
-    made = ("lang_pred", "score")
-    keep = [name for name in (keep or docs.columns) if name not in (*made, text_col)]
-    fields = [docs.schema[name] for name in keep]
-    schema = docs.select(*keep).schema
-    schema = type(schema)(fields).add("lang_pred", "string").add("score", "double")
-
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            labels = np.full(len(frame), UNKNOWN, object)
-            scores = np.zeros(len(frame))
-            for start, stop, texts in text_slices(frame[text_col]) if names else ():
-                costs, found = parsing_costs(texts, learnt)
-                best = costs.argmin(axis=1)
-                least = np.sort(costs, axis=1)[:, :2]
-                sure = 1 - least[:, 0] / np.maximum(least[:, -1], 1e-9)
-                sure = sure if len(names) > 1 else np.ones(len(best))
-                there = found > 0
-                labels[start:stop] = np.where(there, np.array(names, object)[best], UNKNOWN)
-                scores[start:stop] = np.where(there, np.clip(sure, 0, 1), 0)
-            yield frame[keep].assign(lang_pred=labels, score=scores)
-
-    return docs.select(*keep, text_col).mapInPandas(predict, schema)
+    names = np.array([lang for lang, _ in learnt], object)
+
+    def predict(texts: list[str]) -> list:
+        if not learnt:
+            return [[UNKNOWN] * len(texts), np.zeros(len(texts))]
+        costs, found = parsing_costs(texts, learnt)
+        least = np.sort(costs, axis=1)[:, :2]
+        sure = 1 - least[:, 0] / np.maximum(least[:, -1], 1e-9)
+        sure = sure if len(names) > 1 else np.ones(len(texts))
+        labels = np.where(found > 0, names[costs.argmin(axis=1)], UNKNOWN)
+        return [labels.tolist(), np.where(found > 0, np.clip(sure, 0, 1), 0)]
+
+    made = {"lang_pred": "string", "score": "double"}
+    return with_text_columns(docs, text_col, keep, made, predict)

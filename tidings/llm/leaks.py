@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.common import (
-    STEP, WIDE, Words, bitmap, byte_slices, in_bitmap, lists, mixed, powers,
+    STEP, WIDE, Words, bitmap, byte_slices, fresh_name, in_bitmap, lists, mixed, powers,
 )
 from tidings.llm.near import SIMILARITY
 from tidings.session import pin
@@ -232,5 +232,6 @@ def drop_leaks(
 ) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; rows without a doc_id stay."""
     found = find_leaks(docs, items, text_col, id_col, **options)
-    leaked = found.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(id_col) == F.col("_leaked"), "left_anti")
+    leaked = fresh_name(docs.columns, "leaked")
+    gone = found.select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(leaked), "left_anti")

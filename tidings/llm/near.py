@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import WIDE, Words, byte_slices, lists, mixed, powers, STEP
+from tidings.llm.common import (
+    STEP, WIDE, Words, byte_slices, fresh_name, lists, mixed, powers,
+)
 from tidings.llm.graph import components
 from tidings.session import pin
 
@@ -297,8 +299,10 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     """``docs`` with one row of each class: that of the least doc_id. Of several rows under that
     doc_id in one class any one stays, and rows without a doc_id all stay."""
     found = near_duplicates(docs, text_col, id_col, **options)
-    leaders = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    leaders = pin(leaders.withColumnRenamed("doc_id", "_leader"), "leaders")
-    kept = docs.join(leaders.where("rows = 1"), F.col(id_col) == F.col("_leader"), "left_semi")
-    several = docs.join(leaders.where("rows > 1"), F.col(id_col) == F.col("_leader"), "left_semi")
+    leader = fresh_name(docs.columns, "leader")
+    leaders = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(leader))
+    leaders = pin(leaders.agg(F.count(F.lit(1)).alias("_rows")), "leaders")
+    same = F.col(id_col) == F.col(leader)
+    kept = docs.join(leaders.where("_rows = 1").select(leader), same, "left_semi")
+    several = docs.join(leaders.where("_rows > 1").select(leader), same, "left_semi")
     return kept.unionAll(several.dropDuplicates([id_col])).unionAll(docs.where(F.col(id_col).isNull()))

@@ -8,16 +8,16 @@ was trained on a small labelled table of blocks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidings.llm.common import fresh_name, with_text_columns
+
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav "
@@ -226,29 +226,26 @@ def extract(
     """Add ``text`` (chosen blocks joined by two line feeds, empty if none) and ``n_chars`` to the
     columns ``keep`` (all but the html if none are named). Null html counts as empty, what is no
     html as one block. Columns of the same names are replaced."""
-    keep = [name for name in (keep or pages.columns) if name not in ("text", "n_chars", html_col)]
-    fields = ", ".join(f"{name} double" for name in FEATURES)
-    schema = pages.select(*keep).schema
-    blocks_col = "_blocks"
-    while blocks_col in keep:
-        blocks_col = f"_{blocks_col}"
-    kind = f"array<struct<text:string, {fields.replace(' double', ':double')}>>"
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["text", *FEATURES]
-        for frame in frames:
-            found = [
+    made = ("text", "n_chars")
+    keep = [
+        name for name in (keep or pages.columns) if name != html_col and name.lower() not in made
+    ]
+    blocks_col = fresh_name([*keep, *made], "_blocks")
+    fields = ", ".join(f"{name}: double" for name in FEATURES)
+    names = ["text", *FEATURES]
+
+    def cut(texts: list[str]) -> list:
+        return [
+            [
                 [dict(zip(names, (row[0], *map(float, row[1:])), strict=True)) for row in page_blocks(html)]
-                if isinstance(html, str)
-                else []
-                for html in frame[html_col]
+                for html in texts
             ]
-            yield frame[keep].assign(**{blocks_col: found})
+        ]
 
-    schema = schema.add(blocks_col, pages.sparkSession.createDataFrame([], f"b {kind}").schema["b"].dataType)
-    cutout = pages.select(*keep, html_col).mapInPandas(cut, schema)
+    kind = f"array<struct<text: string, {fields}>>"
+    found = with_text_columns(pages, html_col, keep, {blocks_col: kind}, cut)
     chosen = F.filter(blocks_col, lambda block: as_condition(model, block))
     text = F.array_join(F.transform(chosen, lambda block: block["text"]), "\n\n")
-    return cutout.select(*keep, text.alias("text")).withColumn(
+    return found.select(*keep, text.alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long")
     )

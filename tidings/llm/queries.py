@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import imatch, language, leaks, near, packing, pages, secrets, token_files, toxicity
+from tidings.llm import imatch, language, leaks, near, packing, pages, secrets, spans, token_files, toxicity
 from tidings.llm.common import held_out, table
 from tidings.session import scratch_path
 
@@ -77,3 +77,8 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return imatch.compare_edited(docs, imatch.learn_lexicon(docs))
+
+
+@query
+def op4_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.cut_repeats(table(spark, folder, "documents").select("doc_id", "text"))

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidings.llm.common import with_text_columns
+
 # Fixed values of the base patterns.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -189,24 +191,17 @@ def find_secrets(
         "base_sha256": "string",
         "spans": "string",
     }
-    keep = [name for name in (keep or docs.columns) if name not in (*made, text_col)]
-    schema = docs.select(*keep).schema
-    for name, kind in made.items():
-        schema = schema.add(name, kind)
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame[text_col]:
-                base, spans = scan_text(text if isinstance(text, str) else "")
-                counts = [sum(kind == one for one, _, _ in spans) for kind in (*KINDS, GUESS)]
-                digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                rows.append((*counts, digest, joined(spans)))
-            yield pd.concat(
-                [frame[keep], pd.DataFrame(rows, frame.index, list(made))], axis=1
-            )
-
-    return docs.select(*keep, text_col).mapInPandas(scan, schema)
+
+    def scan(texts: list[str]) -> list:
+        rows = []
+        for text in texts:
+            base, spans = scan_text(text)
+            counts = [sum(kind == one for one, _, _ in spans) for kind in (*KINDS, GUESS)]
+            digest = hashlib.sha256(joined(base).encode()).hexdigest()
+            rows.append((*counts, digest, joined(spans)))
+        return list(zip(*rows, strict=True))
+
+    return with_text_columns(docs, text_col, keep, made, scan)
 
 
 def redact(
@@ -215,28 +210,32 @@ def redact(
     """``docs`` with every span replaced by ``mark`` (spans that touch become one mark) and, if
     ``count_col`` is named, the code points counted anew. Texts without a span stay as they are;
     null stays null."""
-    schema = docs.schema
-
-    def hide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame[text_col].tolist()
-            changed = {}
-            for place, text in enumerate(texts):
-                spans = scan_text(text)[1] if isinstance(text, str) else []
+    names = docs.columns
+    place, count = names.index(text_col), names.index(count_col) if count_col else None
+
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = batch.column(place).to_pylist(), {}
+            for row, text in enumerate(texts):
+                spans = scan_text(text)[1] if text else []
                 if spans:
-                    pieces, at = [], 0
-                    for _, start, end in spans:
-                        if start > at or not pieces:
-                            pieces += [text[at:start], mark]
-                        at = max(at, end)
-                    changed[place] = "".join([*pieces, text[at:]])
-            if changed:
-                frame = frame.copy()
-                where = list(changed)
-                frame.iloc[where, frame.columns.get_loc(text_col)] = list(changed.values())
+                    texts[row] = _blotted(text, spans, mark)
+                    sizes[row] = len(texts[row])
+            if sizes:
+                batch = batch.set_column(place, names[place], pa.array(texts, batch.column(place).type))
                 if count_col:
-                    sizes = [len(text) for text in changed.values()]
-                    frame.iloc[where, frame.columns.get_loc(count_col)] = sizes
-            yield frame
+                    old = batch.column(count)
+                    new = [sizes.get(row, value) for row, value in enumerate(old.to_pylist())]
+                    batch = batch.set_column(count, names[count], pa.array(new, old.type))
+            yield batch
+
+    return docs.mapInArrow(hide, docs.schema)
+
 
-    return docs.mapInPandas(hide, schema)
+def _blotted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    pieces, at = [], 0
+    for _, start, end in spans:
+        if start > at or not pieces:
+            pieces += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])

@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import held_out, letters, text_slices
+from tidings.llm.common import held_out, letters, text_slices, with_text_columns
 from tidings.session import pin
 
 # Bounds of the labelled sample, by label.
@@ -298,36 +299,27 @@ def features(texts: list[str], automaton: Automaton, weights: np.ndarray) -> np.
     return out
 
 
-def _with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str, make):
-    """Run ``make(frame of keep columns, features)`` over all texts; it gives the columns to add."""
-    automaton = Automaton([stem for stem, _ in lexicon.weights])
+def _machine(lexicon: Lexicon) -> tuple[Automaton, np.ndarray]:
     weights = np.array([weight for _, weight in lexicon.weights] or [0.0])
-    schema = docs.select(*keep).schema
-    for name, kind in make(None):
-        schema = schema.add(name, kind)
+    return Automaton([stem for stem, _ in lexicon.weights]), weights
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sums = np.zeros((len(frame), len(FEATURES)))
-            for start, stop, texts in text_slices(frame[text_col]):
-                sums[start:stop] = features(texts, automaton, weights)
-            yield frame[keep].assign(**make(sums))
-
-    return docs.select(*keep, text_col).mapInPandas(run, schema)
 
-
-def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-          label_col: str = "toxic") -> Model:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    label_col: str = "toxic",
+) -> Model:
     """Learn stems and score from labelled documents outside the held-out fold (a bounded sample)."""
     sample = pin(labelled_sample(docs, labels, text_col, id_col, label_col), "toxic-sample")
     lexicon = learn_lexicon(sample)
-
-    def make(sums):
-        if sums is None:
-            return [(name, "double") for name in FEATURES]
-        return {name: sums[:, place] for place, name in enumerate(FEATURES)}
-
-    rows = pin(_with_features(sample, lexicon, ["label"], "text", make), "toxic-features")
+    machine = _machine(lexicon)
+    sums = with_text_columns(
+        sample, "text", ["label"], dict.fromkeys(FEATURES, "double"),
+        lambda texts: list(features(texts, *machine).T),
+    )
+    rows = pin(sums, "toxic-features")
     classes = {row.label: row["count"] for row in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
         # Without both labels nothing can be told apart: no text is called toxic.
@@ -348,12 +340,28 @@ def score(
     Whole texts are read. Null and empty texts get the score of a text without hits. Columns of the
     same names are replaced.
     """
-    keep = [name for name in (keep or docs.columns) if name not in ("score", "predicted", text_col)]
+    machine = _machine(model.lexicon)
+
+    def judge(texts: list[str]) -> list:
+        given = _chances(features(texts, *machine), model)
+        return [given, (given >= 0.5).astype(np.int32)]
+
+    return with_text_columns(docs, text_col, keep, {"score": "double", "predicted": "int"}, judge)
+
+
+def filter_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model calls toxic; all columns stay as they are."""
+    machine, place = _machine(model.lexicon), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, texts in text_slices(batch.column(place)):
+                clean = _chances(features(texts, *machine), model) < 0.5
+                yield batch.slice(start, stop - start).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
-    def make(sums):
-        if sums is None:
-            return [("score", "double"), ("predicted", "integer")]
-        given = 1 / (1 + np.exp(-np.clip(sums @ np.array(model.coefficients) + model.intercept, -40, 40)))
-        return {"score": given, "predicted": (given >= 0.5).astype(np.int32)}
 
-    return _with_features(docs, model.lexicon, keep, text_col, make)
+def _chances(sums: np.ndarray, model: Model) -> np.ndarray:
+    total = sums @ np.array(model.coefficients) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
