@@ -141,6 +141,8 @@ def parsing_costs(texts: list[str], samples: tuple[tuple[str, str], ...]):
     folded, starts = letters(texts)
     keep = folded != 0
     keep[1:] |= folded[:-1] != 0
+    # What is no letter counts between letters and at the end of a text; separators do not.
+    keep[starts[1:-1] - 1] = False
     doc = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(folded)][keep]
     coded = code[np.where(folded == 0, SPACE, folded)[keep]]
     sizes = np.bincount(doc, minlength=len(texts))
