@@ -1,4 +1,6 @@
 import math
+import os
+import uuid
 
 import numpy as np
 import pytest
@@ -61,8 +63,10 @@ def test_scoring_needs_no_shuffle_and_runs_once(articles):
     assert plan.count("EXP(") == 1
 
 
-def test_model_scorer_is_loaded_per_task(articles):
+def test_model_scorer_is_loaded_once_per_worker(articles, tmp_path):
     def load():
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4()}").touch()
+
         def run(premises, hypotheses):
             return np.array([[float(h.split()[-1].strip(".") in p.lower()) for h in hypotheses] for p in premises])
 
@@ -72,6 +76,9 @@ def test_model_scorer_is_loaded_per_task(articles):
     assert {r["article_id"]: r["raw_category"] for r in tagged.collect()} == {
         "a": "market", "b": "sport", "c": "sport",
     }
+    L.classify(articles.repartition(16), LABELS, TEMPLATE, L.pandas_scorer(load)).collect()
+    workers = [path.name.split("-")[0] for path in tmp_path.iterdir()]
+    assert len(workers) == len(set(workers)) > 0
 
 
 def test_display_names(spark):

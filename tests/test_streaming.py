@@ -1,10 +1,11 @@
 from tidings.operators.articles import dedup_first_seen, latest
 from tidings.sources.feeds import dedup_key, read_feeds
+from tidings.sources.labels import Label
 from tidings.streaming.refresh import (
     batch_folder,
     feed_stream,
-    first_seen,
     ingest,
+    newest_folder,
     rolling_latest,
 )
 
@@ -38,8 +39,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
     def refresh():
         run(ingest(feed_stream(spark, folder, FEEDS), table, str(tmp_path / "c1")))
-        unique = first_seen(feed_stream(spark, folder, FEEDS))
-        return run(rolling_latest(unique, newest, str(tmp_path / "c2"), 3))
+        stream = feed_stream(spark, folder, FEEDS)
+        return run(rolling_latest(stream, newest, str(tmp_path / "c2"), 3, [Label("x", "X")]))
 
     land(spark, folder, 0, [item("l1", "a", 1), item("l2", "b", 2)], [item("l1", "copy", 1)])
     refresh()
@@ -50,8 +51,18 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda df: sorted(r["k"] for r in df.select(dedup_key().alias("k")).collect())
     kept = spark.read.parquet(table)
     assert key(kept) == key(batch) == ["l1", "l2", "l3", "l4"]
-    rolled = spark.read.parquet(batch_folder(newest, last.lastProgress["batchId"]))
+    batch_id = last.lastProgress["batchId"]
+    rolled = spark.read.parquet(batch_folder(newest_folder(newest), batch_id))
     assert key(rolled) == key(latest(batch, 3)) == ["l2", "l3", "l4"]
+    counted = spark.read.parquet(batch_folder(f"{newest}/counts", batch_id))
+    assert [tuple(row) for row in counted.select("category", "n").collect()] == [("X", 3)]
+
+    # An article that fell out of the newest three is listed again, now as the newest.
+    land(spark, folder, 2, [item("l1", "late copy", 20)], [item("l5", "e", 2), item("l5", "e", 9)])
+    batch_id = refresh().lastProgress["batchId"]
+    rolled = spark.read.parquet(batch_folder(newest_folder(newest), batch_id))
+    assert key(rolled) == ["l2", "l3", "l4"] or key(rolled) == ["l3", "l4", "l5"]
+    assert key(spark.read.parquet(table)) == ["l1", "l2", "l3", "l4", "l5"]
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):

@@ -70,6 +70,23 @@ def test_keywords_match_inside_words(spark, words):
     assert found == [True, False, False]
 
 
+FOLDED = {
+    "\u00b5": "\u03bc", "\u03c2": "\u03c3", "\u017f": "s", "\u0130": "i", "\u0131": "i", "\u212a": "k",
+    "\u00c9": "\u00e9",
+}
+
+
+@pytest.mark.parametrize("more", [0, 7, 8, 68])
+@pytest.mark.parametrize("whole", [False, True])
+def test_keywords_mean_the_same_in_lists_of_any_length(spark, more, whole):
+    others = [f"zz{place}zz" for place in range(more)]
+    for odd, plain in FOLDED.items():
+        for word, text in ((f"a{odd}b", f"5 a{plain}b ."), (f"a{plain}b", f"5 A{odd}B .")):
+            found = apply(spark, lambda c: T.contains_any(c, [word, *others], whole), [text, "5 ab ."])
+            assert found == [True, False], (word, text)
+    assert apply(spark, lambda c: T.contains_any(c, [], whole), ["a", None]) == [False, False]
+
+
 def test_keywords_fold_odd_letters(spark):
     many = lambda c: T.contains_any(c, fixed.CRIME_KEYWORDS)
     few = lambda c: T.contains_any(c, ["crime", "assault"])
@@ -97,6 +114,13 @@ def test_json_payload(spark):
     assert apply(spark, R.repaired_payload, cases) == list(cases.values())
 
 
+def test_refused_by_status(spark):
+    refused = lambda status: lambda c: R.is_rate_limited(c, F.lit(status).cast("int"))
+    assert apply(spark, refused(429), ["slow down", None]) == [True, True]
+    assert apply(spark, refused(500), ["slow down", "quota"]) == [False, True]
+    assert apply(spark, refused(None), [None]) == [False]
+
+
 def test_rate_limit_and_content(spark):
     assert apply(spark, R.is_rate_limited, ["Error 429", "Resource Exhausted", "boom", None]) == [
         True, True, False, False,

@@ -121,6 +121,7 @@ REQUESTS_PER_MINUTE = 10
 REQUESTS_PER_DAY = 1000
 
 # Words that mark a reply as refused for rate or quota.
+TOO_MANY_REQUESTS = 429
 RATE_LIMIT_TOKENS = ["429", "rate limit", "resource exhausted", "too many requests", "quota"]
 
 # Prompt texts sent with a batch of articles and with a single article.
@@ -136,6 +137,8 @@ SINGLE_PROMPT = (
     "Write exactly 3 concise lines in plain text, no bullets, no numbering. "
     "Each line should be <= 22 words and fact-focused.\n\n"
 )
+TITLE_FIELD = "Title: "
+DETAILS_FIELD = "\nDetails: "
 
 # White space of Unicode text, as characters and as a pattern, and line boundaries.
 SPACE_CHARS = (

@@ -36,8 +36,12 @@ def parsed_items(text: Column) -> Column:
     )
 
 
-def is_rate_limited(error: Column) -> Column:
-    return contains_any(error, fixed.RATE_LIMIT_TOKENS)
+def is_rate_limited(error: Column, status: Column | None = None) -> Column:
+    """Whether a reply was refused for rate or quota, by its status or by its error text."""
+    told = contains_any(error, fixed.RATE_LIMIT_TOKENS)
+    if status is None:
+        return told
+    return F.coalesce(status == fixed.TOO_MANY_REQUESTS, F.lit(False)) | told
 
 
 def reply_content(status: Column, body: Column) -> Column:

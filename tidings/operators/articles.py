@@ -13,13 +13,14 @@ from tidings.sources.feeds import dedup_key
 from tidings.sources.tables import FILE_ORDER
 
 FIRST_SEEN = ["feed_rank", "entry_index"]
-# Chosen rows up to this many are broadcast.
-MOST_BROADCAST = 100_000
+# Together these tell rows apart, also where a source numbers nothing.
+ROW = [*FIRST_SEEN, "article_id"]
 
 
 def recency() -> list[Column]:
-    """Newest first, undated last, ties in feed and entry order."""
-    return [F.col("published_ts").desc_nulls_last(), *(F.col(name).asc() for name in FIRST_SEEN)]
+    """Newest first, undated last, ties in feed and entry order; unnumbered rows after the others."""
+    order = [F.col(name).asc_nulls_last() for name in FIRST_SEEN]
+    return [F.col("published_ts").desc_nulls_last(), *order]
 
 
 def union_articles(*tables: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def dedup_first_seen(df: DataFrame) -> DataFrame:
     Rank 1 is taken inside each input partition before the shuffle, so a key shared by many rows
     sends one row per partition. Rows without a key would all meet in one group; they go first.
     """
-    first = Window.partitionBy("_key").orderBy(*FIRST_SEEN)
+    first = Window.partitionBy("_key").orderBy(*(F.col(name).asc_nulls_last() for name in ROW))
     return (
         drop_unkeyed(df)
         .withColumn("_key", dedup_key())
@@ -50,16 +51,16 @@ def dedup_first_seen(df: DataFrame) -> DataFrame:
 
 def top_rows(df: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` rows of a narrow or small frame."""
-    return df.orderBy(*recency()).limit(n)
+    return df.orderBy(*recency(), "article_id").limit(n)
 
 
 def _fetch(df: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """The articles chosen, in order. Two numbers per row make a small ``n`` safe to broadcast; for
-    a large one Spark picks the join."""
-    keys = chosen.select(*FIRST_SEEN)
-    if n <= MOST_BROADCAST:
-        keys = F.broadcast(keys)
-    return df.join(keys, FIRST_SEEN, "left_semi").select(*df.columns).orderBy(*recency())
+    """The ``n`` articles chosen, in order. Rows are told apart by ``ROW``, NULL equal to NULL;
+    of rows that are alike in it any may stay, so the number is right in any case."""
+    names = {name: f"_{name}" for name in ROW}
+    keys = chosen.select(*ROW).distinct().withColumnsRenamed(names)
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in names.items()]
+    return top_rows(df.join(keys, same, "left_semi"), n)
 
 
 def latest(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
@@ -68,12 +69,12 @@ def latest(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
     Every input partition sends ``n`` rows to the task that merges them, so only times and positions
     travel; texts are fetched for the rows that stay.
     """
-    return _fetch(df, top_rows(df.select("published_ts", *FIRST_SEEN), n), n)
+    return _fetch(df, top_rows(df.select("published_ts", *ROW), n), n)
 
 
 def newest_unique(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
     """The newest ``n`` articles after deduplication, decided on keys and times alone."""
-    narrow = df.select("link", "title", "published_ts", *FIRST_SEEN)
+    narrow = df.select("link", "title", "published_ts", *ROW)
     return _fetch(df, top_rows(dedup_first_seen(narrow), n), n)
 
 
@@ -93,8 +94,6 @@ def head_in_order(df: DataFrame, n: int, order: list[str] = FILE_ORDER) -> DataF
         .where(F.col("_before") < n)
         .select(*split)
     )
-    if n <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
     kept = df.join(needed, split, "left_semi").select(*df.columns)
     return kept.orderBy(*order).limit(n)
 

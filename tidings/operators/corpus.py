@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
 from tidings.functions.text import contains_any, strip
 from tidings.operators.articles import head_in_order
-from tidings.operators.positions import rejoin, with_position
+from tidings.operators.positions import first_of_group, rejoin, with_position
 from tidings.sources.labels import Label, checked
 from tidings.sources.tables import FILE_ORDER
 
-# Reducers per stratum in the first round of a sample.
-SAMPLE_SALTS = 1024
-
 
 def label_is_known(column: str, labels: list[Label] | list[str]) -> Column:
     names = [label.label if isinstance(label, Label) else label for label in labels]
@@ -72,24 +69,14 @@ def stratified_sample(
 ) -> DataFrame:
     """Exactly min(n, class size) rows of each class, without replacement.
 
-    Two rounds: every partition keeps its best ``n`` per class, partitions are merged in
-    ``SAMPLE_SALTS`` groups per class, then the groups are merged. A large class therefore never
-    sends the survivors of all partitions to one task, and the rows chosen do not depend on the
-    partitioning.
+    Identifiers, classes and sort keys alone are merged, in rounds; the rows chosen do not depend
+    on the partitioning, and they fetch their other columns at the end. ``id_column`` is unique.
     """
-    keyed = df.withColumn("_key", seeded_key(seed, id_column)).withColumn(
-        "_salt", F.spark_partition_id() % SAMPLE_SALTS
-    )
-    order = [F.col("_key"), F.col(id_column)]
-    partial = Window.partitionBy(by, "_salt").orderBy(*order)
-    final = Window.partitionBy(by).orderBy(*order)
-    return (
-        keyed.withColumn("_rank", F.row_number().over(partial))
-        .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(final))
-        .where(F.col("_rank") <= n)
-        .drop("_key", "_salt", "_rank")
-    )
+    narrow = df.select(id_column, by, seeded_key(seed, id_column).alias("_key"))
+    chosen = first_of_group(narrow, [by], [F.col("_key"), F.col(id_column)], n)
+    if set(df.columns) == {id_column, by}:
+        return chosen.select(*df.columns)
+    return df.join(chosen.select(id_column), id_column, "left_semi").select(*df.columns)
 
 
 def shuffle_rows(

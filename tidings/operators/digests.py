@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidings import fixed_values as fixed
 from tidings.functions import text as T
 from tidings.operators.articles import recency, with_summary
+from tidings.operators.positions import first_of_group
 from tidings.session import pin
 
 CHOICE = ["categories", "max_articles"]
@@ -19,13 +20,12 @@ def with_choice(recipients: DataFrame) -> DataFrame:
 
 
 def leading_articles(tagged: DataFrame, most: int) -> DataFrame:
-    """The newest ``most`` articles of each category.
+    """The newest ``most`` articles of each category, with the columns of ``ENTRY`` alone.
 
-    No digest of up to ``most`` articles can use more from one category, so this loses nothing. The
-    cut happens inside each input partition first, so a large category shuffles few rows.
+    No digest of up to ``most`` articles can use more from one category, so this loses nothing.
     """
-    place = F.row_number().over(Window.partitionBy("category").orderBy(*recency()))
-    return tagged.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    order = [*recency(), F.col("article_id")]
+    return first_of_group(tagged.select(*ENTRY), ["category"], order, most)
 
 
 def most_articles(recipients: DataFrame) -> int:
@@ -53,6 +53,10 @@ def match_choices(leading: DataFrame, recipients: DataFrame) -> DataFrame:
     )
 
 
+def _given(tagged: DataFrame) -> list[str]:
+    return [name for name in tagged.columns if name == "summary"]
+
+
 def _per_choice(matched: DataFrame, value: str) -> DataFrame:
     """One row per choice with its ``entries`` in order, at most ``max_articles`` of them.
 
@@ -65,7 +69,7 @@ def _per_choice(matched: DataFrame, value: str) -> DataFrame:
 
 def match_recipients(tagged: DataFrame, recipients: DataFrame) -> DataFrame:
     """Recipient, ``number`` and article of every digest entry."""
-    leading = leading_articles(tagged.select(*ENTRY), most_articles(recipients))
+    leading = leading_articles(tagged, most_articles(recipients))
     per_choice = _per_choice(match_choices(leading, recipients), "article_id")
     return (
         with_choice(recipients)
@@ -96,12 +100,14 @@ def digests(
     Recipients without a matching article get greeting and sign-off only.
     """
     block = T.digest_block(F.col("title"), F.col("category"), F.col("source"), F.col("summary"))
-    # The texts are cut down to their blocks before the first shuffle. What is left, the newest few
-    # of each category, is written out since two steps use it.
-    blocks = with_summary(tagged).select(*ENTRY, block.alias("block"))
-    leading = pin(leading_articles(blocks, most_articles(recipients)), "leading")
+    # The newest few of each category are found without their texts; blocks are made for those
+    # alone, and written since a tagged table is costly to make.
+    rows = pin(tagged.select(*{*ENTRY, "title", "source", "description", *_given(tagged)}), "tagged")
+    leading = pin(leading_articles(rows, most_articles(recipients)), "leading")
     matched = match_choices(leading, recipients)
-    listed = _per_choice(matched.join(leading.select("article_id", "block"), "article_id"), "block")
+    used = rows.join(leading.select("article_id"), "article_id", "left_semi")
+    blocks = with_summary(used).select("article_id", block.alias("block"))
+    listed = _per_choice(matched.join(blocks, "article_id"), "block")
     line = T.subject_line(subject, as_of)
     greeting = F.replace(F.lit(fixed.GREETING), F.lit("{}"), F.col("recipient"))
     blank = F.lit("")

@@ -6,10 +6,12 @@ need no shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -55,13 +57,25 @@ def overlap_scorer(scale: float = 10.0) -> Scorer:
     return score
 
 
+# Models of this worker process, by a digest of the function that loads them.
+MODELS: dict[str, Callable] = {}
+
+
+def loaded(key: str, load: Callable[[], Callable]) -> Callable:
+    """The model that ``load`` gives, loaded once per worker process."""
+    if key not in MODELS:
+        MODELS[key] = load()
+    return MODELS[key]
+
+
 def pandas_scorer(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]) -> Scorer:
-    """Scorer around a model. ``load`` runs once per task and returns a function from premises and
-    hypotheses to a matrix of logits, one row per premise."""
+    """Scorer around a model. ``load`` runs once per worker process and returns a function from
+    premises and hypotheses to a matrix of logits, one row per premise."""
+    key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
 
     def score(premise: Column, hypotheses: list[str]) -> Column:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
+            model = loaded(key, load)
             for batch in batches:
                 yield pd.Series(list(model(batch.tolist(), hypotheses)), index=batch.index)
 

@@ -62,9 +62,9 @@ def request_members(requests: DataFrame) -> DataFrame:
 def single_prompts(articles: DataFrame) -> DataFrame:
     """One request per article, with its title and details in the prompt."""
     context = F.concat(
-        F.lit(fixed.SINGLE_PROMPT + "Title: "),
+        F.lit(fixed.SINGLE_PROMPT + fixed.TITLE_FIELD),
         F.coalesce("title", F.lit("")),
-        F.lit("\nDetails: "),
+        F.lit(fixed.DETAILS_FIELD),
         T.details(F.col("title"), F.col("description")),
     )
     return articles.select("article_id", context.alias("payload"))
@@ -157,7 +157,9 @@ def error_classes(responses: DataFrame) -> DataFrame:
     """Replies by outcome: fine, refused for rate or quota, or failed otherwise."""
     ok = R.reply_content(F.col("status"), F.col("body")).isNotNull()
     outcome = (
-        F.when(ok, "ok").when(R.is_rate_limited(F.col("error")), "rate_limited").otherwise("failed")
+        F.when(ok, "ok")
+        .when(R.is_rate_limited(F.col("error"), F.col("status")), "rate_limited")
+        .otherwise("failed")
     )
     return responses.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 

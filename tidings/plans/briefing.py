@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
+from tidings.functions.times import table_time
 from tidings.operators.articles import cards, newest_rows, newest_unique, with_summary
 from tidings.operators.labelling import Scorer, category_counts, classify
 from tidings.sources.feeds import read_feeds
 from tidings.sources.labels import Label, read_labels
-from tidings.sources.tables import read_articles_csv
+from tidings.sources.tables import FILE_ORDER, drop_blank_titles, normalize_rows, resolved_rows
 
 
 def newest_with_summaries(articles: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
@@ -39,8 +41,13 @@ def csv_briefing(
     multi_line: bool = True,
 ) -> DataFrame:
     """First or newest rows of a CSV table with category and confidence; copies stay."""
-    articles = newest_rows(read_articles_csv(spark, path, multi_line), n)
-    return classify(articles, labels or read_labels(spark), scorer=scorer)
+    # Rows are put in order first, and only those that stay are cleaned.
+    rows = drop_blank_titles(resolved_rows(spark, path, multi_line))
+    when = table_time(F.col("published")) if "published" in rows.columns else F.lit(None)
+    chosen = newest_rows(rows.withColumn("published_ts", when.cast("timestamp")), n)
+    articles = normalize_rows(chosen.drop("published_ts"))
+    ordered = articles.orderBy(F.col("published_ts").desc_nulls_last(), *FILE_ORDER)
+    return classify(ordered, labels or read_labels(spark), scorer=scorer)
 
 
 def tabs(tagged: DataFrame, labels: list[Label]) -> tuple[DataFrame, DataFrame]:

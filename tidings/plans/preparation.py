@@ -14,6 +14,7 @@ from tidings.operators.corpus import (
     shuffle_rows,
     stratified_sample,
 )
+from tidings.session import pin
 from tidings.sources.tables import FILE_ORDER, read_csv, write_corpus
 
 
@@ -37,7 +38,8 @@ def balanced_corpus(
     kept = df.withColumn(column, strip(F.col(column).cast("string"))).where(
         label_is_known(column, wanted)
     )
-    sample = stratified_sample(kept, column, n, seed, id_column)
+    # The shuffle and the report both read the sample.
+    sample = pin(stratified_sample(kept, column, n, seed, id_column), "sample")
     return shuffle_rows(sample, seed, id_column), balance_report(kept, sample, column)
 
 

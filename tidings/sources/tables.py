@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
@@ -28,6 +28,23 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 
 FILE_ORDER = ["file_path", "file_offset", "row_in_split"]
+ORDINAL = "row_in_file"
+
+
+def with_ordinals(table: DataFrame) -> DataFrame:
+    """Add ``row_in_file``, the place of each row in its file from 0 on, which does not depend on
+    how files are split. The rows of every split are counted first; the counts are small."""
+    split = FILE_ORDER[:-1]
+    sizes = table.groupBy(*split).agg(
+        F.min("row_in_split").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    earlier = Window.partitionBy("file_path").orderBy("file_offset")
+    before = F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select(
+        *split, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")
+    )
+    ordinal = (F.col("row_in_split") + F.col("_shift")).alias(ORDINAL)
+    return table.join(shifts, split).select(*table.columns, ordinal)
 
 
 def pick_column(
@@ -53,7 +70,7 @@ def resolve_columns(
     if missing:
         tried = {field: spec[field] for field in missing}
         raise ValueError(f"No column for {tried} among {df.columns}")
-    order = [name for name in FILE_ORDER if name in df.columns]
+    order = [name for name in (*FILE_ORDER, ORDINAL) if name in df.columns]
     by_position = {name: position for position, name in enumerate(df.columns)}
     renamed = df.toDF(*(f"c{position}" for position in range(len(df.columns))))
     return renamed.select(
@@ -72,7 +89,7 @@ def drop_blank_titles(df: DataFrame) -> DataFrame:
 
 
 def normalize_rows(df: DataFrame) -> DataFrame:
-    """Resolved rows to articles. A field without a column gets its default."""
+    """Resolved rows with ordinals to articles. A field without a column gets its default."""
 
     def text(field: str, default: str = "") -> Column:
         if field not in df.columns:
@@ -81,9 +98,10 @@ def normalize_rows(df: DataFrame) -> DataFrame:
 
     when = table_time(F.col("published")) if "published" in df.columns else F.lit(None)
     return drop_blank_titles(df).select(
-        F.md5(F.concat_ws(":", *FILE_ORDER)).alias("article_id"),
+        F.md5(F.concat_ws(":", "file_path", ORDINAL)).alias("article_id"),
         text("source", fixed.CSV_SOURCE).alias("source"),
         F.lit(0).alias("feed_rank"),
+        F.col(ORDINAL).alias("entry_index"),
         clean_text(F.col("title")).alias("title"),
         text("link").alias("link"),
         clean_text(text("description")).alias("description"),
@@ -93,12 +111,18 @@ def normalize_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def read_articles_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Articles of a CSV file with any accepted column names; copies are kept."""
+def resolved_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rows of a CSV file with any accepted column names, uncleaned, with their ordinals."""
     table = read_csv(spark, path, multi_line)
     if not [name for name in table.columns if name not in FILE_ORDER]:
         table = table.select(F.lit(None).cast("string").alias("title"), *FILE_ORDER)
-    return normalize_rows(resolve_columns(table, fixed.ARTICLE_COLUMNS))
+    return resolve_columns(with_ordinals(table), fixed.ARTICLE_COLUMNS)
+
+
+def read_articles_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Articles of a CSV file with any accepted column names; copies are kept. ``article_id`` tells
+    file and row, however the file is split."""
+    return normalize_rows(resolved_rows(spark, path, multi_line))
 
 
 def read_corpus(
@@ -122,6 +146,12 @@ def write_digests(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def preview(df: DataFrame, n: int = 5, order: list[str] = FILE_ORDER) -> DataFrame:
+    """The first ``n`` rows, in file order where the table has it."""
+    known = [name for name in order if name in df.columns]
+    return (df.orderBy(*known) if known else df).limit(n)
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Row count and column count."""
     return df.agg(

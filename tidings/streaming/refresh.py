@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StringType, StructType
 
 from tidings import fixed_values as fixed
-from tidings.operators.articles import drop_unkeyed, top_rows
+from tidings.operators.articles import dedup_first_seen, drop_unkeyed, top_rows
+from tidings.operators.labelling import Scorer, category_counts, classify
+from tidings.session import pin
 from tidings.sources.feeds import dedup_key, parse_feeds
+from tidings.sources.labels import Label
 from tidings.sources.schemas import RAW_FEEDS
 
 # Sub-keys in the first deduplication round.
@@ -43,37 +47,74 @@ def first_seen(articles: DataFrame, delay: str = "7 days") -> DataFrame:
     )
 
 
-def ingest(articles: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
-    """Append first-seen articles to a parquet table."""
-    return (
-        first_seen(articles)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-    )
+def ingest(
+    articles: DataFrame, table: str, checkpoint: str, delay: str = "7 days"
+) -> DataStreamWriter:
+    """Merge first-seen articles into a parquet table with one folder per batch.
+
+    The stream's state drops copies within ``delay`` of the first; an article listed again later is
+    found in the table by its ``article_id`` and not added again. A repeated batch looks at earlier
+    folders only and writes its own again.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        new = _unseen(batch, table, batch_id, "article_id", batch.schema["article_id"].dataType)
+        new.write.mode("overwrite").parquet(batch_folder(table, batch_id))
+
+    writer = first_seen(articles, delay).writeStream.foreachBatch(merge)
+    return writer.option("checkpointLocation", checkpoint)
+
+
+def _unseen(batch: DataFrame, table: str, batch_id: int, key: str, kind) -> DataFrame:
+    """Rows of a batch whose key no folder of an earlier batch holds."""
+    if not batch_id:
+        return batch
+    schema = StructType().add(key, kind).add("batch", "long")
+    known = batch.sparkSession.read.schema(schema).parquet(table)
+    earlier = known.where(F.col("batch") < batch_id).select(F.col(key).alias("_known"))
+    return batch.join(earlier, F.col(key) == F.col("_known"), "left_anti")
 
 
 def rolling_latest(
-    articles: DataFrame, folder: str, checkpoint: str, n: int = fixed.NEWEST
+    articles: DataFrame,
+    folder: str,
+    checkpoint: str,
+    n: int = fixed.NEWEST,
+    labels: list[Label] | None = None,
+    scorer: Scorer | None = None,
 ) -> DataStreamWriter:
-    """Keep the newest ``n`` articles seen so far, one folder per batch.
+    """Keep the newest ``n`` unique articles seen so far, one folder per batch.
 
-    Each batch merges with the folder of the batch before it. A repeated batch reads the same folder
-    and writes its own again, so a restart changes nothing.
+    The first copy of an article counts, in feed and entry order within a batch; the keys of all
+    batches are kept, so an article that fell out of the newest ones does not come back by being
+    listed again. Each batch merges with the folder of the batch before it. With ``labels`` the
+    newest articles are scored too, and their number per category is written below ``counts``. A
+    repeated batch reads the same folders and writes its own again, so a restart changes nothing.
     """
+    newest, keys, counts = newest_folder(folder), f"{folder}/keys", f"{folder}/counts"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        seen = batch
+        read = batch.sparkSession.read
+        unique = dedup_first_seen(batch).withColumn("key", dedup_key())
+        unique = pin(_unseen(unique, keys, batch_id, "key", StringType()), "fresh")
+        unique.select("key").write.mode("overwrite").parquet(batch_folder(keys, batch_id))
+        seen = unique.drop("key")
         if batch_id > 0:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(
-                batch_folder(folder, batch_id - 1)
-            )
-            seen = before.unionByName(batch)
-        top_rows(seen, n).write.mode("overwrite").parquet(batch_folder(folder, batch_id))
+            before = read.schema(batch.schema).parquet(batch_folder(newest, batch_id - 1))
+            seen = before.unionByName(seen)
+        here = batch_folder(newest, batch_id)
+        top_rows(seen, n).write.mode("overwrite").parquet(here)
+        if labels:
+            tagged = classify(read.schema(batch.schema).parquet(here), labels, scorer=scorer)
+            found = category_counts(tagged, labels)
+            found.write.mode("overwrite").parquet(batch_folder(counts, batch_id))
 
     return articles.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def newest_folder(folder: str) -> str:
+    return f"{folder}/newest"
+
+
 def batch_folder(folder: str, batch_id: int) -> str:
     return f"{folder}/batch={batch_id}"

@@ -27,6 +27,7 @@ from tidings.sources.labels import label_lines
 from tidings.sources.tables import (
     FILE_ORDER,
     drop_blank_titles,
+    preview,
     profile,
     read_articles_csv,
     read_corpus,
@@ -190,6 +191,12 @@ def table_profile(spark, sf):
     return profile(V.table(spark, sf, "documents"))
 
 
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+def table_preview(spark, sf):
+    docs = V.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return preview(docs, 5, ["doc_id"])
+
+
 # ---------------------------------------------------------------- projections and filters
 
 
@@ -322,7 +329,6 @@ def expanded_labels(spark, sf):
     return A.with_label(phrased, V.PHRASES).select("doc_id", "phrase", "label")
 
 
-TWO_TEMPLATES = fixed.TEMPLATES[:2]
 HYPOTHESES_SQL = f"""WITH {S.ARTICLES}
     SELECT article_id, t.prompt_id, l.label_rank::BIGINT AS label_rank, l.label,
            {S.PREMISE} AS premise, replace(t.template, '{{}}', l.label) AS hypothesis
@@ -339,9 +345,9 @@ def label_hypotheses(spark, sf):
     return _hypotheses(spark, sf, fixed.TEMPLATES[:1])
 
 
-@query(HYPOTHESES_SQL.replace("({})", f"({S.values(TWO_TEMPLATES)})"))
+@query(HYPOTHESES_SQL.replace("({})", f"({S.values(fixed.TEMPLATES)})").replace(f"{S.PREMISE} AS premise, ", ""))
 def template_hypotheses(spark, sf):
-    return _hypotheses(spark, sf, TWO_TEMPLATES)
+    return _hypotheses(spark, sf, fixed.TEMPLATES).drop("premise")
 
 
 @query(f"WITH {S.MATCHED} SELECT recipient, number, article_id FROM matched")
@@ -382,7 +388,8 @@ def provider_fallback(spark, sf):
 ANSWERED = f"""{S.ARTICLES}, {S.PLACED},
     turns AS (
       SELECT 'd' || conv_id AS article_id, {S.clean_summary('text')} AS reply
-      FROM conversations WHERE role = 'assistant' AND turn = 1
+      FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
+            WHERE role = 'assistant' GROUP BY 1)
     ),
     answered AS (
       SELECT p.*, CASE WHEN batch % 10 <> 0 THEN nullif(t.reply, '') END AS reply
@@ -420,6 +427,36 @@ def reply_summaries(spark, sf):
     return parsed.join(outgoing, "request_id").select("batch", "id", "summary")
 
 
+def refuse(requests: DataFrame) -> DataFrame:
+    """A provider that refuses every request."""
+    return requests.select(
+        "request_id", F.lit(429).alias("status"), F.lit(None).cast("string").alias("body")
+    )
+
+
+def echo_odd(requests: DataFrame) -> DataFrame:
+    """A provider that answers every other article with its title."""
+    payload = F.replace(F.col("payload"), F.lit(fixed.BATCH_PROMPT), F.lit(""))
+    items = F.from_json(payload, "array<struct<id:int,title:string>>")
+    odd = F.filter(items, lambda item: item["id"] % 2 == 1)
+    answers = F.transform(odd, lambda item: F.struct(item["id"], item["title"].alias("summary")))
+    message = F.struct(F.struct(F.to_json(answers).alias("content")).alias("message"))
+    body = F.to_json(F.struct(F.array(message).alias("choices")))
+    return requests.select("request_id", F.lit(200).alias("status"), body.alias("body"))
+
+
+@query(
+    f"""WITH {S.ARTICLES}, {S.PLACED}
+    SELECT article_id,
+           CASE WHEN id % 2 = 1 AND {S.clean_summary('title')} <> ''
+             THEN {S.clean_summary('title')} ELSE {S.fallback(S.DETAILS)} END AS summary
+    FROM placed"""
+)
+def summarized_articles(spark, sf):
+    filled = Q.summarize(V.articles(spark, sf), V.BATCH, refuse, echo_odd)
+    return filled.select("article_id", "summary")
+
+
 # ---------------------------------------------------------------- aggregations
 
 
@@ -680,8 +717,7 @@ def accuracy_interval(spark, sf):
 
 @query(
     f"""WITH cleaned AS (
-      SELECT string_split({S.clean_summary('text')}, chr(10)) AS lines
-      FROM conversations WHERE role <> 'system'
+      SELECT string_split({S.clean_summary('text')}, chr(10)) AS lines FROM conversations
     ),
     flagged AS (
       SELECT len(lines) = 3 AND len(list_filter(lines, lambda l: len(list_filter(
@@ -693,7 +729,7 @@ def accuracy_interval(spark, sf):
     FROM flagged"""
 )
 def compliant_summaries(spark, sf):
-    turns = V.table(spark, sf, "conversations").where("role <> 'system'")
+    turns = V.table(spark, sf, "conversations")
     return M.summary_compliance(
         turns.select(T.clean_summary_text(F.col("text")).alias("summary"))
     )

@@ -45,7 +45,8 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     """
     docs = table(spark, sf, "documents")
     pages = table(spark, sf, "pages").select("page_id", "url")
-    events = table(spark, sf, "events").where("event_type <> 'error'").select("event_id", "ts")
+    dated = F.when(F.col("event_type") != "error", F.col("ts"))
+    events = table(spark, sf, "events").select("event_id", dated.alias("ts"))
     title = F.substring_index("text", "\n", 1)
     return (
         docs.join(pages, F.col("page_id") == F.col("doc_id"), "left")
@@ -161,7 +162,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("request_id"),
         F.when(kind == "error", 500).when(kind == "signup", 429).otherwise(200).alias("status"),
         F.when(kind == "error", F.concat(F.lit("Server broke on "), "props"))
-        .when(kind == "signup", F.lit("API error: Too Many Requests"))
+        .when(kind == "signup", F.lit("Slow down"))
         .alias("error"),
         F.when(kind == "purchase", F.lit('{"choices": []}'))
         .when(kind.isin("click", "view"), good)
@@ -183,11 +184,13 @@ def batch_replies(
 ) -> tuple[DataFrame, DataFrame]:
     """Replies of two providers to packed requests, as (first, second).
 
-    Summaries are assistant turns, so articles beyond the conversations get none. Some replies are
+    Summaries are the assistant turns of a conversation, so articles beyond the conversations get none. Some replies are
     fenced, some end in a stray comma; every fifth first reply and every tenth second one fails.
     """
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
     turns = (
-        table(spark, sf, "conversations").where("role = 'assistant' AND turn = 1")
+        table(spark, sf, "conversations").groupBy("conv_id")
+        .agg(F.array_join(said["text"], " ").alias("text"))
         .select(F.concat(F.lit("d"), "conv_id").alias("article_id"), "text")
     )
     item = F.concat(
