@@ -45,6 +45,19 @@ def test_latest_is_stable_and_undated_last(spark):
     assert ids(N.latest(frame(spark, rows), 10))[-1] == "a3"
 
 
+def test_newest_keeps_exactly_n_rows(spark):
+    """Rows without ordinals stay in the running, and equal ordinals add none."""
+    rows = [article(k, f"t{k}", ts=1 + k % 3) for k in range(6)]
+    bare = [(*row[:2], None if k % 2 else 0, None, *row[4:]) for k, row in enumerate(rows)]
+    same = [(*row[:2], 0, 7, *row[4:]) for row in rows]
+    for table in (bare, same, bare + bare, [bare[0]] * 5):
+        for n in (1, 2, 4):
+            assert N.latest(frame(spark, table), n).count() == min(n, len(table))
+            assert N.newest_unique(frame(spark, table), n).count() == min(n, len(set(table)))
+    mixed = N.union_articles(frame(spark, rows[:1]), frame(spark, bare[1:2]).drop("entry_index"))
+    assert N.latest(mixed, 30).count() == 2
+
+
 def test_newest_unique_dedups_before_ordering(spark):
     rows = [
         article(1, "a", ts=1, rank=0, description="old"),

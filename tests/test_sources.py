@@ -3,7 +3,7 @@ import pytest
 from tidings import fixed_values as fixed
 from tidings.plans.briefing import csv_briefing, feed_briefing
 from tidings.plans.preparation import write_keyword_corpus
-from tidings.sources.feeds import parse_feeds, read_feeds
+from tidings.sources.feeds import feed_rejects, parse_feeds, read_feeds
 from tidings.sources.labels import label_table, read_labels
 from tidings.sources.tables import (
     pick_column,
@@ -49,6 +49,53 @@ def test_feeds(spark):
     assert str(rows[0].published_ts) == "2024-01-01 04:30:00"
 
 
+WILD = [
+    # Three whole items, then one that is cut off.
+    "<rss><channel>" + "".join(f"<item><title>t{k}</title><link>l{k}</link></item>" for k in range(3))
+    + "<item><title>t3</ti",
+    "<rss><channel><item><title>A & B</title><link>http://x?a=1&b=2</link></item></channel></rss>",
+    "<rss><channel><item><title>A&nbsp;B</title></item><item><title>ok</title></item></channel></rss>",
+    """<rdf:RDF xmlns:rdf="r" xmlns="s" xmlns:dc="d"><channel><items><rdf:Seq/></items></channel>
+    <item rdf:about="u"><title>R</title><link>lr</link><dc:date>2024-01-02T00:00:00Z</dc:date></item></rdf:RDF>""",
+    """<a:feed xmlns:a="w"><a:entry xml:lang="en"><a:title>P</a:title><a:link href="lp"/>
+    <a:content>c</a:content></a:entry></a:feed>""",
+    """<rss xmlns:content="c" xmlns:media="m"><channel><item><guid>http://g</guid><media:title>no</media:title>
+    <title>G</title><content:encoded><![CDATA[<p>Long & <b>whole</b></p>]]></content:encoded></item>
+    <item><guid isPermaLink="false">id-1</guid><title>H</title></item><item><title>I</b></title></item>
+    </channel></rss>""",
+]
+
+
+def test_feeds_that_are_no_perfect_xml(spark):
+    rows = [(text, 0, fetch) for fetch, text in enumerate(WILD)]
+    wild = spark.createDataFrame(rows, "value string, feed_rank int, fetch bigint")
+    found = parse_feeds(wild, FEEDS).orderBy("entry_index").collect()
+    assert [(r.title, r.link, r.description) for r in found] == [
+        ("t0", "l0", ""), ("t1", "l1", ""), ("t2", "l2", ""),
+        ("A & B", "http://x?a=1&b=2", ""),
+        ("A B", "", ""), ("ok", "", ""),
+        ("R", "lr", ""), ("P", "lp", "c"),
+        ("G", "http://g", "Long & whole"), ("H", "", ""),
+    ]
+    assert str(found[6].published_ts) == "2024-01-02 00:00:00"
+    rejects = {r.fetch: (r.n_entries, r.n_rejected) for r in feed_rejects(wild).collect()}
+    assert rejects == {0: (4, 1), 1: (1, 0), 2: (2, 0), 3: (1, 0), 4: (1, 0), 5: (3, 1)}
+
+
+def test_csv_ids_do_not_depend_on_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        lines = "".join(f"title {name}{k},text {k}\n" for k in range(3000))
+        (tmp_path / f"{name}.csv").write_text("title,text\n" + lines)
+    ids = []
+    for size in ("128m", "9k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = read_articles_csv(spark, str(tmp_path), multi_line=False).collect()
+        ids.append({r.article_id: (r.title, r.entry_index) for r in found})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(ids[0]) == 6000
+    assert ids[0] and all(title[7:] == str(place) for title, place in ids[0].values())
+
+
 def test_empty_title_is_not_untitled(spark):
     from tidings.sources.feeds import normalize_entries
 

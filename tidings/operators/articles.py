@@ -54,13 +54,14 @@ def top_rows(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(*recency(), "article_id").limit(n)
 
 
-def _fetch(df: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+def _fetch(df: DataFrame, chosen: DataFrame, n: int, unique: bool = False) -> DataFrame:
     """The ``n`` articles chosen, in order. Rows are told apart by ``ROW``, NULL equal to NULL;
     of rows that are alike in it any may stay, so the number is right in any case."""
     names = {name: f"_{name}" for name in ROW}
     keys = chosen.select(*ROW).distinct().withColumnsRenamed(names)
     same = [F.col(name).eqNullSafe(F.col(other)) for name, other in names.items()]
-    return top_rows(df.join(keys, same, "left_semi"), n)
+    found = df.join(keys, same, "left_semi")
+    return top_rows(found.dropDuplicates(ROW) if unique else found, n)
 
 
 def latest(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
@@ -75,7 +76,7 @@ def latest(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
 def newest_unique(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
     """The newest ``n`` articles after deduplication, decided on keys and times alone."""
     narrow = df.select("link", "title", "published_ts", *ROW)
-    return _fetch(df, top_rows(dedup_first_seen(narrow), n), n)
+    return _fetch(df, top_rows(dedup_first_seen(narrow), n), n, unique=True)
 
 
 def head_in_order(df: DataFrame, n: int, order: list[str] = FILE_ORDER) -> DataFrame:

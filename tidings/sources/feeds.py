@@ -9,7 +9,7 @@ from tidings import fixed_values as fixed
 from tidings.functions.once import with_once
 from tidings.functions.text import clean_text, or_else, strip
 from tidings.functions.times import published_time
-from tidings.sources.schemas import FEED_DOCUMENT, RAW_FEEDS
+from tidings.sources.schemas import FEED_ENTRY, RAW_FEEDS
 
 # Entries of one fetch are numbered inside a block of this size.
 FETCH_STRIDE = 1 << 32
@@ -25,46 +25,85 @@ def source_name(feed_rank: Column, feeds: list[tuple[str, str]]) -> Column:
     return F.get(F.array(*(F.lit(name) for name, _ in feeds)), feed_rank)
 
 
-def feed_entries(raw: DataFrame) -> DataFrame:
-    """One row per RSS item or Atom entry, fields as published."""
-    document = raw.select(
-        *(name for name in raw.columns if name != "value"),
-        F.from_xml("value", FEED_DOCUMENT).alias("feed"),
-    )
-    rss = F.transform(
-        F.coalesce(F.col("feed.channel.item"), F.array()),
-        lambda item: F.struct(
-            item["title"].alias("title"),
-            item["link"].alias("link"),
-            item["summary"].alias("summary"),
-            item["description"].alias("description"),
-            F.coalesce(item["pubDate"], item["published"]).alias("published"),
-            item["updated"].alias("updated"),
-        ),
-    )
-    atom = F.transform(
-        F.coalesce(F.col("feed.entry"), F.array()),
-        lambda entry: F.struct(
-            entry["title"].alias("title"),
-            _atom_link(entry["link"]).alias("link"),
-            entry["summary"].alias("summary"),
-            entry["content"].alias("description"),
-            entry["published"].alias("published"),
-            entry["updated"].alias("updated"),
-        ),
+# Where an item or entry begins, whatever its prefix, and how far a whole one reaches.
+NAME = r"(?:[\w.-]+:)?(?:item|entry)"
+BEGIN = rf"<{NAME}[\s>]"
+WHOLE = rf"(?s)^.*</{NAME}\s*>"
+OWN_PREFIX = r"^<([\w.-]+):(?:item|entry)[\s>]"
+TAG_PREFIX = r"(</?[A-Za-z_][\w.-]*):(?=[A-Za-z_])"
+ATTRIBUTE_PREFIX = r"(\s[A-Za-z_][\w.-]*):([A-Za-z_][\w.-]*\s*=\s*[\"'])"
+BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+
+
+def feed_fragments(raw: DataFrame) -> DataFrame:
+    """One row per item or entry of every document, in its order: ``position`` and the parsed
+    ``entry``, which is NULL where the fragment is cut off or no XML.
+
+    Documents are cut by text, so one bad entry costs no other; RSS, RDF and Atom with or without
+    prefixes are treated alike. Prefixed names become names with an underscore, as fragments do not
+    declare their prefixes. A fragment that is no XML is tried again with bare ampersands and
+    entities of HTML escaped. A CDATA section that itself holds the start of an item is cut there.
+    """
+    chunks = F.filter(F.split("value", f"(?={BEGIN})"), lambda chunk: chunk.rlike(f"^{BEGIN}"))
+    kept = [name for name in raw.columns if name != "value"]
+    found = raw.select(*kept, F.posexplode(chunks).alias("position", "chunk"))
+    whole = F.regexp_extract("chunk", WHOLE, 0)
+    prefix = F.regexp_extract("chunk", OWN_PREFIX, 1)
+    own = F.regexp_replace("whole", F.concat(F.lit("(</?)"), "prefix", F.lit(":")), F.lit("$1"))
+    bare = F.when(F.col("prefix") == "", F.col("whole")).otherwise(own)
+    cut = with_once(found.select(*kept, "position", whole.alias("whole"), prefix.alias("prefix")), bare=bare)
+    cut = with_once(cut, xml=F.regexp_replace("bare", TAG_PREFIX, "$1_"))
+    mended = F.regexp_replace("xml", ATTRIBUTE_PREFIX, "$1_$2")
+    mended = F.regexp_replace(mended, BARE_AMPERSAND, "&amp;")
+    tried = with_once(cut, first=F.from_xml("xml", FEED_ENTRY))
+    good = F.col("first._corrupt_record").isNull()
+    entry = F.when(good, F.col("first")).otherwise(F.from_xml(mended, FEED_ENTRY))
+    parsed = with_once(tried, entry=F.when(F.col("xml") != "", entry))
+    bad = F.col("entry._corrupt_record").isNotNull()
+    return parsed.select(*kept, "position", F.when(~bad, F.col("entry")).alias("entry"))
+
+
+def feed_rejects(raw: DataFrame) -> DataFrame:
+    """Per document how many items or entries it begins, and how many of them cannot be read."""
+    found = feed_fragments(raw).groupBy("feed_rank", "fetch")
+    return found.agg(
+        F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("entry").isNull()).alias("n_rejected")
     )
-    kept = [name for name in document.columns if name != "feed"]
-    return document.select(*kept, F.posexplode(F.concat(rss, atom)).alias("position", "e")).select(
-        *kept, "position", "e.*"
+
+
+def feed_entries(raw: DataFrame) -> DataFrame:
+    """One row per readable RSS item or Atom entry, fields as published."""
+    found = feed_fragments(raw).where("entry IS NOT NULL")
+    kept = [name for name in found.columns if name != "entry"]
+    e = F.col("entry")
+    return found.select(
+        *kept,
+        e["title"].alias("title"),
+        F.coalesce(_link(e["link"]), _permanent(e["guid"])).alias("link"),
+        e["summary"].alias("summary"),
+        F.coalesce(e["description"], e["content_encoded"], e["content"]).alias("description"),
+        F.coalesce(e["pubDate"], e["published"], e["dc_date"]).alias("published"),
+        e["updated"].alias("updated"),
     )
 
 
-def _atom_link(links: Column) -> Column:
-    """The alternate link, else the first one."""
+def _link(links: Column) -> Column:
+    """The link given as text, else the alternate address, else the first one."""
+    told = F.filter(links, lambda link: strip(link["_VALUE"]) != "")
+    named = F.filter(links, lambda link: link["_href"].isNotNull())
     alternate = F.filter(
-        links, lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate"
+        named, lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate"
+    )
+    first = F.lit(0)
+    return F.coalesce(
+        F.get(told, first)["_VALUE"], F.get(alternate, first)["_href"], F.get(named, first)["_href"]
     )
-    return F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
+
+
+def _permanent(guid: Column) -> Column:
+    """An identifier that is a link, as it is unless it says otherwise."""
+    is_link = F.coalesce(F.lower(guid["_isPermaLink"]), F.lit("true")) != "false"
+    return F.when(is_link, guid["_VALUE"])
 
 
 def normalize_entries(entries: DataFrame, feeds: list[tuple[str, str]]) -> DataFrame:

@@ -5,12 +5,9 @@ ARTICLES = (
     "link string, description string, published string, published_ts timestamp"
 )
 RAW_FEEDS = "value string, feed_rank int, fetch bigint"
-RSS_ITEM = (
-    "struct<title:string,link:string,description:string,summary:string,"
-    "pubDate:string,published:string,updated:string>"
+FEED_ENTRY = (
+    "title string, link array<struct<_VALUE:string,_href:string,_rel:string>>, "
+    "guid struct<_VALUE:string,_isPermaLink:string>, summary string, description string, "
+    "content string, content_encoded string, pubDate string, published string, dc_date string, "
+    "updated string, _corrupt_record string"
 )
-ATOM_ENTRY = (
-    "struct<title:string,link:array<struct<_href:string,_rel:string>>,"
-    "summary:string,content:string,published:string,updated:string>"
-)
-FEED_DOCUMENT = f"channel struct<item:array<{RSS_ITEM}>>, entry array<{ATOM_ENTRY}>"

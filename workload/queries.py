@@ -22,8 +22,9 @@ from tidings.plans.briefing import newest_with_summaries
 from tidings.plans.evaluation import eval_pairs
 from tidings.plans.preparation import balanced_corpus
 from tidings.session import scratch_path
-from tidings.sources.feeds import dedup_key, parse_feeds, read_feeds
+from tidings.sources.feeds import dedup_key, feed_rejects, parse_feeds, read_feeds
 from tidings.sources.labels import label_lines
+from tidings.sources.schemas import RAW_FEEDS
 from tidings.sources.tables import (
     FILE_ORDER,
     drop_blank_titles,
@@ -40,6 +41,7 @@ from tidings.streaming.refresh import (
     batch_folder,
     feed_stream,
     ingest,
+    newest_folder,
     rolling_latest,
 )
 from workload import sql as S
@@ -114,6 +116,44 @@ def feed_entries(spark, sf):
     return _feed_columns(parse_feeds(V.feed_files(spark, sf), V.feed_catalog()))
 
 
+def broken_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed documents with bare ampersands and entities of HTML, each cut in its last entry."""
+    loose = F.replace(F.replace(F.col("value"), F.lit("&amp;"), F.lit("&")), F.lit("</title>"), F.lit(" &nbsp;& </title>"))
+    ended = F.regexp_replace(loose, "</(?:item|entry)></(?:channel></rss|feed)>$", "")
+    return V.feed_files(spark, sf).withColumn("value", ended)
+
+
+BROKEN_SQL = f"""WITH {S.ARTICLES},
+    numbered AS (
+      SELECT *, entry_index // {V.DOCS_PER_FETCH} AS fetch_no,
+             row_number() OVER (PARTITION BY feed_rank, entry_index // {V.DOCS_PER_FETCH}
+                                ORDER BY entry_index) AS place,
+             count(*) OVER (PARTITION BY feed_rank, entry_index // {V.DOCS_PER_FETCH}) AS n
+      FROM arts
+    )"""
+
+
+@query(
+    f"""{BROKEN_SQL}
+    SELECT CAST(feed_rank AS BIGINT) AS feed_rank, fetch_no * 4294967296 + place - 1 AS entry_index,
+           {S.clean("title || ' ' || chr(160) || '&'")} AS title, link
+    FROM numbered WHERE place < n"""
+)
+def broken_feed_entries(spark, sf):
+    found = parse_feeds(broken_feeds(spark, sf), V.feed_catalog())
+    return found.select(big("feed_rank"), "entry_index", "title", "link")
+
+
+@query(
+    f"""{BROKEN_SQL}
+    SELECT CAST(feed_rank AS BIGINT) AS feed_rank, fetch_no AS "fetch", count(*) AS n_entries,
+           1::BIGINT AS n_rejected
+    FROM numbered GROUP BY 1, 2"""
+)
+def feed_reject_counts(spark, sf):
+    return feed_rejects(broken_feeds(spark, sf)).withColumn("feed_rank", big("feed_rank"))
+
+
 def landed(spark: SparkSession, sf: str) -> str:
     folder = scratch_path(spark, "feeds")
     V.feed_files(spark, sf).write.partitionBy("feed_rank", "fetch").text(folder)
@@ -1087,15 +1127,47 @@ def stream_ingest(spark, sf):
     return kept.select(dedup_key().alias("dedup_key"))
 
 
+def _rolled(spark, sf, labels=None) -> tuple[str, int, DataFrame]:
+    """Three overlapping fetches of all feeds, the last two after a restart: folder, last batch."""
+    run, folder = scratch_path(spark, "latest"), landed(spark, sf)
+    first = spark.read.schema(RAW_FEEDS).text(folder, wholetext=True)
+    for again in ((), (1000, 2000)):
+        for later in again:
+            once_more = first.withColumn("fetch", F.col("fetch") + later)
+            once_more.write.mode("append").partitionBy("feed_rank", "fetch").text(folder)
+        articles = feed_stream(spark, folder, V.feed_catalog())
+        writer = rolling_latest(articles, run, f"{run}/checkpoint", labels=labels)
+        running = writer.trigger(availableNow=True).start()
+        running.awaitTermination()
+    return run, running.lastProgress["batchId"], articles
+
+
+ROLLED_SQL = f"""base AS ({FEED_SQL}),
+    fresh AS (
+      SELECT * FROM base WHERE article_id <> md5('')
+      QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY feed_rank, entry_index) = 1
+    ),
+    rolled AS (
+      SELECT * FROM fresh ORDER BY published_ts DESC NULLS LAST, feed_rank, entry_index LIMIT 30
+    )"""
+
+
+@query(f"WITH {ROLLED_SQL} SELECT * FROM rolled")
+def stream_latest(spark, sf):
+    run, batch_id, articles = _rolled(spark, sf)
+    newest = spark.read.schema(articles.schema).parquet(batch_folder(newest_folder(run), batch_id))
+    return _feed_columns(newest)
+
+
 @query(
-    f"""SELECT * FROM ({FEED_SQL}) ORDER BY published_ts DESC NULLS LAST, feed_rank, entry_index
-    LIMIT 30"""
+    f"""WITH {ROLLED_SQL},
+    texts AS (SELECT article_id, {S.PREMISE} AS x FROM rolled),
+    {S.scored('texts', *S.one_template(V.PHRASED, fixed.ARTICLE_TEMPLATE))},
+    won AS (SELECT label, count(*) AS n FROM scored WHERE rn = 1 GROUP BY 1)
+    SELECT l.display AS category, true AS in_tabs, coalesce(w.n, 0) AS n
+    FROM {S.label_values(V.PHRASED)} l LEFT JOIN won w ON w.label = l.label"""
 )
-def stream_latest(spark, sf):
-    run = scratch_path(spark, "latest")
-    articles = feed_stream(spark, landed(spark, sf), V.feed_catalog())
-    writer = rolling_latest(articles, f"{run}/newest", f"{run}/checkpoint")
-    running = writer.trigger(availableNow=True).start()
-    running.awaitTermination()
-    newest = batch_folder(f"{run}/newest", running.lastProgress["batchId"])
-    return _feed_columns(spark.read.schema(articles.schema).parquet(newest))
+def stream_category_counts(spark, sf):
+    run, batch_id, _ = _rolled(spark, sf, V.PHRASED)
+    counts = spark.read.schema("category string, in_tabs boolean, n bigint")
+    return counts.parquet(batch_folder(f"{run}/counts", batch_id))

@@ -190,7 +190,7 @@ def batch_replies(
     said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
     turns = (
         table(spark, sf, "conversations").groupBy("conv_id")
-        .agg(F.array_join(said["text"], " ").alias("text"))
+        .agg(F.when(F.size(said) > 0, F.array_join(said["text"], " ")).alias("text"))
         .select(F.concat(F.lit("d"), "conv_id").alias("article_id"), "text")
     )
     item = F.concat(
