@@ -3,8 +3,8 @@
 A mask says which words of a short window are hashed; the others may differ. Hashes of all windows
 of the benchmark and of the training texts are joined, and around every hit the two texts are laid
 over each other: the longest stretch in which enough words agree tells whether the passage leaked.
-A bitmap of fixed size with the benchmark's hashes keeps most training windows from the join; it
-only ever lets through too many.
+Two bitmaps of fixed size with bits of the benchmark's hashes keep most training windows from the
+join; they only ever let through too many.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LEAST_WORDS = 13
 LEAST_SHARE = SIMILARITY
 # Words kept on either side of hits; hits nearer to each other than this make one segment.
 REACH = 64
-# The bitmap has 2**BITMAP bits, whatever the benchmark's size.
+# Each bitmap has 2**BITMAP bits, whatever the benchmark's size.
 BITMAP = 24
 
 
@@ -119,7 +119,9 @@ def _segments(
             for start, stop, data, offsets in byte_slices(batch.column(1)):
                 words = Words(data, offsets)
                 place, hashes = seeds(words, short)
-                hit = np.flatnonzero(in_bitmap(marked.value, hashes, bits))
+                once, twice = marked.value
+                hit = np.flatnonzero(in_bitmap(once, hashes, bits))
+                hit = hit[in_bitmap(twice, hashes[hit] << WIDE(bits), bits)]
                 if not len(hit):
                     continue
                 place, hashes = place[hit], hashes[hit]
@@ -199,7 +201,10 @@ def find_leaks(
     lengths = items.where(F.size("words") < shortest).select(F.size("words").alias("n")).distinct()
     short = tuple(sorted(row.n for row in lengths.collect()))
     known = pin(_item_seeds(items, shortest), "item-seeds")
-    marked = spark.sparkContext.broadcast(bitmap(known, "seed", bits))
+    # The highest bits of a seed are looked up in one bitmap, the next ones in another.
+    nexts = known.select(F.shiftleft("seed", bits).alias("seed"))
+    maps = tuple(bitmap(part, "seed", bits) for part in (known, nexts))
+    marked = spark.sparkContext.broadcast(maps)
     segments = pin(_segments(docs, text_col, id_col, marked, bits, short, reach), "segments")
     hits = segments.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("segment", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
