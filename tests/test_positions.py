@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidings.operators import corpus as C
 from tidings.operators import requests as Q
-from tidings.operators.positions import with_position
+from tidings.operators.positions import first_of_group, with_position
+from tidings.session import job_folder, pin, scratch_path
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -108,3 +109,24 @@ def test_shuffle_is_a_permutation(spark):
     assert sorted(r["id"] for r in rows) == list(range(200))
     assert [r["id"] for r in rows] != list(range(200))
     assert all(r["t"] == f"t{r['id']}" for r in rows)
+
+
+def test_job_folder_is_removed(spark):
+    with job_folder(spark):
+        kept = pin(spark.range(5), "five")
+        path = scratch_path(spark, "more")
+        assert kept.count() == 5 and "/job-" in path
+        spark.range(1).write.parquet(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert "/job-" not in scratch_path(spark, "more")
+
+
+@pytest.mark.parametrize("n", [1, 999, 1001, 5000])
+def test_first_of_group_never_meets_in_one_task(spark, n):
+    """Before the last round no group is whole, also where the engine cuts nothing by itself."""
+    rows = spark.range(6000).select(F.lit("a").alias("g"), F.col("id"))
+    found = first_of_group(rows, ["g"], [F.col("id").desc()], n)
+    assert sorted(r.id for r in found.collect()) == list(range(6000 - n, 6000))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 1024)" in plan and ", 32)" in plan

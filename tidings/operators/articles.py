@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
 from tidings.functions import text as T
+from tidings.functions.once import with_once
 from tidings.sources.feeds import dedup_key
 from tidings.sources.tables import FILE_ORDER
 
@@ -41,8 +42,8 @@ def dedup_first_seen(df: DataFrame) -> DataFrame:
     """
     first = Window.partitionBy("_key").orderBy(*(F.col(name).asc_nulls_last() for name in ROW))
     return (
-        drop_unkeyed(df)
-        .withColumn("_key", dedup_key())
+        with_once(df, _key=dedup_key())
+        .where("_key <> ''")
         .withColumn("_seen", F.row_number().over(first))
         .where("_seen = 1")
         .drop("_key", "_seen")

@@ -7,6 +7,7 @@ need no shuffle.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ def literal_strings(values: list[str]) -> Column:
     return F.array(*(F.lit(value) for value in values))
 
 
+def literal_table(rows: list[tuple], fields: str) -> Column:
+    """Rows as one literal array of structs, which the optimizer folds to a single value."""
+    names = [field.split()[0] for field in fields.split(", ")]
+    told = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kinds = ", ".join(field.replace(" ", ": ") for field in fields.split(", "))
+    return F.from_json(F.lit(told), f"array<struct<{kinds}>>")
+
+
 def overlap_shares(premise: Column, hypotheses: list[str]) -> Column:
     """Share of each hypothesis's distinct words found in the premise.
 
@@ -168,18 +177,17 @@ def classify(
 def hypotheses(
     df: DataFrame, labels: list[Label], templates: list[tuple[str, str]]
 ) -> DataFrame:
-    """One row per article, template and label, with premise and hypothesis."""
-    pairs = F.array(
-        *(
-            F.struct(
-                F.lit(prompt_id).alias("prompt_id"),
-                F.lit(rank).alias("label_rank"),
-                F.lit(label.label).alias("label"),
-                T.hypothesis_text(F.lit(template), F.lit(label.label)).alias("hypothesis"),
-            )
+    """One row per article, template and label, with premise and hypothesis.
+
+    All pairs are one literal, however many there are, so the plan stays small.
+    """
+    pairs = literal_table(
+        [
+            (prompt_id, rank, label.label, template.replace("{}", label.label))
             for prompt_id, template in templates
-            for rank, label in enumerate(checked(labels))
-        )
+            for rank, label in enumerate(labels)
+        ],
+        "prompt_id string, label_rank int, label string, hypothesis string",
     )
     # Two steps: the premise is built per article, not per hypothesis.
     texts = df.select("article_id", article_premise().alias("premise"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +41,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# The folder of the running job below the shared one, if there is one.
+JOB: ContextVar[str] = ContextVar("job", default="")
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[None]:
+    """Within this block all intermediate tables lie in one folder, which is deleted at its end.
+
+    Use what operators return, or write it, inside the block. Without it the tables stay, as a lazy
+    result may still need them.
+    """
+    token = JOB.set(f"job-{uuid.uuid4().hex}/")
+    folder = f"{shared_folder(spark)}/tidings/{JOB.get()}"
+    try:
+        yield
+    finally:
+        JOB.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/tidings/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tidings/{JOB.get()}{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:
