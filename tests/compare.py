@@ -58,7 +58,7 @@ if __name__ == "__main__":
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark, db = session(), connect(folder)
     for name, build in queries().items():
-        if wanted and name not in wanted:
+        if name not in oracle_sql() or wanted and name not in wanted:
             continue
         began = time.time()
         try:
