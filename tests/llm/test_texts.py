@@ -1,6 +1,7 @@
 """Operators that look at one text at a time."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -150,6 +151,22 @@ def test_guess_cost_orders_values():
     assert secrets.guess_cost("passwordX9") <= 10 * np.log10(62)
 
 
+def test_guess_cost_reads_whole_values():
+    random_ = random.Random(3)
+    for count in (1, 63, 64, 65, 66, 300, 20_000):
+        run = "a" * count
+        assert secrets.guess_cost(run) <= np.log10(26 * max(1, count)) + 1e-9
+        assert not secrets.costs_much("=" * count) and not secrets.costs_much("ab-" * count)
+        # What is hard to guess may stand behind what is easy.
+        assert secrets.costs_much(run + "x9!Kd2#qLz7")
+    for _ in range(300):
+        value = "".join(random_.choices("aab1!", k=random_.randrange(150)))
+        cost = secrets.guess_cost(value)
+        for enough in (2.0, 10.0, 40.0):
+            assert secrets.guess_cost(value, enough) == min(cost, enough)
+    assert secrets.costs_much("".join(random_.choices("qwzmfjx0185", k=1_000_000)))
+
+
 def test_guessed_values_and_redaction(spark):
     texts = ODD + [
         "the pwd: x9Kd2qLz7Rt5 ok",

@@ -62,8 +62,10 @@ DATE = re.compile(
     r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d"
 )
 LEET = str.maketrans("4@310!5$7", "aaeoiisst")
-# Segments other than brute force are looked for up to this length.
+# Segments other than brute force and whole runs are looked for up to this length.
 SEGMENT = 64
+# So often it is checked whether the cost can still stay low.
+CHECK = 16
 COST_OF_DATE = log10(365 * 120)
 COST_OF_YEAR = log10(120)
 
@@ -80,24 +82,40 @@ def _neighbours(a: str, b: str) -> bool:
     return abs(row - other) <= 1 and abs(column - place) <= 1 and a != b
 
 
-@lru_cache(maxsize=1 << 14)
-def guess_cost(value: str) -> float:
-    """The power of ten of the guesses that the cheapest segmentation of ``value`` needs."""
+def _runs(low: str, width: int) -> list[int]:
+    """For each place, where the run of equal blocks of ``width`` characters that begins there ends."""
+    ends = [0] * len(low)
+    for start in range(len(low) - 1, -1, -1):
+        along = start + width < len(low) and low[start] == low[start + width]
+        ends[start] = ends[start + 1] if along else start + width
+    return ends
+
+
+def guess_cost(value: str, enough: float = float("inf")) -> float:
+    """The power of ten of the guesses that the cheapest segmentation of ``value`` needs; a cost of
+    ``enough`` or more is given as ``enough``, as soon as no segmentation can be cheaper.
+
+    A repeat is any piece of a run of equal blocks; where what is left of a run is longer than ``SEGMENT``
+    characters, it is all of that, or all but the last block.
+    """
     low, size = value.lower(), len(value)
     plain = low.translate(LEET)
     brute = _character_cost(value)
     best = [0.0] + [float("inf")] * size
-    dates = {}
-    for start in range(size):
-        found = DATE.match(low, start)
-        if found:
-            dates[start] = (found.end(), COST_OF_YEAR if found.end() - start == 4 else COST_OF_DATE)
+    runs = {width: _runs(low[:size], width) for width in range(1, 5)}
+    # Where runs end that are longer than SEGMENT.
+    far: set[int] = set()
 
     def offer(end: int, cost: float) -> None:
         if cost < best[end]:
             best[end] = cost
 
     for start in range(size):
+        if start % CHECK == 0:
+            # All segments that begin earlier have been offered, and any other begins here or later.
+            far = {end for end in far if end >= start}
+            if min(best[start : start + SEGMENT + 4] + [best[end] for end in far]) >= enough:
+                return enough
         base = best[start]
         offer(start + 1, base + brute)
         for end in range(start + 2, min(size, start + LONGEST_WORD) + 1):
@@ -106,18 +124,21 @@ def guess_cost(value: str) -> float:
                 # Capitals and substituted characters each double the guesses at least.
                 changed = sum(a != b for a, b in zip(value[start:end], plain[start:end], strict=True))
                 offer(end, base + log10(rank) + 0.3 * changed + 0.3)
-        if start in dates:
-            end, cost = dates[start]
-            offer(end, base + cost)
-        # Repeats of a block of up to four characters.
-        for width in range(1, 5):
-            block = low[start : start + width]
-            end = start + width
-            while len(block) == width and low[end : end + width] == block and end - start < SEGMENT:
-                end += width
+        date = DATE.match(low[:size], start) if low[start].isdigit() else None
+        if date:
+            year = date.end() - start == 4
+            offer(date.end(), base + (COST_OF_YEAR if year else COST_OF_DATE))
+        for width, ends in runs.items():
+            times = (ends[start] - start) // width
+            if times < 2:
+                continue
+            long = times * width > SEGMENT
+            for many in (times - 1, times) if long else range(2, times + 1):
+                end = start + many * width
                 if end - start >= 3:
-                    times = (end - start) // width
-                    offer(end, base + brute * width + log10(times))
+                    offer(end, base + brute * width + log10(many))
+                if long:
+                    far.add(end)
         # Walks over the keyboard and runs of the alphabet or of digits.
         end, turns = start + 1, 0
         while end < size and end - start < SEGMENT:
@@ -129,7 +150,15 @@ def guess_cost(value: str) -> float:
             end += 1
             if end - start >= 4:
                 offer(end, base + log10(47 * (end - start)) + turns * 0.6)
-    return best[size]
+    return min(best[size], enough)
+
+
+_cached_cost = lru_cache(maxsize=1 << 14)(guess_cost)
+
+
+def costs_much(value: str) -> bool:
+    """Whether ``value`` takes 10 ** ``LEAST_COST`` guesses; short values are remembered."""
+    return (_cached_cost if len(value) <= SEGMENT else guess_cost)(value, LEAST_COST) >= LEAST_COST
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -164,7 +193,7 @@ def guessed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
         # Prose after such a word is letters only; a value mixes kinds of characters.
         if value.isalpha() and (value.islower() or value.istitle() or value.isupper()):
             continue
-        if guess_cost(value[: 4 * SEGMENT]) >= LEAST_COST:
+        if costs_much(value):
             out.append((GUESS, start, end))
     return out
 
