@@ -95,6 +95,8 @@ def test_packing(spark):
         assert row.offset == filled.get(row.sequence_id, 0)
         filled[row.sequence_id] = row.offset + row.length
     assert packing.pack(docs.limit(0), WORD, 2).count() == 0
+    # The same rows again give the same sequences.
+    assert sorted(map(repr, packing.pack(docs, WORD, 2, group=5).collect())) == sorted(map(repr, found))
 
 
 def test_token_files(spark):

@@ -131,9 +131,11 @@ def pack(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("group"),
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
     parts = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "group").sortWithinPartitions("group")
+    # The order inside a group is fixed too: a task that runs again gives the same sequences.
+    dealt = dealt.repartition(parts, "group").sortWithinPartitions("group", "row").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
