@@ -49,11 +49,12 @@ def brute_links(rows):
     return links
 
 
-@pytest.mark.parametrize("tile", [256, 7])
-def test_near_duplicates_equal_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "ngrams"), [(256, 1 << 22), (7, 1 << 22), (256, 300)])
+def test_near_duplicates_equal_brute_force(spark, tile, ngrams):
     rows = corpus()
     links = brute_links(rows)
-    found = near.near_duplicates(spark.createDataFrame(rows, SCHEMA), tile=tile).collect()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = near.near_duplicates(docs, tile=tile, tile_ngrams=ngrams).collect()
     assert {row.doc_id: row.n_links for row in found} == {key: len(links[key]) for key, _ in rows}
     seen = {}
     for key, _ in rows:

@@ -28,8 +28,10 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 ROWS = 5
-# Classes in a tile of a component; a task verifies the pairs of two tiles.
+# Classes in a tile of a component, and n-grams in it where texts are long; a task verifies the pairs
+# of two tiles.
 TILE = 256
+TILE_NGRAMS = 1 << 22
 # Columns of the 0/1 matrix that are multiplied at once.
 COLUMNS = 1 << 13
 
@@ -81,29 +83,34 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, rows: int, bands: int):
 
 
 def sketch(docs: DataFrame, text_col: str, id_col: str, words: int, rows: int, bands: int) -> DataFrame:
-    """doc, hi, lo (null for a text without words) and the band hashes of every row."""
+    """doc, hi, lo (null for a text without words), its number of n-grams and the band hashes of
+    every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.num_rows
             keys, found, marks = np.zeros((2, size), WIDE), np.zeros(size, bool), []
-            for start, _, data, offsets in byte_slices(batch.column(1)):
-                row, key, band = signatures(*shingles(data, offsets, words), rows, bands)
+            counts = np.zeros(size, np.int64)
+            for start, stop, data, offsets in byte_slices(batch.column(1)):
+                owner, hashes = shingles(data, offsets, words)
+                row, key, band = signatures(owner, hashes, rows, bands)
                 keys[:, start + row], found[start + row] = key, True
+                counts[start:stop] = np.bincount(owner, minlength=stop - start)
                 marks.append(band)
             flat = np.concatenate(marks).ravel() if marks else np.zeros(0, WIDE)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     *(pa.array(key.view(np.int64), mask=~found) for key in keys),
+                    pa.array(counts),
                     lists(flat.view(np.int64), found * bands, pa.int64()),
                 ],
-                ["doc", "hi", "lo", "bands"],
+                ["doc", "hi", "lo", "size", "bands"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc {kind}, hi long, lo long, bands array<long>")
+    return texts.mapInArrow(run, f"doc {kind}, hi long, lo long, size long, bands array<long>")
 
 
 def _ngram_sets(docs: DataFrame, classes: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
@@ -223,6 +230,7 @@ def near_duplicates(
     recall: float = RECALL,
     rows: int = ROWS,
     tile: int = TILE,
+    tile_ngrams: int = TILE_NGRAMS,
 ) -> DataFrame:
     """For every row: doc_id, ``class_id`` (the least doc_id of its class of linked documents),
     ``n_links`` (other rows whose n-gram Jaccard similarity is ``similarity`` or more, or whose
@@ -239,6 +247,7 @@ def near_duplicates(
         .groupBy("hi", "lo")
         .agg(
             F.first("bands").alias("bands"),
+            F.first("size").alias("size"),
             F.count(F.lit(1)).alias("copies"),
             F.min("doc").alias("first_doc"),
         )
@@ -251,12 +260,13 @@ def near_duplicates(
     tied = components(ties.select("a", F.col("rep").alias("b")))
     roots = tied.select("root").distinct().select(F.col("root").alias("rep"), F.col("root").alias("component"))
     members = tied.select(F.col("node").alias("rep"), F.col("root").alias("component")).unionAll(roots)
-    members = pin(members, "components")
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    known = reps.select("rep", "hi", "lo", "copies", "first_doc", "size")
+    members = pin(members.join(known, "rep"), "components")
+    tiles = F.greatest(F.count(F.lit(1)) / tile, F.sum("size") / tile_ngrams)
+    sizes = members.groupBy("component").agg(F.ceil(tiles).cast("int").alias("tiles"))
     chosen = (
         members.join(sizes, "component")
         .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        .join(reps.select("rep", "hi", "lo", "copies", "first_doc"), "rep")
         .select("rep", "component", "tiles", "tile", "copies", "hi", "lo", "first_doc")
     )
     sets = _ngram_sets(docs, pin(chosen, "candidates"), text_col, id_col, words)
