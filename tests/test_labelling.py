@@ -1,5 +1,6 @@
 import math
 import os
+import time
 import uuid
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import labelling as L
-from tidings.sources.labels import Label
+from tidings.operators.ablation import ablate
+from tidings.sources.labels import Label, read_labels
 
 LABELS = [Label("sport", "Sport"), Label("market", "Money"), Label("film", "Film")]
 TEMPLATE = "This is about {}."
@@ -81,6 +83,22 @@ def test_model_scorer_is_loaded_once_per_worker(articles, tmp_path):
     assert len(workers) == len(set(workers)) > 0
 
 
+def test_large_vocabularies_and_many_templates(spark, tmp_path):
+    path = tmp_path / "labels.txt"
+    path.write_text("\n".join(f"topic {place} kind{place}" for place in range(2500)))
+    labels = read_labels(spark, str(path))
+    assert len(labels) == 2500
+    texts = spark.createDataFrame([("all of kind77 here", "topic 77 kind77"), ("kind2499", "x")], "x string, y string")
+    wide = L.classify(texts, labels, "{}", premise=F.col("x"))
+    assert [r.raw_category for r in wide.collect()] == ["topic 77 kind77", "topic 2499 kind2499"]
+    few = labels[:300]
+    templates = [(f"t{place:03}", f"number {place} {{}}") for place in range(120)]
+    start = time.monotonic()
+    found = ablate(texts, few, templates).collect()
+    assert time.monotonic() - start < 30
+    assert [(r.prompt_id, r.accuracy) for r in found] == [(name, 0.5) for name, _ in templates]
+
+
 def test_display_names(spark):
     frame = spark.createDataFrame([("sport",), ("other",), (None,)], "raw_category string")
     shown = [r["category"] for r in L.map_display(frame, LABELS).collect()]

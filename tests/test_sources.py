@@ -1,15 +1,18 @@
 import pytest
 
 from tidings import fixed_values as fixed
+from tidings.operators.corpus import keyword_subset
 from tidings.plans.briefing import csv_briefing, feed_briefing
 from tidings.plans.preparation import write_keyword_corpus
 from tidings.sources.feeds import feed_rejects, parse_feeds, read_feeds
 from tidings.sources.labels import label_table, read_labels
 from tidings.sources.tables import (
+    breaks_lines,
     pick_column,
     profile,
     read_articles_csv,
     read_corpus,
+    read_csv,
     resolve_columns,
     write_digests,
 )
@@ -96,6 +99,34 @@ def test_csv_ids_do_not_depend_on_splits(spark, tmp_path):
     assert ids[0] and all(title[7:] == str(place) for title, place in ids[0].values())
 
 
+@pytest.mark.parametrize(
+    ("text", "breaks"),
+    [
+        ("a,b\n", False),
+        ('a,"b ""c"", d",""\n"x",y\n', False),
+        ('a,"b\nc"\n', True),
+        ('a,"b ""\nc"" "\n', True),
+        ('a"b,"c\nd",e\n', True),
+        ('5" disk,b\n', True),
+        ('"","a\r\nb"\r\n', True),
+        ("", False),
+    ],
+)
+def test_line_breaks_inside_fields_are_found(spark, tmp_path, text, breaks):
+    (tmp_path / "a.csv").write_bytes(b"x,y,z\n" + text.encode())
+    assert breaks_lines(spark, str(tmp_path)) == breaks
+    if not breaks:
+        kept = [read_csv(spark, str(tmp_path), way).drop("row_in_split").collect() for way in (True, False, None)]
+        assert kept[0] == kept[1] == kept[2]
+
+
+def test_keyword_matches_are_found_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text\n" + "".join(f"police {k}\ncalm\n" for k in range(40)))
+    found = keyword_subset(read_csv(spark, str(tmp_path)), "text", ["POLICE"], 25)
+    assert [row.text for row in found.collect()] == [f"police {k}" for k in range(25)]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_title_is_not_untitled(spark):
     from tidings.sources.feeds import normalize_entries
 

@@ -9,7 +9,8 @@ from tidings import fixed_values as fixed
 from tidings.functions.text import contains_any, strip
 from tidings.operators.articles import head_in_order
 from tidings.operators.positions import first_of_group, rejoin, with_position
-from tidings.sources.labels import Label, checked
+from tidings.session import pin
+from tidings.sources.labels import Label
 from tidings.sources.tables import FILE_ORDER
 
 
@@ -20,12 +21,12 @@ def label_is_known(column: str, labels: list[Label] | list[str]) -> Column:
 
 def filter_by_vocab(df: DataFrame, labels: list[Label], column: str = "label") -> DataFrame:
     """Rows whose label is in the vocabulary; a list this short is a filter, not a join."""
-    return df.where(label_is_known(column, checked(labels)))
+    return df.where(label_is_known(column, labels))
 
 
 def out_of_vocab(df: DataFrame, labels: list[Label], column: str = "label") -> DataFrame:
     """Rows whose label is outside the vocabulary, missing labels included."""
-    return df.where(~label_is_known(column, checked(labels)))
+    return df.where(~label_is_known(column, labels))
 
 
 def prepare_eval(df: DataFrame, labels: list[Label], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -51,8 +52,14 @@ def keyword_subset(
     n: int = fixed.KEYWORD_LIMIT,
     order: list[str] = FILE_ORDER,
 ) -> DataFrame:
-    """The first ``n`` keyword matches in file order."""
-    return head_in_order(keyword_filter(df, column, keywords), n, order)
+    """The first ``n`` keyword matches in file order; ``order`` tells rows apart.
+
+    Texts are matched once: the places of all matches are written, and the first ``n`` of them fetch
+    their rows.
+    """
+    places = pin(keyword_filter(df, column, keywords).select(*order), "matches")
+    chosen = head_in_order(places, n, order)
+    return df.join(chosen, order, "left_semi").select(*df.columns).orderBy(*order)
 
 
 def seeded_key(seed: int, id_column: str) -> Column:

@@ -1,7 +1,7 @@
 """Scoring articles against a label vocabulary.
 
-Labels and templates are literals in the plan: rows stay one per article, and softmax and arg-max
-need no shuffle.
+Labels and templates are values in the plan, all of them one literal however many there are: rows
+stay one per article, and softmax and arg-max need no shuffle.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -23,14 +24,14 @@ from tidings.functions.once import with_once
 from tidings.functions.text import bind
 from tidings.operators.articles import recency
 from tidings.operators.positions import with_position
-from tidings.sources.labels import Label, checked, label_table
+from tidings.sources.labels import Label, label_table
 
 # A scorer takes the premise and the hypotheses and gives one logit per hypothesis.
 Scorer = Callable[[Column, list[str]], Column]
 
 
 def literal_strings(values: list[str]) -> Column:
-    return F.array(*(F.lit(value) for value in values))
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
 def literal_table(rows: list[tuple], fields: str) -> Column:
@@ -41,13 +42,20 @@ def literal_table(rows: list[tuple], fields: str) -> Column:
     return F.from_json(F.lit(told), f"array<struct<{kinds}>>")
 
 
+@lru_cache(maxsize=64)
+def distinct_words(texts: tuple[str, ...]) -> str:
+    """The distinct words of each text, as JSON. Spark splits them, as it does with premises."""
+    words = F.transform(literal_strings(list(texts)), lambda text: F.array_distinct(T.tokens(text)))
+    return SparkSession.active().range(1).select(F.to_json(words)).first()[0]
+
+
 def overlap_shares(premise: Column, hypotheses: list[str]) -> Column:
     """Share of each hypothesis's distinct words found in the premise.
 
     The premise is reduced to words that occur in some hypothesis first, so a long text is searched
     once and not once per hypothesis.
     """
-    words = F.array(*(F.array_distinct(T.tokens(F.lit(text))) for text in hypotheses))
+    words = F.from_json(F.lit(distinct_words(tuple(hypotheses))), "array<array<string>>")
     known = F.array_intersect(T.word_pieces(premise), F.array_distinct(F.flatten(words)))
     return bind(
         known,
@@ -139,7 +147,7 @@ def score_labels(
     premise: Column | None = None,
 ) -> DataFrame:
     """Add ``scores``: every label with its probability, best first."""
-    names = [label.label for label in checked(labels)]
+    names = [label.label for label in labels]
     text = article_premise() if premise is None else premise
     logits = (scorer or overlap_scorer())(text, fill(template, names))
     return with_once(df, scores=ranked_labels(softmax(logits), names))
@@ -147,7 +155,7 @@ def score_labels(
 
 def map_display(df: DataFrame, labels: list[Label]) -> DataFrame:
     """Add ``category``, the display name of ``raw_category``; "Unknown" outside the vocabulary."""
-    names = literal_strings([label.label for label in checked(labels)])
+    names = literal_strings([label.label for label in labels])
     shown = literal_strings([label.display for label in labels])
     # Of equal labels the last display name counts.
     place = F.size(names) - F.array_position(F.reverse(names), F.col("raw_category"))

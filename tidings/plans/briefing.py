@@ -38,7 +38,7 @@ def csv_briefing(
     labels: list[Label] | None = None,
     n: int = fixed.NEWEST,
     scorer: Scorer | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """First or newest rows of a CSV table with category and confidence; copies stay."""
     # Rows are put in order first, and only those that stay are cleaned.

@@ -1,4 +1,4 @@
-"""Label vocabularies: short ordered lists, kept as plain values next to the plan."""
+"""Label vocabularies: ordered lists that a user writes, kept as plain values next to the plan."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tidings import fixed_values as fixed
 from tidings.functions.text import label_name, strip
 
-# A vocabulary becomes literals in the plan, so its size is checked.
-MOST_LABELS = 1000
-
 
 class Label(NamedTuple):
     label: str
@@ -39,22 +36,16 @@ def read_labels(spark: SparkSession, path: str | None = None) -> list[Label]:
     rows = []
     if path:
         try:
-            rows = label_lines(spark, path).orderBy("line").take(MOST_LABELS + 1)
+            rows = label_lines(spark, path).orderBy("line").collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
     if not rows:
         return [Label(*pair) for pair in fixed.DEFAULT_LABELS]
-    return checked([Label(row["label"], row["display"]) for row in rows])
-
-
-def checked(labels: list[Label]) -> list[Label]:
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"More than {MOST_LABELS} labels")
-    return labels
+    return [Label(row["label"], row["display"]) for row in rows]
 
 
 def label_table(spark: SparkSession, labels: list[Label]) -> DataFrame:
     """The vocabulary as a table, with its order in ``label_rank``."""
-    rows = [(rank, *label) for rank, label in enumerate(checked(labels))]
+    rows = [(rank, *label) for rank, label in enumerate(labels)]
     return spark.createDataFrame(rows, "label_rank int, label string, display string")

@@ -12,12 +12,23 @@ from tidings.functions.times import table_time
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a field may hold a line break: some line has a quote that is no part of a quoted field
+    of its own. Lines are read by tasks side by side."""
+    bare = F.replace(F.col("value"), F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(bare, '(^|,)"[^"]*"(?=,|$)', "$1")
+    return not spark.read.text(path).where(bare.contains('"')).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All columns as text, plus ``file_path``, ``file_offset`` and ``row_in_split``.
 
-    Sorting by these three gives file order. Set ``multi_line=False`` for large files without line
-    breaks inside fields: Spark can then split a file over many tasks.
+    Sorting by these three gives file order. Files with line breaks inside fields are read by one
+    task each, others are split over many tasks; unless ``multi_line`` tells which they are, their
+    lines are looked through first.
     """
+    if multi_line is None:
+        multi_line = breaks_lines(spark, path)
     table = spark.read.options(**CSV_OPTIONS).csv(path, inferSchema=False, multiLine=multi_line)
     return table.select(
         *table.columns,
@@ -111,7 +122,7 @@ def normalize_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def resolved_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def resolved_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Rows of a CSV file with any accepted column names, uncleaned, with their ordinals."""
     table = read_csv(spark, path, multi_line)
     if not [name for name in table.columns if name not in FILE_ORDER]:
@@ -119,7 +130,7 @@ def resolved_rows(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return resolve_columns(with_ordinals(table), fixed.ARTICLE_COLUMNS)
 
 
-def read_articles_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_articles_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Articles of a CSV file with any accepted column names; copies are kept. ``article_id`` tells
     file and row, however the file is split."""
     return normalize_rows(resolved_rows(spark, path, multi_line))
