@@ -12,8 +12,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges`` that is not the root, its component's least node.
 
     Large-star and small-star steps (Kiveris et al.) alternate until the edges are stars. Least
-    neighbours are partially aggregated and joined back, so a node with very many edges is split
-    by adaptive execution; nothing but two numbers per round reaches the driver.
+    neighbours are partially aggregated and written before they are joined back: Spark then knows
+    their size and broadcasts them while small, and beyond that both sides of the join are plain
+    shuffles, of which adaptive execution splits a node with very many edges. Nothing but two
+    numbers per round reaches the driver.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = pin(now.where("u > v").distinct(), "edges")
@@ -32,14 +34,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Tie the greater neighbours of every node to the least of it and its neighbours."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = pin(least.select("u", F.least("u", "m").alias("m")), "least")
     tied = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie the lesser neighbours of every node, and the node, to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = pin(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     nodes = least.select("u", F.col("m").alias("v"))
     return tied.where("u > v").unionAll(nodes).distinct()
