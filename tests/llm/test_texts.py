@@ -220,6 +220,36 @@ def test_page_text(spark, tree):
     assert pages.extract(given.limit(0), tree).count() == 0
 
 
+STORY = "many plain words stand here " * 9
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<nav><ul>" + "<li><a href=x>Home</a>" * 200 + "</ul></nav>",
+        "<select>" + "<option>Country" * 200 + "</select>",
+        "<nav><table>" + "<tr><td>a<td><a href=x>b</a>" * 200 + "</table></nav>",
+        "<nav><dl>" + "<dt>a<dd>b" * 200 + "</dl></nav>",
+        "<nav>" + "<span>" * 200 + "</nav>",
+        '<div class="content has-sidebar">',
+        '<div class="post no-comments">',
+        '<div id="layout--sidebar-left" class="content_with_menu">',
+        "<head><title>No</title><body>",
+    ],
+)
+def test_text_behind_the_frame_stays(spark, tree, before):
+    given = spark.createDataFrame([(0, f"{before}<p>{STORY}</p>")], "page_id long, html string")
+    assert pages.extract(given, tree).first().text == STORY.strip()
+
+
+def test_implied_ends_keep_to_their_list():
+    parser = pages.Blocks()
+    parser.feed("<ul><li>a<ul><li>b<li>c</ul><li>d<p>e<table><tr><td>f<table><tr><td>g</table>h<td>i")
+    assert [name for name, *_ in parser.open] == ["ul", "li", "table", "tr", "td"]
+    assert all(pages.names_frame(name) for name in ("x Side-Bar", "site_header", "cookie-notice", "nav--open", "widget2"))
+    assert not any(pages.names_frame(name) for name in ("is-menu-open", "download", "headers", "grid--sidebar"))
+
+
 def test_tree_knows_its_table(spark, tree):
     from pyspark.sql import functions as F
 

@@ -8,6 +8,8 @@ was trained on a small labelled table of blocks.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -33,13 +35,37 @@ VOID_TAGS = frozenset(
 )
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|side-?bar|aside|"
+# End tags that HTML lets out: a start tag closes the open elements first named, but none outside the
+# nearest open element of those named second.
+CELLS = frozenset(("td", "th"))
+ROWS = CELLS | {"tr", "caption", "colgroup"}
+ROW_GROUPS = ROWS | {"tbody", "thead", "tfoot"}
+TERMS = frozenset(("dd", "dt"))
+OUTER = BLOCK_TAGS - {"address", "div", "p"}
+LISTS = frozenset(("select", "datalist"))
+IMPLIED_ENDS = {
+    "li": (frozenset(("li",)), OUTER - {"li"}),
+    **dict.fromkeys(TERMS, (TERMS, OUTER - TERMS)),
+    "option": (frozenset(("option",)), LISTS | {"optgroup"}),
+    "optgroup": (frozenset(("option", "optgroup")), LISTS),
+    **dict.fromkeys(CELLS, (CELLS | {"caption", "colgroup"}, frozenset(("table",)))),
+    "tr": (ROWS, frozenset(("table",))),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (ROW_GROUPS, frozenset(("table",)))),
+}
+# All that a head may hold; anything else ends it.
+HEAD_TAGS = frozenset("head base link meta title style script noscript template".split())
+NOT_P = BLOCK_TAGS - {"p"}
+BOILERPLATE_NAME = re.compile(
+    r"(?:nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|"
     r"ads?|advert(?:isement|ising|s)?|banner|promo(?:tion)?|sponsor(?:ed)?|cookies?|consent|notice|"
     r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|disqus|"
     r"respond|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|"
-    r"copyright|legal|disclaimer|skip)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+    r"copyright|legal|disclaimer|skip)\d*"
+)
+# With one of these in it, a name tells what an element has, lacks or looks like, not what it is.
+STATE_NAMES = frozenset(
+    "has have having with without no not non is hide hides hidden show shows one two both layout open "
+    "opened close closed active visible enable enabled disable disabled".split()
 )
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
@@ -96,6 +122,16 @@ class Block:
     heading: bool = False
 
 
+def names_frame(names: str) -> bool:
+    """Whether a class or id among ``names`` says that its element is of the frame of a page. What
+    follows "--" is a variant of the element that is named before."""
+    for name in names.lower().split():
+        words = re.split(r"[_-]+", re.sub(r"side[_-]bar", "sidebar", name.partition("--")[0]))
+        if STATE_NAMES.isdisjoint(words) and any(map(BOILERPLATE_NAME.fullmatch, words)):
+            return True
+    return False
+
+
 class Blocks(HTMLParser):
     """The text blocks of a page, in its order. Character references are decoded."""
 
@@ -103,6 +139,8 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[tuple[str, bool, bool, bool]] = []
+        # Where the open elements of each name stand in ``open``.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.silent = self.articles = self.boilerplate = self.links = 0
         self.block = Block()
 
@@ -112,6 +150,8 @@ class Blocks(HTMLParser):
         self.block = Block()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD_TAGS:
+            self.close_head()
         if tag in BLOCK_TAGS:
             self.cut()
             self.close_paragraph()
@@ -119,28 +159,55 @@ class Blocks(HTMLParser):
             self.handle_data(" ")
         if tag in VOID_TAGS:
             return
+        if tag in IMPLIED_ENDS:
+            self.close_implied(*IMPLIED_ENDS[tag])
         values = dict(attrs)
         names = f"{values.get('class') or ''} {values.get('id') or ''}"
         # The header of an article holds its title, that of a page does not.
         framed = tag in BOILERPLATE_TAGS and not (tag == "header" and self.articles)
-        framed |= bool(BOILERPLATE_NAMES.search(names)) and tag not in ("html", "body", "article", "main")
+        framed |= tag not in ("html", "body", "article", "main") and names_frame(names)
         framed |= (values.get("role") or "").lower() in ROLES
         hidden = "hidden" in values or values.get("aria-hidden") == "true"
         hidden |= "display:none" in (values.get("style") or "").replace(" ", "").lower()
         silent = tag in SILENT_TAGS or hidden
+        self.places[tag].append(len(self.open))
         self.open.append((tag, silent, framed, tag in ARTICLE_TAGS))
         self.silent += silent
         self.boilerplate += framed
         self.articles += tag in ARTICLE_TAGS
         self.links += tag == "a"
 
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of ``names``, -1 if there is none."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=-1)
+
+    def close_from(self, place: int) -> None:
+        """Close the open element at ``place`` and all inside it."""
+        while len(self.open) > place:
+            name, silent, framed, article = self.open.pop()
+            self.places[name].pop()
+            self.silent -= silent
+            self.boilerplate -= framed
+            self.articles -= article
+            self.links -= name == "a"
+
+    def close_head(self) -> None:
+        if self.places["head"]:
+            self.close_from(self.places["head"][0])
+
     def close_paragraph(self) -> None:
         """A block element ends the paragraph it would stand in."""
-        for name, *_ in reversed(self.open):
-            if name == "p":
-                self.handle_endtag("p")
-            if name in BLOCK_TAGS:
-                return
+        own = self.places["p"]
+        if own and own[-1] > self.last(NOT_P):
+            self.close_from(own[-1])
+
+    def close_implied(self, names: frozenset[str], within: frozenset[str]) -> None:
+        places = [self.places[name][-1] for name in names if self.places.get(name)]
+        if places:
+            edge = self.last(within)
+            places = [place for place in places if place > edge]
+        if places:
+            self.close_from(min(places))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,18 +217,12 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.cut()
-        if not any(name == tag for name, *_ in self.open[-64:]):
-            return
-        while self.open:
-            name, silent, framed, article = self.open.pop()
-            self.silent -= silent
-            self.boilerplate -= framed
-            self.articles -= article
-            self.links -= name == "a"
-            if name == tag:
-                return
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.close_head()
         if self.silent:
             return
         block = self.block
