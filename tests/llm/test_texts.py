@@ -189,6 +189,34 @@ def test_guessed_values_and_redaction(spark):
     assert [shown[place].text for place in range(7)] == ODD and shown[3].n == 3
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("secret access key: wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"),
+        ("auth token Xy9#kLm2$Qz7", "Xy9#kLm2$Qz7"),
+        ("login password k7!dLq92#xZ", "k7!dLq92#xZ"),
+        ("secret password is k7!dLq92#xZ.", "k7!dLq92#xZ"),
+        ("secret DB_PASS=k7!dLq92#xZ", "k7!dLq92#xZ"),
+        ("AWS_SECRET_ACCESS_KEY=wJalr/K7MDENG+bPxR", "wJalr/K7MDENG+bPxR"),
+        ("smtp_pwd='k7!dLq92#xZ'", "k7!dLq92#xZ"),
+        ("DB_PASSWORD=p@ss!W0rd#2024x", "p@ss!W0rd#2024x"),
+        ("SECRET_KEY_BASE=k7!dLq92#xZ smtpPass: x", "k7!dLq92#xZ"),
+        ('{"dbPass": "k7!dLq92#xZ"}', "k7!dLq92#xZ"),
+        ("Authorization: Bearer k7!dLq92#xZ", "k7!dLq92#xZ"),
+        ("token: postgres://me:k7!dLq92#xZ@host", "k7!dLq92#xZ"),
+    ],
+)
+def test_contexts_do_not_hide_each_other(text, value):
+    found = secrets.guessed_spans(text, secrets.base_spans(text))
+    assert [text[a:b] for _, a, b in found] == [value]
+
+
+def test_contexts_of_long_names_take_linear_time():
+    for part in ("pass_", "pass:", "pwd=", "apwd:", "pass "):
+        assert len(secrets.context_values(part * 100_000)) <= 100_000
+    assert not secrets.guessed_spans("an author: Someone-Else2 bypass x9!Kd2#qLz7", [])
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
 <div class="sidebar">Some words that stand at the side of the page for long enough to look like text.</div>

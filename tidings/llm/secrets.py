@@ -28,15 +28,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
-# Words after which a value may be a credential, beyond those of the base patterns.
-CONTEXT = re.compile(
-    r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|"
-    r"private[ _-]?key|client[ _-]?secret|credentials?|auth(?:orization)?|bearer|login|pin)"
-    r"""["']?(?:\x20+(?:is|was)\x20+|\x20*(?:=>|:=|[:=])\x20*(?:bearer\x20+|basic\x20+)?|\x20+)"""
-    r"""["'`]?([^\s"'`<>,;]+)"""
-    r"""|://[^/\s:@]+:([^@\s/]+)@""",
+# Words after which a value may be a credential, beyond those of the base patterns: anywhere in a name,
+# or where a part of a name begins (DB_PASS, smtpPass).
+KEYWORD = re.compile(
+    r"(?=[abclpst])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|"
+    r"(?:(?<![^\W_])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass|access[ _-]?key|private[ _-]?key|"
+    r"client[ _-]?secret|credentials?|auth(?:orization)?|bearer|login|pin))",
     re.IGNORECASE | re.ASCII,
 )
+NAME = re.compile(r"[\w-]*", re.ASCII)
+# What may stand between the keyword, or a name that goes on after it, and the value.
+ASSIGNED = r"""\x20*(?:=>|:=|[:=])\x20*(?:bearer\x20+|basic\x20+)?"""
+AFTER_KEYWORD = re.compile(
+    rf"""["']?(?:\x20+(?:is|was)\x20+|{ASSIGNED}|\x20+)["'`]?(?=[^\s"'`<>,;])""", re.IGNORECASE | re.ASCII
+)
+AFTER_NAME = re.compile(rf"""["']?{ASSIGNED}["'`]?(?=[^\s"'`<>,;])""", re.IGNORECASE | re.ASCII)
+VALUE = re.compile(r"""[^\s"'`<>,;]*""", re.ASCII)
+IN_URL = re.compile(r"://[^/\s:@]+:([^@\s/]+)@", re.ASCII)
 CONTEXT_HINT = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer|login|pin|://", re.I | re.A)
 GUESS = "guess"
 # A value this costly to guess (power of ten) and this long is a secret.
@@ -178,15 +186,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found)]
 
 
+def context_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands in credential context, by start. A value that is the name of a
+    further context ("secret password: ...") is none. Every name and value is run over once."""
+    names, values = set(), {}
+    name_start = name_end = value_end = 0
+    for match in KEYWORD.finditer(text):
+        start, end = match.span()
+        if start >= name_end:
+            name_start = start
+            while name_start and NAME.fullmatch(text[name_start - 1]):
+                name_start -= 1
+        if end > name_end:
+            name_end = NAME.match(text, end).end()
+        if end == name_end:
+            between = AFTER_KEYWORD.match(text, end)
+        elif text[end] in "_-0123456789" or (text[end - 1].islower() and text[end].isupper()):
+            between = AFTER_NAME.match(text, name_end)
+        else:
+            continue
+        if between:
+            if between.end() >= value_end:
+                value_end = VALUE.match(text, between.end()).end()
+            names.add(name_start)
+            values[between.end()] = value_end
+    found = [span for span in values.items() if span[0] not in names]
+    return sorted({*found, *(match.span(1) for match in IN_URL.finditer(text))})
+
+
 def guessed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of costly values in credential context that no base span touches."""
+    """Spans of costly values in credential context that no base span touches; of values one inside
+    the other the outer one."""
     if not CONTEXT_HINT.search(text):
         return []
-    out = []
-    for match in CONTEXT.finditer(text):
-        group = 1 if match[1] is not None else 2
-        start = match.start(group)
-        value = match[group].rstrip(".:)]}!?")
+    out, covered = [], 0
+    for start, end in context_values(text):
+        if start < covered:
+            continue
+        value = text[start:end].rstrip(".:)]}!?")
         end = start + len(value)
         if len(value) < LEAST_LENGTH or any(s < end and start < e for _, s, e in base):
             continue
@@ -195,6 +232,7 @@ def guessed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
             continue
         if costs_much(value):
             out.append((GUESS, start, end))
+            covered = end
     return out
 
 
