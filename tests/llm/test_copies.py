@@ -203,6 +203,22 @@ def test_long_passage_without_stops_is_found(spark):
     assert [row.n_removed for row in found if row.doc_id == 9] == [0, 0]
 
 
+def test_every_passage_of_over_50_words_is_found(spark):
+    random_ = random.Random(12)
+    passages = [" ".join(f"w{word}" for word in random_.sample(range(4000), 51)) for _ in range(300)]
+    rows = [
+        (2 * key + copy, f"{prose(random_, random_.randrange(5, 40))} {passage} {prose(random_, random_.randrange(5, 40))}")
+        for key, passage in enumerate(passages)
+        for copy in (0, 1)
+    ]
+    found = {row.doc_id: row for row in spans.cut_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for key, passage in enumerate(passages):
+        assert found[2 * key].n_removed == 0
+        own = rows[2 * key + 1][1].replace(passage, "").split()
+        middle = set(passage.split()[2 * spans.WINDOW : -3 * spans.WINDOW]) - set(own)
+        assert middle and not middle & set(found[2 * key + 1].text.split())
+
+
 def test_fingerprints(spark):
     random_ = random.Random(2)
     texts = [prose(random_, random_.randrange(0, 300), 300) for _ in range(60)] + ["", None, "é" * 7, "x"]

@@ -22,11 +22,12 @@ from tidings.llm.common import (
 # A run has so many sentences at least, and as many more as it takes to have so many words.
 SENTENCES = 3
 WORDS = 15
-# A sentence of more words ends at its commas, semicolons and colons too, after every word whose
-# hash is a multiple of ANCHOR, and after ANCHOR equal words in a row, so that a long passage is
-# never part of one sentence.
+# A sentence of more words ends at its commas, semicolons and colons too, and after the word of the
+# least hash (the first of them) of every WINDOW words in a row. Windows that lie inside a passage
+# pick the same words wherever it stands, and others pick none of its inner words, so a passage of
+# 2 * WINDOW words at its ends and a run of SENTENCES + 1 windows between them holds a run.
 LONG_SENTENCE = 15
-ANCHOR = 8
+WINDOW = 8
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 STOPS = np.zeros(256, bool)
@@ -55,13 +56,8 @@ class Sentences:
         long = np.repeat(length > long_sentence, length)
         pauses = np.flatnonzero(PAUSES[data] & followed)
         parts = self._heads(words, pauses)
-        anchors = np.flatnonzero(words.hash[:-1] % WIDE(ANCHOR) == 0) + 1
-        place = np.arange(len(words.hash))
-        other = np.ones(len(place), bool)
-        other[1:] = words.hash[1:] != words.hash[:-1]
-        place -= np.maximum.accumulate(np.where(other, place, 0))
-        equal = np.flatnonzero((place > 0) & (place % ANCHOR == 0))
-        parts = np.unique(np.concatenate([parts, anchors, equal]))
+        parts = np.union1d(parts, self._anchors(words) + 1)
+        parts = parts[parts < len(words.hash)]
         heads = np.union1d(heads, parts[long[parts]])
         self.first_word = heads
         self.doc = words.doc[heads]
@@ -74,6 +70,19 @@ class Sentences:
         last = np.append(new[1:], True)
         self.end[last] = offsets[self.doc[last] + 1]
 
+    @staticmethod
+    def _anchors(words: Words) -> np.ndarray:
+        """The first word of the least hash in every window of a text."""
+        if len(words.hash) < WINDOW:
+            return np.zeros(0, np.int64)
+        count = len(words.hash) - WINDOW + 1
+        least, place = words.hash[:count].copy(), np.arange(count)
+        for step in range(1, WINDOW):
+            lower = np.flatnonzero(words.hash[step : step + count] < least)
+            least[lower] = words.hash[lower + step]
+            place[lower] = lower + step
+        return np.unique(place[words.doc[:count] == words.doc[WINDOW - 1 :]])
+
     @staticmethod
     def _heads(words: Words, marks: np.ndarray) -> np.ndarray:
         """Words that are the first of their text or the first after a mark."""
@@ -208,8 +217,8 @@ def cut_repeats(
     run covers, and ``spans`` of what was cut (code points of the given text).
 
     A sentence ends at ".", "!" or "?" before white space and at a line feed; one longer than
-    ``long_sentence`` words also at commas, semicolons and colons and after some words that their
-    hash names. A run has ``sentences`` sentences, and more until it has ``words`` words; case and
+    ``long_sentence`` words also at commas, semicolons and colons and after the word of the least hash of
+    every ``WINDOW`` words. A run has ``sentences`` sentences, and more until it has ``words`` words; case and
     marks do not count. Of all copies of a run, the first in the text with the least doc_id stays
     (null counts as greatest). Rows that share a doc_id keep the same runs. Null stays null; a text
     with fewer sentences has no runs.
