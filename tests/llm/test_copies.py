@@ -76,6 +76,18 @@ def test_one_of_each_class_stays(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    random_ = random.Random(21)
+    texts = [prose(random_, 40) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (3, texts[0]), (4, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted((row.doc_id or 0, row.text) for row in near.keep_one(docs).collect())
+    assert kept == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2]), (0, texts[3])])
+    bench = spark.createDataFrame([(1, texts[0]), (2, texts[3])], "item_id long, text string")
+    kept = sorted((row.doc_id, row.text) for row in leaks.drop_leaks(docs, bench).collect())
+    assert kept == sorted([(1, texts[1]), (3, texts[2]), (4, texts[2])])
+
+
 def test_bands_reach_the_recall():
     bands = near.bands_for(0.8, 0.9999, 5)
     assert 1 - (1 - 0.8**5) ** bands >= 0.9999 > 1 - (1 - 0.8**5) ** (bands - 1)

@@ -235,8 +235,12 @@ def find_leaks(
 def drop_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options
 ) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; rows without a doc_id stay."""
-    found = find_leaks(docs, items, text_col, id_col, **options)
-    leaked = fresh_name(docs.columns, "leaked")
+    """``docs`` without the rows that hold a benchmark passage. Rows are told apart by numbers of
+    their own, so other rows of the same doc_id stay, and a leaked row goes without a doc_id too."""
+    names = docs.columns
+    leaked = fresh_name(names, "leaked")
+    # Written, so that a row has the same number whenever it is read.
+    docs = pin(docs.withColumn(leaked, F.monotonically_increasing_id()), "numbered")
+    found = find_leaks(docs.select(leaked, text_col), items, text_col, leaked, **options)
     gone = found.select(F.col("doc_id").alias(leaked)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(leaked), "left_anti")
+    return docs.join(gone, leaked, "left_anti").select(*names)

@@ -307,12 +307,19 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id. Of several rows under that
-    doc_id in one class any one stays, and rows without a doc_id all stay."""
-    found = near_duplicates(docs, text_col, id_col, **options)
-    leader = fresh_name(docs.columns, "leader")
-    leaders = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(leader))
-    leaders = pin(leaders.agg(F.count(F.lit(1)).alias("_rows")), "leaders")
-    same = F.col(id_col) == F.col(leader)
-    kept = docs.join(leaders.where("_rows = 1").select(leader), same, "left_semi")
-    several = docs.join(leaders.where("_rows > 1").select(leader), same, "left_semi")
-    return kept.unionAll(several.dropDuplicates([id_col])).unionAll(docs.where(F.col(id_col).isNull()))
+    doc_id in one class any one stays, and rows without a doc_id all stay. Rows are told apart by
+    numbers of their own, so a doc_id may stand for several texts."""
+    names = docs.columns
+    row = fresh_name(names, "row")
+    # Written, so that a row has the same number whenever it is read.
+    docs = pin(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(docs.select(row, text_col), text_col, row, **options)
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(row).alias("doc_id"), F.col(id_col).alias("given"))
+    leaders = (
+        found.join(ids, "doc_id")
+        .groupBy("class_id")
+        .agg(F.min(F.struct("given", "doc_id")).alias("first"))
+        .select(F.col("first.doc_id").alias(row))
+    )
+    kept = docs.join(leaders, row, "left_semi").select(*names)
+    return kept.unionAll(docs.where(F.col(id_col).isNull()).select(*names))

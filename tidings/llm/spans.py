@@ -111,7 +111,7 @@ class Sentences:
 
 
 def _first_runs(docs: DataFrame, kind: str, sentences: int, words: int, long_sentence: int) -> DataFrame:
-    """(doc, run, place): every run of every text, once per text, with its first sentence."""
+    """(doc, mark, run, place): every run of every text, once per text, with its first sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +127,14 @@ def _first_runs(docs: DataFrame, kind: str, sentences: int, words: int, long_sen
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, stop - start).take(pa.array(doc[kept])),
+                        batch.column(2).slice(start, stop - start).take(pa.array(doc[kept])),
                         pa.array(hashes[kept].view(np.int64)),
                         pa.array(place.astype(np.int32)),
                     ],
-                    ["doc", "run", "place"],
+                    ["doc", "mark", "run", "place"],
                 )
 
-    return docs.mapInArrow(run, f"doc {kind}, run long, place int")
+    return docs.mapInArrow(run, f"doc {kind}, mark long, run long, place int")
 
 
 def _cut(docs: DataFrame, kind: str, sentences: int, words: int, long_sentence: int) -> DataFrame:
@@ -157,7 +158,7 @@ def _cut(docs: DataFrame, kind: str, sentences: int, words: int, long_sentence:
                 flat = own.flatten()
                 place = flat.field("place").to_numpy(zero_copy_only=False).astype(np.int64)
                 named = flat.field("run").to_numpy(zero_copy_only=False).astype(np.int64).view(WIDE)
-                # Rows of one doc_id share their covers; each takes those that are runs of its own.
+                # Texts of one hash share their covers; each takes those that are runs of its own.
                 at = np.searchsorted(first, found.of_doc[owner] + place)
                 good = at < len(first)
                 at, named, owner, place = at[good], named[good], owner[good], place[good]
@@ -224,15 +225,19 @@ def cut_repeats(
     with fewer sentences has no runs.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    given = docs.select(
+        F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")
+    )
     runs = _first_runs(given, kind, sentences, words, long_sentence)
     owners = runs.groupBy("run").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
     owners = owners.where("n > 1").drop("n")
     covers = (
         runs.join(owners, "run")
         .where(~F.col("doc").eqNullSafe(F.col("owner")))
-        .groupBy(F.col("doc").alias("of"))
-        .agg(F.collect_list(F.struct("place", "run")).alias("covers"))
+        # Rows of one doc_id (or of none) share covers only where their texts are equal, each but once.
+        .groupBy(F.col("doc").alias("of"), F.col("mark").alias("marked"))
+        .agg(F.collect_set(F.struct("place", "run")).alias("covers"))
     )
-    joined = given.join(covers, F.col("doc").eqNullSafe(F.col("of")), "left")
+    own = F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked"))
+    joined = given.join(covers, own, "left")
     return _cut(joined.select("doc", "text", "covers"), kind, sentences, words, long_sentence)
