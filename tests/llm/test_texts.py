@@ -126,6 +126,24 @@ def test_toxicity_learns_and_quotes(spark):
     assert kept == {place for place, row in found.items() if not row.predicted}
 
 
+@pytest.mark.parametrize(
+    ("text", "inside"),
+    [
+        ('"' + "so " * 60 + "zblorf" + " so" * 60 + '"', True),
+        ("“" + "so " * 60 + "zblorf" + " so" * 60 + "”", True),
+        ("‘I don’t " + "so " * 60 + "zblorf" + " so" * 60 + "’", True),
+        ('"' + "so " * 30 + '" zblorf "so"', False),
+        ('"so\nzblorf so"', False),
+        ("“so” zblorf “so”", False),
+        ("“so” zblorf", False),
+        ("zblorf", False),
+    ],
+)
+def test_quotations_of_any_length(text, inside):
+    at = np.array([text.index("zblorf")])
+    assert toxicity.quoted(text, at, at + 6).tolist() == [inside]
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ODD)
     empty = spark.createDataFrame([], "doc_id long, toxic int")

@@ -9,6 +9,7 @@ sums, fitted on the labelled sample, gives the score.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,9 +37,8 @@ LEAST_EXCESS = 4.0
 ROWS_AT_ONCE = 20_000
 # Stems of so many letters are found misspelled too.
 FUZZY_LENGTH = 5
-# Words to either side of a hit that make its window, and characters in which quotes are looked for.
+# Words to either side of a hit that make its window.
 WINDOW = 20
-QUOTE_REACH = 80
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
 FEATURES = ["plain", "quoted", "misspelled", "stems", "window", "strongest", "density", "size"]
 
@@ -256,13 +256,29 @@ def _by_state(values: dict[int, int], size: int) -> np.ndarray:
     return out
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether the hit stands between quotation marks of its own line."""
-    left = text[max(0, start - QUOTE_REACH) : start].rpartition("\n")[2]
-    right = text[end : end + QUOTE_REACH].partition("\n")[0]
-    if left.count('"') % 2 and '"' in right:
-        return True
-    return any(left.rfind(a) > left.rfind(b) and b in right for a, b in QUOTES)
+def _places(pattern: str, text: str) -> np.ndarray:
+    return np.array([match.start() for match in re.finditer(pattern, text)], np.int64)
+
+
+def quoted(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which hits stand between quotation marks of their own line, however long it is. An apostrophe
+    between two letters is no mark."""
+    edges = np.concatenate([[-1], _places("\n", text), [len(text)]])
+    line = np.searchsorted(edges, start)
+    low, high = edges[line - 1], edges[line]
+    marks = _places('"', text)
+    before = np.searchsorted(marks, start) - np.searchsorted(marks, low)
+    out = (before % 2 == 1) & (np.searchsorted(marks, end) < np.searchsorted(marks, high))
+    for opening, closing in QUOTES:
+        opened = np.append(-1, _places(opening, text))
+        if len(opened) == 1:
+            continue
+        closed = _places(r"(?<!\w)’|’(?!\w)" if closing == "’" else closing, text)
+        last = opened[np.searchsorted(opened[1:], start)]
+        ended = np.append(-1, closed)[np.searchsorted(closed, start)]
+        following = np.append(closed, len(text))[np.searchsorted(closed, end)]
+        out |= (last > low) & (last > ended) & (following < high)
+    return out
 
 
 def features(texts: list[str], automaton: Automaton, weights: np.ndarray) -> np.ndarray:
@@ -277,9 +293,7 @@ def features(texts: list[str], automaton: Automaton, weights: np.ndarray) -> np.
     for hits in np.split(np.arange(len(word)), cuts) if len(word) else ():
         doc = int(owner[hits[0]])
         weight = weights[stem[hits]]
-        marked = np.array(
-            [quoted(texts[doc], start[hit] - firsts[doc], end[hit] - firsts[doc]) for hit in hits]
-        )
+        marked = quoted(texts[doc], start[hits] - firsts[doc], end[hits] - firsts[doc])
         wrong = kind[hits] == 1
         plain = np.where(marked | wrong, 0.0, weight)
         total = np.concatenate([[0.0], np.cumsum(np.where(marked, 0.0, weight))])
