@@ -24,8 +24,11 @@ COLUMNS = {
     "op8_ngram_join": "doc_id class_id n_links",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_token_files": "doc_id start n_tokens ids_crc32",
+    "op11_minhash_dedup": "doc_id n_shingles component_id kept",
+    "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_conversations": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
-ONE_ROW_EACH = [f"op{n}_" for n in (1, 2, 3, 4, 5, 8, 10)]
+ONE_ROW_EACH = [f"op{n}_" for n in (1, 2, 3, 4, 5, 8, 10, 11)]
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm import imatch, language, leaks, near, packing, pages, secrets, spans, token_files, toxicity
+from tidings.llm import (
+    conversations, filter_audit, imatch, language, leaks, minhash, near, packing, pages, secrets, spans,
+    token_files, toxicity,
+)
 from tidings.llm.common import held_out, table
 from tidings.session import scratch_path
 
@@ -82,3 +85,73 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.cut_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, folder, "labels"))
+
+
+ORACLES["op12_filter_audit"] = """
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+),
+failed AS (
+    SELECT doc_id, part,
+        len(words) < 50 AS a,
+        100 * len(list_distinct(words)) < 65 * len(words) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+    FROM texts
+),
+known AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+),
+counts AS (
+    SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask,
+        count(*) AS n,
+        count(*) FILTER (coalesce(good, false)) AS n_good,
+        count(*) FILTER (coalesce(toxic, false)) AS n_toxic
+    FROM failed LEFT JOIN known USING (doc_id) GROUP BY ALL
+),
+letters AS (SELECT unnest([0, 1, 2, 3, 4]) AS i),
+orders AS (
+    SELECT [v.i, w.i, x.i, y.i, z.i] AS places
+    FROM letters v, letters w, letters x, letters y, letters z
+    WHERE len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5
+),
+steps AS (
+    SELECT array_to_string([substr('ABCDE', p + 1, 1) FOR p IN places], '') AS filter_order,
+        s + 1 AS step, 1 << places[s + 1] AS bit,
+        coalesce(list_sum([1 << p FOR p IN places[1:s]]), 0)::INT AS before
+    FROM orders, (SELECT unnest([0, 1, 2, 3, 4]) AS s)
+),
+effects AS (
+    SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM effects
+"""
+
+
+@query
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.audit(conversations.damage(rows))
