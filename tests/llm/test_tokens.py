@@ -7,6 +7,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from tokenizers import Tokenizer
+
 from tidings.llm import packing, token_files
 from tidings.llm.encode import Encoder
 from tidings.session import scratch_path
@@ -26,10 +28,13 @@ def test_chunks_give_the_tokenizer_s_ids(path):
     signs = list("ab é'ÉßſİΣ.,\n\n  1_%&×日…\t\r  ́\x1c")
     texts = ["", " ", "\n", "we'll go", "a.\nB", "x  y", "<|endoftext|> a", "don't,'s 'S"]
     texts += ["".join(random_.choices(signs, k=random_.randrange(30))) for _ in range(1500)]
+    texts += [f"{random_.choice(signs)}<|endoftext|>{random_.choice(signs)}<|startoftext|><|endof" for _ in range(50)]
+    texts += ["<|endoftext|>", "text|>", "<|endoftext|><|endoftext|>", "<|end", "oftext|>", "x<|startoftext|>"]
+    random_.shuffle(texts)
     encoder = Encoder(path)
     ids, counts = encoder.encode(*as_bytes(texts))
     ends = np.cumsum(counts)
-    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     for text, end, size, one in zip(texts, ends, counts, whole, strict=True):
         assert ids[end - size : end].tolist() == one.ids, repr(text)
 
@@ -99,6 +104,22 @@ def test_packing(spark):
     assert sorted(map(repr, packing.pack(docs, WORD, 2, group=5).collect())) == sorted(map(repr, found))
 
 
+def test_groups_of_long_texts(spark):
+    """Groups are bounded by bytes too, and a group of many batches is encoded batch by batch."""
+    rows = [(place, f"w{place} " * 400) for place in range(300)] + [(1000, "long " * 50_000), (1001, "a<|endoftext|>b")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = packing.pack(docs, WORD, 2, group_bytes=20_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({row.sequence_id >> packing.GROUP_BITS for row in found}) > 20
+    tokenizer, lengths = Tokenizer.from_file(WORD), {}
+    for row in found:
+        lengths[row.doc_id] = lengths.get(row.doc_id, 0) + row.length
+    assert lengths == {key: len(tokenizer.encode(text, add_special_tokens=False).ids) + 1 for key, text in rows}
+
+
 def test_token_files(spark):
     rows = rows_with_oddities()
     docs = spark.createDataFrame([(*row, 1) for row in rows], SCHEMA + ", part long")

@@ -9,7 +9,8 @@ places only, where bytes alone tell that the tokenizer cuts there too:
 * between a letter and an ASCII mark other than the apostrophe, in either order.
 
 Chunks are known by 64-bit hash and length, so a text costs array operations only, but for chunks
-not seen before.
+not seen before. A text that holds the string of an added token, such as ``<|endoftext|>``, is given
+to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -70,12 +71,13 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file; special tokens in a text are ordinary text."""
+    """Ids of whole texts by a tokenizers file as it is."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.encode() for token in added if token.content]
         self.clear()
 
     def clear(self) -> None:
@@ -102,6 +104,36 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and their number per text."""
+        marked = self._with_added(data, offsets)
+        if not marked:
+            return self._encode(data, offsets)
+        ids, counts, done = [], [], 0
+        for text in [*marked, len(offsets) - 1]:
+            own = offsets[done : text + 1]
+            some, sizes = self._encode(data[own[0] : own[-1]], own - own[0])
+            ids.append(some)
+            counts.append(sizes)
+            if text in marked:
+                whole = data[offsets[text] : offsets[text + 1]].tobytes().decode("utf-8", "replace")
+                found = self.tokenizer.encode(whole, add_special_tokens=False).ids
+                ids.append(np.array(found, np.uint32))
+                counts.append(np.array([len(found)]))
+            done = text + 1
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The texts that hold the string of an added token, in order."""
+        whole, found = data.tobytes(), set()
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[text + 1]:
+                    found.add(text)
+                at = whole.find(token, at + 1)
+        return sorted(found)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts = chunk_starts(data, offsets)

@@ -1,6 +1,6 @@
 """Packing of tokenized documents into sequences by first-fit decreasing.
 
-Documents are dealt at random into groups of about the same number. In a group every document gives
+Documents are dealt at random into groups of about the same number and size. In a group every document gives
 full sequences of its own; what is left over is packed in decreasing order into the first sequence
 that has room, which a tournament tree over the free room finds in logarithmic time. What lies in
 sequences that stay too empty is cut anew into full ones and a few of power-of-two lengths, which
@@ -22,6 +22,9 @@ from tidings.llm.encode import encoder, with_end
 
 CAPACITY = 4096
 GROUP = 1000
+# Bytes of text in a group, and in a partition, on average; a longer text is held by itself.
+GROUP_BYTES = 16 << 20
+PART_BYTES = 64 << 20
 # Sequences with more free room than this are cut.
 SLACK = 8
 GROUP_BITS = 32
@@ -115,6 +118,7 @@ def pack(
     capacity: int = CAPACITY,
     group: int = GROUP,
     slack: int = SLACK,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, ``start`` and ``length`` in the document's ids,
     ``ids_crc32`` of the piece's ids as little-endian 32-bit numbers, ``doc_tokens``,
@@ -125,7 +129,8 @@ def pack(
     repeat or are null. A sequence is full but for ``slack`` ids at most, or its length is a power
     of two.
     """
-    groups = max(1, -(-docs.count() // group))
+    counted = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    groups = max(1, -(-counted[0] // group), -(-counted[1] // group_bytes))
     # Rows are dealt by their place in the scan, so that equal rows do not meet in one group.
     dealt = docs.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("group"),
@@ -133,7 +138,8 @@ def pack(
         F.col(text_col).alias("text"),
         F.monotonically_increasing_id().alias("row"),
     )
-    parts = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted[1] // PART_BYTES))
+    parts = min(groups, parts)
     # The order inside a group is fixed too: a task that runs again gives the same sequences.
     dealt = dealt.repartition(parts, "group").sortWithinPartitions("group", "row").drop("row")
 
@@ -141,10 +147,12 @@ def pack(
         tokens = encoder(tokenizer)
         for number, rows in _by_group(batches):
             ids, counts = [], []
-            for _, _, data, offsets in byte_slices(rows.column(2).combine_chunks()):
-                some, sizes = with_end(*tokens.encode(data, offsets), end_id)
-                ids.append(some.astype("<u4"))
-                counts.append(sizes)
+            # Batch by batch, as the texts of a group may be more than one array can hold.
+            for texts in rows.column(2).chunks:
+                for _, _, data, offsets in byte_slices(texts):
+                    some, sizes = with_end(*tokens.encode(data, offsets), end_id)
+                    ids.append(some.astype("<u4"))
+                    counts.append(sizes)
             ids, sizes = np.concatenate(ids), np.concatenate(counts)
             firsts = np.cumsum(sizes) - sizes
             pieces = np.array(plan_pieces(sizes.tolist(), capacity, slack), np.int64)
