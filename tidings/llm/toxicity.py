@@ -1,10 +1,12 @@
 """Toxicity by a learnt lexicon whose misspelled forms are found as well.
 
 The lexicon is a trie of stems that mark toxic labelled texts. It is intersected with Levenshtein
-automata of distance 1, and the product is made deterministic once, so every word of a text is read
-by one table whatever the number of stems. Hits inside quotation marks count less than hits
-outside, and hits that stand close together count as a window; a logistic regression over these
-sums, fitted on the labelled sample, gives the score.
+automata of distance 1, two letters in the wrong order counted as one edit, and the product is made
+deterministic once, so every word of a text is read by one table whatever the number of stems. A
+misspelled stem adds a share of the stem's weight, less where clean labelled texts hold words that are
+spelled like it. Hits inside quotation marks count less than
+hits outside, and hits that stand close together count as a window; a logistic regression over these
+sums, in which no hit outside quotation marks can lower the score, gives it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +31,32 @@ from tidings.session import pin
 # Bounds of the labelled sample, by label.
 TOXIC_ROWS = 4000
 CLEAN_ROWS = 8000
-# Stems: their length, their number, and how much likelier toxic texts must be to hold them.
+# Letters of a stem, and how much likelier toxic texts must be to hold it.
 SHORTEST, LONGEST = 4, 12
-MOST_STEMS = 100
 LEAST_RATIO = 4.0
 # By how many standard deviations a stem must be more frequent in toxic texts than in others.
 LEAST_EXCESS = 4.0
 ROWS_AT_ONCE = 20_000
-# Stems of so many letters are found misspelled too.
+# Stems of so many letters are found misspelled too; shorter ones would be found in words of all kinds.
 FUZZY_LENGTH = 5
+# A misspelled stem counts this share of the stem's weight at most. Before any is seen, so many are
+# expected in toxic texts for each stem spelled well.
+NEAR_SHARE, NEAR_EXPECTED = 0.8, 0.02
+# One of these between two letters stands for a letter.
+STAND_INS = "0123456789*@$#!|"
 # Words to either side of a hit that make its window.
 WINDOW = 20
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
-FEATURES = ["plain", "quoted", "misspelled", "stems", "window", "strongest", "density", "size"]
+FEATURES = ["plain", "stems", "window", "strongest", "density", "quoted", "size"]
+# Features of hits outside quotation marks come first; their coefficients are 0 at least.
+N_PLAIN = 5
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Stems with their log ratios; no stem begins with another."""
+    """Stems with their log ratios, and what they add misspelled; no stem begins with another."""
 
-    weights: tuple[tuple[str, float], ...]
+    weights: tuple[tuple[str, float, float], ...]
 
 
 @dataclass(frozen=True)
@@ -90,8 +99,26 @@ def labelled_sample(
     )
 
 
-def learn_lexicon(sample: DataFrame, most: int = MOST_STEMS) -> Lexicon:
-    """Stems that mark the toxic texts of ``sample`` (columns text, label)."""
+def read_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``letters``, with what stands for a letter inside a word as a letter of no alphabet."""
+    folded, starts = letters(texts)
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    if len(points) > 2:
+        inner = np.flatnonzero((folded[1:-1] == 0) & (folded[:-2] > 0) & (folded[2:] > 0)) + 1
+        folded[inner[np.isin(points[inner], list(map(ord, STAND_INS)))]] = 1
+    return folded, starts
+
+
+def _sizes(sample: DataFrame) -> tuple[int, int]:
+    """Toxic texts and others."""
+    found = {row.label: row["count"] for row in sample.groupBy("label").count().collect()}
+    return found.get(1, 0), found.get(0, 0)
+
+
+def learn_stems(sample: DataFrame) -> list[tuple[str, float, int]]:
+    """Stems that mark the toxic texts of ``sample`` (columns text, label), with their log ratios and the
+    number of toxic texts with them: all beginnings of words that pass both tests and neither begin
+    with a better one nor are its beginning. The sample alone bounds their number."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -116,10 +143,9 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_STEMS) -> Lexicon:
                 }
             )
 
-    sizes = {row.label: row["count"] for row in sample.groupBy("label").count().collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    bad, good = _sizes(sample)
     if not bad:
-        return Lexicon(())
+        return []
     ratio = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
     found = (
         sample.mapInPandas(count, "stem string, bad long, good long")
@@ -130,26 +156,55 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_STEMS) -> Lexicon:
         .where(F.col("ratio") >= float(np.log(LEAST_RATIO)))
         .where(F.col("bad") - F.col("chance") >= LEAST_EXCESS * F.sqrt(F.col("chance") + 1))
         .withColumn("worth", F.col("bad") * F.col("ratio"))
-        # Of stems of one word all but the longest good one are dropped below, so more are fetched.
         .orderBy(F.desc("worth"), F.desc(F.char_length("stem")), "stem")
-        .limit(most * (LONGEST - SHORTEST + 1) * 4)
         .collect()
     )
-    kept: list[tuple[str, float]] = []
+    kept: list[tuple[str, float, int]] = []
+    beginnings: set[str] = set()
     for row in found:
-        if len(kept) < most and not any(
-            row.stem.startswith(stem) or stem.startswith(row.stem) for stem, _ in kept
-        ):
-            kept.append((row.stem, float(row.ratio)))
-    return Lexicon(tuple(sorted(kept)))
+        own = {row.stem[:size] for size in range(SHORTEST, len(row.stem) + 1)}
+        # It is the beginning of a kept stem, or a kept stem is its beginning.
+        if row.stem in beginnings or any(stem in own for stem, _, _ in kept):
+            continue
+        kept.append((row.stem, float(row.ratio), row.bad))
+        beginnings |= own
+    return sorted(kept)
+
+
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Stems, and what each adds where it is misspelled: how much likelier toxic texts of ``sample`` are
+    to hold it so than others, a share of the stem's own weight at most and nothing at least."""
+    stems = learn_stems(sample)
+    automaton = Automaton([stem for stem, _, _ in stems])
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, len(stems)), np.int64)
+        for frame in frames:
+            for text, label in zip(frame["text"], frame["label"], strict=True):
+                _, _, _, stem, wrong, _ = automaton.hits(read_letters([text])[0])
+                seen[label, np.unique(stem[wrong == 1])] += 1
+        yield pd.DataFrame({"stem": np.arange(len(stems)), "bad": seen[1], "good": seen[0]})
+
+    if not stems:
+        return Lexicon(())
+    counted = sample.mapInPandas(count, "stem long, bad long, good long").groupBy("stem")
+    near = {row.stem: row for row in counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()}
+    bad, good = _sizes(sample)
+    weights = []
+    for place, (stem, weight, n_bad) in enumerate(stems):
+        held = (near[place].bad + NEAR_EXPECTED * n_bad) / bad
+        ratio = float(np.log(held / ((near[place].good + 0.5) / (good + 1))))
+        weights.append((stem, weight, min(max(ratio, 0.0), NEAR_SHARE * weight)))
+    return Lexicon(tuple(weights))
 
 
 class Automaton:
     """The trie of stems intersected with Levenshtein automata of distance 1, as one table.
 
-    ``step[state, class]`` is the next state, 0 where nothing can match any more; ``exact[state]``
-    is 1 + the stem that the word begins with (such a state need not be left), and ``near[state]``
-    1 + the stem that the whole word equals but for one edit.
+    ``step[state, class]`` is the next state, 0 where nothing can match any more. Of a state, ``begun``
+    is 1 + the longest stem that the word begins with, ``near`` 1 + one of ``FUZZY_LENGTH`` letters that
+    the word equals but for one edit if it ends there, and ``near_begun`` 1 + the one that it begins
+    with but for one edit before the stem's last letter.
     """
 
     def __init__(self, stems: list[str]):
@@ -166,51 +221,61 @@ class Automaton:
                 node = children[node][char]
                 fuzzy[node] |= len(stem) >= FUZZY_LENGTH
             ends[node] = place
+        long = {node: place for node, place in ends.items() if len(stems[place]) >= FUZZY_LENGTH}
         alphabet = sorted({char for stem in stems for char in stem})
         self.classes = np.zeros(1 << 16, np.uint8 if len(alphabet) < 250 else np.uint16)
         for place, char in enumerate(alphabet):
             self.classes[ord(char)] = place + 1
 
-        def edited(nodes) -> set[tuple[int, int]]:
+        # A part of a state: (node, errors, letter that is still due, whether the last one was read as
+        # it should be).
+        def shorter(parts: set) -> set:
             """Add what the loss of a letter of the stem allows."""
-            out = set(nodes)
-            for node, errors in nodes:
-                if not errors:
-                    out |= {(child, 1) for child in children[node].values() if fuzzy[child]}
-            return out
+            lost = {
+                (child, 1, "", False)
+                for node, errors, due, _ in parts
+                if not errors and not due
+                for child in children[node].values()
+                if fuzzy[child]
+            }
+            return parts | lost
 
         def read(state: frozenset, char: str | None) -> frozenset:
             out = set()
-            for node, errors in state:
-                if char in children[node]:
-                    child = children[node][char]
-                    if not errors or fuzzy[child]:
-                        out.add((child, errors))
-                if not errors:
-                    out |= {(child, 1) for child in children[node].values() if fuzzy[child]}
-                    if fuzzy[node]:
-                        out.add((node, 1))
-            return frozenset(edited(out))
-
-        begin = frozenset(edited({(0, 0)}))
+            for node, errors, due, _ in state:
+                if due:
+                    if char == due:
+                        out.add((node, 1, "", True))
+                    continue
+                if char in children[node] and (not errors or fuzzy[children[node][char]]):
+                    out.add((children[node][char], errors, "", True))
+                if errors:
+                    continue
+                if fuzzy[node]:
+                    out.add((node, 1, "", False))
+                for first, child in children[node].items():
+                    if not fuzzy[child]:
+                        continue
+                    out.add((child, 1, "", False))
+                    # Two letters in the wrong order: this one is the second of them.
+                    if char != first and char in children[child] and fuzzy[children[child][char]]:
+                        out.add((children[child][char], 1, first, False))
+            return frozenset(shorter(out))
+
+        begin = frozenset(shorter({(0, 0, "", False)}))
         numbers: dict[frozenset, int] = {frozenset(): 0, begin: 1}
         todo, rows = [begin], {0: [0] * (len(alphabet) + 1)}
-        self.exact, self.near = {}, {}
+        marks: dict[str, dict[int, int]] = {"begun": {}, "near": {}, "near_begun": {}}
         while todo:
             state = todo.pop()
             number = numbers[state]
-            whole = [ends[node] for node, errors in state if not errors and node in ends]
-            close = [
-                ends[node]
-                for node, errors in state
-                if errors and node in ends and len(stems[ends[node]]) >= FUZZY_LENGTH
-            ]
-            if whole:
-                self.exact[number] = whole[0] + 1
-                rows[number] = [number] * (len(alphabet) + 1)
-                continue
-            if close:
-                self.near[number] = min(close) + 1
+            for node, errors, due, matched in sorted(state):
+                if due or node not in ends:
+                    continue
+                kinds = ["near", "near_begun"] if errors and matched else ["near"] if errors else ["begun"]
+                for kind in kinds:
+                    if kind == "begun" or node in long:
+                        marks[kind][number] = ends[node] + 1
             rows[number] = []
             for char in [None, *alphabet]:
                 following = read(state, char)
@@ -219,35 +284,35 @@ class Automaton:
                     todo.append(following)
                 rows[number].append(numbers[following])
         self.step = np.array([rows[number] for number in range(len(numbers))], np.int32)
-        self.exact = _by_state(self.exact, len(numbers))
-        self.near = _by_state(self.near, len(numbers))
+        for kind, found in marks.items():
+            setattr(self, kind, _by_state(found, len(numbers)))
 
     def hits(self, folded: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(number of the word, its start, its end, stem, 1 if misspelled) of each hit, and the
-        starts of all words, in folded letters."""
+        """(number of the word, its start, its end, stem, 1 if misspelled) of each word that begins with a
+        stem, or does so but for an edit, and the starts of all words, in folded letters.
+
+        Of several stems the longest one counts, misspelled ones only where there is none spelled well."""
         inside = np.concatenate([[False], folded != 0, [False]])
         starts = np.flatnonzero(inside[1:] & ~inside[:-1])
         ends = np.flatnonzero(inside[:-1] & ~inside[1:])
         classes = self.classes[folded]
+        good, close = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
         active, state = np.arange(len(starts)), np.ones(len(starts), np.int32)
-        found: list[tuple[np.ndarray, np.ndarray, int]] = []
         depth = 0
         while len(active):
             state = self.step[state, classes[starts[active] + depth]]
             depth += 1
-            whole = self.exact[state]
             over = ends[active] - starts[active] == depth
-            found.append((active[whole > 0], whole[whole > 0] - 1, 0))
-            close = over & (self.near[state] > 0) & (whole == 0)
-            found.append((active[close], self.near[state[close]] - 1, 1))
-            on = (state > 0) & ~over & (whole == 0)
+            begun = self.begun[state]
+            good[active[begun > 0]] = begun[begun > 0]
+            near = np.where(over & (self.near[state] > 0), self.near[state], self.near_begun[state])
+            close[active[near > 0]] = near[near > 0]
+            on = (state > 0) & ~over
             active, state = active[on], state[on]
-        word = np.concatenate([one for one, _, _ in found] or [np.zeros(0, np.int64)])
-        stem = np.concatenate([one for _, one, _ in found] or [np.zeros(0, np.int64)])
-        kind = np.concatenate([np.full(len(one), kind) for one, _, kind in found] or [word])
-        order = np.argsort(word, kind="stable")
-        word = word[order]
-        return word, starts[word], ends[word], stem[order], kind[order], starts
+        word = np.flatnonzero(good | close)
+        wrong = good[word] == 0
+        stem = np.where(wrong, close[word], good[word]) - 1
+        return word, starts[word], ends[word], stem, wrong.astype(np.int64), starts
 
 
 def _by_state(values: dict[int, int], size: int) -> np.ndarray:
@@ -282,40 +347,41 @@ def quoted(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[str], automaton: Automaton, weights: np.ndarray) -> np.ndarray:
-    """The sums of each text that the score is made of, in the order of ``FEATURES``."""
-    folded, firsts = letters(texts)
+    """The sums of each text that the score is made of, in the order of ``FEATURES``; ``weights`` has two
+    for each stem, spelled well and misspelled. A hit without weight is none."""
+    folded, firsts = read_letters(texts)
     word, start, end, stem, kind, starts = automaton.hits(folded)
+    worth = weights[stem, kind] if len(word) else np.zeros(0)
+    word, start, end, stem, worth = (one[worth > 0] for one in (word, start, end, stem, worth))
     words = np.searchsorted(starts, firsts[1:]) - np.searchsorted(starts, firsts[:-1])
     out = np.zeros((len(texts), len(FEATURES)))
-    out[:, 7] = np.log1p(words)
+    out[:, -1] = np.log1p(words)
     owner = np.searchsorted(firsts, start, "right") - 1
     cuts = np.flatnonzero(np.diff(owner)) + 1
     for hits in np.split(np.arange(len(word)), cuts) if len(word) else ():
         doc = int(owner[hits[0]])
-        weight = weights[stem[hits]]
+        weight = worth[hits]
         marked = quoted(texts[doc], start[hits] - firsts[doc], end[hits] - firsts[doc])
-        wrong = kind[hits] == 1
-        plain = np.where(marked | wrong, 0.0, weight)
-        total = np.concatenate([[0.0], np.cumsum(np.where(marked, 0.0, weight))])
+        plain = np.where(marked, 0.0, weight)
+        total = np.concatenate([[0.0], np.cumsum(plain)])
         low = np.searchsorted(word[hits], word[hits] - WINDOW)
         high = np.searchsorted(word[hits], word[hits] + WINDOW, "right")
-        out[doc, :7] = np.log1p(
+        out[doc, :-1] = np.log1p(
             [
                 plain.sum(),
-                weight[marked].sum(),
-                weight[wrong & ~marked].sum(),
-                len(set(stem[hits][~wrong].tolist())),
+                len(set(stem[hits][~marked].tolist())),
                 (total[high] - total[low]).max(),
                 plain.max(),
                 100 * plain.sum() / max(1, words[doc]),
+                weight[marked].sum(),
             ]
         )
     return out
 
 
 def _machine(lexicon: Lexicon) -> tuple[Automaton, np.ndarray]:
-    weights = np.array([weight for _, weight in lexicon.weights] or [0.0])
-    return Automaton([stem for stem, _ in lexicon.weights]), weights
+    weights = np.array([both for _, *both in lexicon.weights] or [[0.0, 0.0]])
+    return Automaton([stem for stem, *_ in lexicon.weights]), weights
 
 
 def learn(
@@ -339,9 +405,12 @@ def learn(
         # Without both labels nothing can be told apart: no text is called toxic.
         return Model(lexicon, (0.0,) * len(FEATURES), -4.0)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows)
+    # A bound that is not finite is none where a feature is the same in all rows.
+    floor = [0.0] * N_PLAIN + [-1e6] * (len(FEATURES) - N_PLAIN)
     fitted = LogisticRegression(
-        featuresCol="vector", labelCol="label", maxIter=50, regParam=0.001
-    ).fit(vectors)
+        featuresCol="vector", labelCol="label", maxIter=50, regParam=0.001,
+        lowerBoundsOnCoefficients=DenseMatrix(1, len(FEATURES), floor),
+    ).fit(vectors)
     return Model(lexicon, tuple(map(float, fitted.coefficients)), float(fitted.intercept))
 
 
