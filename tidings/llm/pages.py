@@ -67,6 +67,11 @@ STATE_NAMES = frozenset(
     "has have having with without no not non is hide hides hidden show shows one two both layout open "
     "opened close closed active visible enable enabled disable disabled".split()
 )
+# An element is of the frame by its class or id only if it holds no more of the page's words than the
+# first share, or than the second one where the page's first heading is in it; but what readers say
+# may be longer than the article.
+MOST_WORDS, MOST_WITH_HEADING = 0.6, 0.2
+READERS_NAME = re.compile(r"comments?|replies|disqus|respond")
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
 )
@@ -120,16 +125,33 @@ class Block:
     article: bool = False
     boilerplate: bool = False
     heading: bool = False
+    within: set[int] = field(default_factory=set)
 
 
-def names_frame(names: str) -> bool:
-    """Whether a class or id among ``names`` says that its element is of the frame of a page. What
-    follows "--" is a variant of the element that is named before."""
+@dataclass
+class Named:
+    """An element whose class or id names the frame of a page: its words, whether the page's first
+    heading or its main part is in it, and whether it is named after readers."""
+
+    readers: bool
+    words: int = 0
+    heading: bool = False
+
+    def counts(self, words: int) -> bool:
+        """Whether it is of the frame of a page of so many words."""
+        most = MOST_WITH_HEADING if self.heading else MOST_WORDS
+        return self.readers and not self.heading or self.words <= most * words
+
+
+def frame_words(names: str) -> set[str]:
+    """The words in the classes and ids ``names`` that say that their element is of the frame of a page.
+    What follows "--" is a variant of the element that is named before."""
+    found: set[str] = set()
     for name in names.lower().split():
         words = re.split(r"[_-]+", re.sub(r"side[_-]bar", "sidebar", name.partition("--")[0]))
-        if STATE_NAMES.isdisjoint(words) and any(map(BOILERPLATE_NAME.fullmatch, words)):
-            return True
-    return False
+        if STATE_NAMES.isdisjoint(words):
+            found.update(filter(BOILERPLATE_NAME.fullmatch, words))
+    return found
 
 
 class Blocks(HTMLParser):
@@ -138,7 +160,11 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []
+        # All elements with names of the frame, and the open ones among them.
+        self.named: list[Named] = []
+        self.within: list[int] = []
+        self.words = 0
         # Where the open elements of each name stand in ``open``.
         self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.silent = self.articles = self.boilerplate = self.links = 0
@@ -165,13 +191,19 @@ class Blocks(HTMLParser):
         names = f"{values.get('class') or ''} {values.get('id') or ''}"
         # The header of an article holds its title, that of a page does not.
         framed = tag in BOILERPLATE_TAGS and not (tag == "header" and self.articles)
-        framed |= tag not in ("html", "body", "article", "main") and names_frame(names)
+        telling = frame_words(names) if tag not in ("html", "body", "article", "main") else set()
         framed |= (values.get("role") or "").lower() in ROLES
         hidden = "hidden" in values or values.get("aria-hidden") == "true"
         hidden |= "display:none" in (values.get("style") or "").replace(" ", "").lower()
         silent = tag in SILENT_TAGS or hidden
         self.places[tag].append(len(self.open))
-        self.open.append((tag, silent, framed, tag in ARTICLE_TAGS))
+        if tag in ("h1", "main"):
+            for one in self.within:
+                self.named[one].heading = True
+        if telling:
+            self.within.append(len(self.named))
+            self.named.append(Named(any(map(READERS_NAME.match, names.lower().split()))))
+        self.open.append((tag, silent, framed, tag in ARTICLE_TAGS, bool(telling)))
         self.silent += silent
         self.boilerplate += framed
         self.articles += tag in ARTICLE_TAGS
@@ -184,7 +216,9 @@ class Blocks(HTMLParser):
     def close_from(self, place: int) -> None:
         """Close the open element at ``place`` and all inside it."""
         while len(self.open) > place:
-            name, silent, framed, article = self.open.pop()
+            name, silent, framed, article, telling = self.open.pop()
+            if telling:
+                self.within.pop()
             self.places[name].pop()
             self.silent -= silent
             self.boilerplate -= framed
@@ -229,9 +263,14 @@ class Blocks(HTMLParser):
         if not data.isspace():
             block.article |= self.articles > 0
             block.boilerplate |= self.boilerplate > 0
+            block.within.update(self.within)
+            words = len(data.split())
+            self.words += words
+            for one in self.within:
+                self.named[one].words += words
             block.heading |= any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in self.open[-3:])
             if self.links:
-                block.linked += len(data.split())
+                block.linked += words
         block.parts.append(data)
 
 
@@ -242,7 +281,9 @@ def page_blocks(html: str) -> list[tuple]:
     parser.close()
     parser.cut()
     rows = []
+    frames = {place for place, one in enumerate(parser.named) if one.counts(parser.words)}
     for block in parser.blocks:
+        block.boilerplate |= not frames.isdisjoint(block.within)
         words = "".join(block.parts).split()
         if words:
             rows.append((" ".join(words), len(words), block.linked / len(words), block))
