@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
 from tidings.functions import text as T
 from tidings.functions.once import with_once
-from tidings.sources.feeds import dedup_key
+from tidings.session import pin
+from tidings.sources.feeds import dedup_key, fetch_of, landed_feeds, parse_feeds
 from tidings.sources.tables import FILE_ORDER
 
 FIRST_SEEN = ["feed_rank", "entry_index"]
@@ -80,6 +81,26 @@ def newest_unique(df: DataFrame, n: int = fixed.NEWEST) -> DataFrame:
     return _fetch(df, top_rows(dedup_first_seen(narrow), n), n, unique=True)
 
 
+def newest_landed(
+    spark: SparkSession,
+    folder: str,
+    n: int = fixed.NEWEST,
+    feeds: list[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """The newest ``n`` unique articles of a feed folder.
+
+    All documents are read once for keys and times; an article's place tells the document it came
+    from, and only the ``n`` documents named at most are read again, for the texts.
+    """
+    documents = landed_feeds(spark, folder)
+    narrow = parse_feeds(documents, feeds).select("link", "title", "published_ts", *ROW)
+    chosen = pin(top_rows(dedup_first_seen(narrow), n).select(*ROW), "newest")
+    named = chosen.select("feed_rank", fetch_of(F.col("entry_index")).alias("fetch")).distinct().collect()
+    # Both columns are partitions of the folder, so other documents are not even opened.
+    of = F.concat_ws("/", "feed_rank", "fetch").isin([f"{row.feed_rank}/{row.fetch}" for row in named])
+    return _fetch(parse_feeds(documents.where(of), feeds), chosen, n, unique=True)
+
+
 def head_in_order(df: DataFrame, n: int, order: list[str] = FILE_ORDER) -> DataFrame:
     """The first ``n`` rows in file order.
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
 from tidings.functions.times import table_time
-from tidings.operators.articles import cards, newest_rows, newest_unique, with_summary
+from tidings.operators.articles import cards, newest_landed, newest_rows, newest_unique, with_summary
 from tidings.operators.labelling import Scorer, category_counts, classify
-from tidings.sources.feeds import read_feeds
 from tidings.sources.labels import Label, read_labels
 from tidings.sources.tables import FILE_ORDER, drop_blank_titles, normalize_rows, resolved_rows
 
@@ -27,9 +26,7 @@ def feed_briefing(
     scorer: Scorer | None = None,
 ) -> DataFrame:
     """Newest unique feed articles with category and confidence."""
-    return classify(
-        newest_unique(read_feeds(spark, folder), n), labels or read_labels(spark), scorer=scorer
-    )
+    return classify(newest_landed(spark, folder, n), labels or read_labels(spark), scorer=scorer)
 
 
 def csv_briefing(

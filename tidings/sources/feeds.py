@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidings import fixed_values as fixed
 from tidings.functions.once import with_once
 from tidings.functions.text import clean_text, or_else, strip
 from tidings.functions.times import published_time
+from tidings.sources.entry_scanner import Entry, scan
 from tidings.sources.schemas import FEED_ENTRY, RAW_FEEDS
 
 # Entries of one fetch are numbered inside a block of this size.
 FETCH_STRIDE = 1 << 32
+# Entries sent back at once.
+ENTRIES = 1000
 
 
 def landed_feeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,85 +34,65 @@ def source_name(feed_rank: Column, feeds: list[tuple[str, str]]) -> Column:
     return F.get(F.array(*(F.lit(name) for name, _ in feeds)), feed_rank)
 
 
-# Where an item or entry begins, whatever its prefix, and how far a whole one reaches.
-NAME = r"(?:[\w.-]+:)?(?:item|entry)"
-BEGIN = rf"<{NAME}[\s>]"
-WHOLE = rf"(?s)^.*</{NAME}\s*>"
-OWN_PREFIX = r"^<([\w.-]+):(?:item|entry)[\s>]"
-TAG_PREFIX = r"(</?[A-Za-z_][\w.-]*):(?=[A-Za-z_])"
-ATTRIBUTE_PREFIX = r"(\s[A-Za-z_][\w.-]*):([A-Za-z_][\w.-]*\s*=\s*[\"'])"
-BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
-
+def scanned_entries(raw: DataFrame) -> DataFrame:
+    """One row per item or entry of every document, in its order: ``position`` and the fields as
+    published; one that is cut off has no fields, and ``cut_off`` says by what.
 
-def feed_fragments(raw: DataFrame) -> DataFrame:
-    """One row per item or entry of every document, in its order: ``position`` and the parsed
-    ``entry``, which is NULL where the fragment is cut off or no XML.
-
-    Documents are cut by text, so one bad entry costs no other; RSS, RDF and Atom with or without
-    prefixes are treated alike. Prefixed names become names with an underscore, as fragments do not
-    declare their prefixes. A fragment that is no XML is tried again with bare ampersands and
-    entities of HTML escaped. A CDATA section that itself holds the start of an item is cut there.
+    Documents are read in one pass each, which forgives bad markup, so one bad entry costs no other.
+    RSS, RDF and Atom with or without prefixes are treated alike; see ``entry_scanner``.
     """
-    chunks = F.filter(F.split("value", f"(?={BEGIN})"), lambda chunk: chunk.rlike(f"^{BEGIN}"))
     kept = [name for name in raw.columns if name != "value"]
-    found = raw.select(*kept, F.posexplode(chunks).alias("position", "chunk"))
-    whole = F.regexp_extract("chunk", WHOLE, 0)
-    prefix = F.regexp_extract("chunk", OWN_PREFIX, 1)
-    own = F.regexp_replace("whole", F.concat(F.lit("(</?)"), "prefix", F.lit(":")), F.lit("$1"))
-    bare = F.when(F.col("prefix") == "", F.col("whole")).otherwise(own)
-    cut = with_once(found.select(*kept, "position", whole.alias("whole"), prefix.alias("prefix")), bare=bare)
-    cut = with_once(cut, xml=F.regexp_replace("bare", TAG_PREFIX, "$1_"))
-    mended = F.regexp_replace("xml", ATTRIBUTE_PREFIX, "$1_$2")
-    mended = F.regexp_replace(mended, BARE_AMPERSAND, "&amp;")
-    tried = with_once(cut, first=F.from_xml("xml", FEED_ENTRY))
-    good = F.col("first._corrupt_record").isNull()
-    entry = F.when(good, F.col("first")).otherwise(F.from_xml(mended, FEED_ENTRY))
-    parsed = with_once(tried, entry=F.when(F.col("xml") != "", entry))
-    bad = F.col("entry._corrupt_record").isNotNull()
-    return parsed.select(*kept, "position", F.when(~bad, F.col("entry")).alias("entry"))
+    own = StructType.fromDDL(FEED_ENTRY)
+    schema = StructType([*raw.select(*kept).schema, *own])
+    arrow, kinds = to_arrow_schema(schema), to_arrow_schema(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, document in enumerate(batch.column(len(kept)).to_pylist()):
+                same = [batch.column(place).slice(row, 1) for place in range(len(kept))]
+                for entries in itertools.batched(map(_fields, itertools.count(), scan(document or "")), ENTRIES):
+                    before = [pa.concat_arrays([one] * len(entries)) for one in same]
+                    found = [pa.array(one, kind.type) for one, kind in zip(zip(*entries, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(before + found, schema=arrow)
+
+    return raw.select(*kept, "value").mapInArrow(run, schema)
+
+
+def _fields(position: int, entry: Entry | str) -> tuple:
+    if isinstance(entry, str):
+        return (position, entry, None, None, None, None, None, None)
+    said = entry.fields.get
+    # An empty one counts as said, an absent one does not.
+    first = lambda *names: next((said(name) for name in names if said(name) is not None), None)
+    return (
+        position,
+        None,
+        said("title"),
+        entry.link(),
+        said("summary"),
+        first("description", "content_encoded", "content"),
+        first("pubdate", "published", "dc_date"),
+        said("updated"),
+    )
 
 
 def feed_rejects(raw: DataFrame) -> DataFrame:
     """Per document how many items or entries it begins, and how many of them cannot be read."""
-    found = feed_fragments(raw).groupBy("feed_rank", "fetch")
+    found = scanned_entries(raw).groupBy("feed_rank", "fetch")
     return found.agg(
-        F.count(F.lit(1)).alias("n_entries"), F.count_if(F.col("entry").isNull()).alias("n_rejected")
+        F.count(F.lit(1)).alias("n_entries"), F.count("cut_off").alias("n_rejected")
     )
 
 
-def feed_entries(raw: DataFrame) -> DataFrame:
-    """One row per readable RSS item or Atom entry, fields as published."""
-    found = feed_fragments(raw).where("entry IS NOT NULL")
-    kept = [name for name in found.columns if name != "entry"]
-    e = F.col("entry")
-    return found.select(
-        *kept,
-        e["title"].alias("title"),
-        F.coalesce(_link(e["link"]), _permanent(e["guid"])).alias("link"),
-        e["summary"].alias("summary"),
-        F.coalesce(e["description"], e["content_encoded"], e["content"]).alias("description"),
-        F.coalesce(e["pubDate"], e["published"], e["dc_date"]).alias("published"),
-        e["updated"].alias("updated"),
-    )
+def reject_reasons(raw: DataFrame) -> DataFrame:
+    """Per document and reason how many items or entries are cut off, and the place of the first."""
+    found = scanned_entries(raw).where("cut_off IS NOT NULL").groupBy("feed_rank", "fetch", "cut_off")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"))
 
 
-def _link(links: Column) -> Column:
-    """The link given as text, else the alternate address, else the first one."""
-    told = F.filter(links, lambda link: strip(link["_VALUE"]) != "")
-    named = F.filter(links, lambda link: link["_href"].isNotNull())
-    alternate = F.filter(
-        named, lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate"
-    )
-    first = F.lit(0)
-    return F.coalesce(
-        F.get(told, first)["_VALUE"], F.get(alternate, first)["_href"], F.get(named, first)["_href"]
-    )
-
-
-def _permanent(guid: Column) -> Column:
-    """An identifier that is a link, as it is unless it says otherwise."""
-    is_link = F.coalesce(F.lower(guid["_isPermaLink"]), F.lit("true")) != "false"
-    return F.when(is_link, guid["_VALUE"])
+def feed_entries(raw: DataFrame) -> DataFrame:
+    """One row per readable RSS item or Atom entry, fields as published."""
+    return scanned_entries(raw).where("cut_off IS NULL").drop("cut_off")
 
 
 def normalize_entries(entries: DataFrame, feeds: list[tuple[str, str]]) -> DataFrame:
@@ -129,6 +118,11 @@ def normalize_entries(entries: DataFrame, feeds: list[tuple[str, str]]) -> DataF
     return cleaned.select(F.md5(dedup_key()).alias("article_id"), *cleaned.columns)
 
 
+def fetch_of(entry_index: Column) -> Column:
+    """The fetch that an entry came with."""
+    return F.floor(entry_index / FETCH_STRIDE)
+
+
 def dedup_key() -> Column:
     """What makes two articles the same: their link, or the title where there is no link."""
     return or_else(F.col("link"), F.col("title"))

@@ -6,8 +6,6 @@ ARTICLES = (
 )
 RAW_FEEDS = "value string, feed_rank int, fetch bigint"
 FEED_ENTRY = (
-    "title string, link array<struct<_VALUE:string,_href:string,_rel:string>>, "
-    "guid struct<_VALUE:string,_isPermaLink:string>, summary string, description string, "
-    "content string, content_encoded string, pubDate string, published string, dc_date string, "
-    "updated string, _corrupt_record string"
+    "position int, cut_off string, title string, link string, summary string, description string, "
+    "published string, updated string"
 )
