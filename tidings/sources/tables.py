@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fixed
+from tidings.functions.once import with_once
 from tidings.functions.text import clean_text, strip
 from tidings.functions.times import table_time
+from tidings.sources.csv_records import csv_records
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
@@ -23,13 +25,15 @@ def breaks_lines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All columns as text, plus ``file_path``, ``file_offset`` and ``row_in_split``.
 
-    Sorting by these three gives file order. Files with line breaks inside fields are read by one
-    task each, others are split over many tasks; unless ``multi_line`` tells which they are, their
-    lines are looked through first.
+    Sorting by these three gives file order. Files are split over many tasks. Where line breaks may
+    stand inside fields, records are cut by ``csv_records``, which reads the lines twice; unless
+    ``multi_line`` tells which files they are, their lines are looked through first.
     """
     if multi_line is None:
         multi_line = breaks_lines(spark, path)
-    table = spark.read.options(**CSV_OPTIONS).csv(path, inferSchema=False, multiLine=multi_line)
+    if multi_line:
+        return _read_records(spark, path)
+    table = spark.read.options(**CSV_OPTIONS).csv(path, inferSchema=False)
     return table.select(
         *table.columns,
         F.col("_metadata.file_path").alias("file_path"),
@@ -38,6 +42,21 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     )
 
 
+def _read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records cut by many tasks, each then parsed as a line of its own."""
+    # Only the first record is read for the names of the columns.
+    schema = spark.read.options(**CSV_OPTIONS).csv(path, inferSchema=False, multiLine=True).schema
+    options = CSV_OPTIONS | {"header": "false", "multiLine": "true", "lineSep": "\n"}
+    records = csv_records(spark, path).where("file_offset > 0 OR row_in_split > 0")
+    # A record that ends with a carriage return is of a file whose line breaks all have one.
+    plain = F.regexp_replace("record", r"\r(?=\n|\z)", "")
+    text = F.when(F.endswith("record", F.lit("\r")), plain).otherwise(F.col("record"))
+    names = [f"c{place}" for place in range(len(schema))]
+    fields = F.from_csv(text, ", ".join(f"{name} string" for name in names), options)
+    parsed = with_once(records, _fields=fields).select("_fields.*", *FILE_ORDER)
+    return parsed.toDF(*schema.names, *FILE_ORDER)
+
+
 FILE_ORDER = ["file_path", "file_offset", "row_in_split"]
 ORDINAL = "row_in_file"
 
