@@ -1,22 +1,31 @@
-"""Feed refresh as streams: first-seen ingest, and the newest articles after each batch."""
+"""Feed refresh as streams: first-seen ingest, and the newest articles after each batch.
+
+Which articles were seen is the keyed state of the stream, kept by RocksDB on the executors' disks with
+its changes in the checkpoint. A batch touches the state of its own keys only, however many batches
+came before it, and a batch that is run again finds the state as it was.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StringType, StructType
 
 from tidings import fixed_values as fixed
-from tidings.operators.articles import dedup_first_seen, drop_unkeyed, top_rows
+from tidings.operators.articles import ROW, drop_unkeyed, top_rows
 from tidings.operators.labelling import Scorer, category_counts, classify
-from tidings.session import pin
 from tidings.sources.feeds import dedup_key, parse_feeds
 from tidings.sources.labels import Label
 from tidings.sources.schemas import RAW_FEEDS
 
-# Sub-keys in the first deduplication round.
-DEDUP_SALTS = 64
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Without it every batch would write a snapshot of the whole state.
+CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def feed_stream(
@@ -31,50 +40,74 @@ def feed_stream(
     return parse_feeds(stamped, feeds)
 
 
-def first_seen(articles: DataFrame, delay: str = "7 days") -> DataFrame:
-    """The first copy of each article to arrive; a copy within ``delay`` of it is dropped.
+def _first_copies(articles: DataFrame, key: str) -> DataFrame:
+    """Per task and batch of the stream the first copy of each key, in feed and entry order."""
+    order = [(name, "ascending") for name in (key, *ROW)]
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        keys = table[key].combine_chunks()
+        new = [True, *pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_pylist()]
+        return table.filter(pa.array(new[: len(keys)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting = None, []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) > (len(kept) if kept else 0):
+                kept = best(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(waiting)]))
+                waiting = []
+        if waiting:
+            kept = best(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(waiting)]))
+        if kept:
+            yield from kept.to_batches()
+
+    return articles.mapInArrow(run, articles.schema)
+
+
+def first_seen(articles: DataFrame, keep: str | None = None) -> DataFrame:
+    """The first copy of each article to arrive; of the copies in one batch the first in feed and entry
+    order.
 
-    Two rounds: the first drops copies per key and salt, so a key listed by many files reaches the
-    task that holds its state ``DEDUP_SALTS`` times at most.
+    Keys are known for ever, or for the time ``keep`` after they were first seen, so that the state
+    stays bounded; an article listed again later than that counts as new. Copies are dropped per
+    task first, so a key listed by many files reaches the task that holds its state once per task.
     """
-    salt = F.pmod(F.xxhash64("feed_rank", "entry_index"), F.lit(DEDUP_SALTS))
-    keyed = drop_unkeyed(articles).withColumns({"dedup_key": dedup_key(), "salt": salt})
-    return (
-        keyed.withWatermark("ingest_ts", delay)
-        .dropDuplicatesWithinWatermark(["dedup_key", "salt"])
-        .dropDuplicatesWithinWatermark(["dedup_key"])
-        .drop("dedup_key", "salt")
-    )
+    keyed = drop_unkeyed(articles).withColumn("dedup_key", dedup_key())
+    once = _first_copies(keyed, "dedup_key").repartition("dedup_key")
+    once = _first_copies(once, "dedup_key")
+    if keep:
+        new = once.withWatermark("ingest_ts", keep).dropDuplicatesWithinWatermark(["dedup_key"])
+    else:
+        new = once.dropDuplicates(["dedup_key"])
+    return new.drop("dedup_key")
+
+
+def _with_key_state(stream: DataFrame) -> DataStreamWriter:
+    """A writer whose state lies in RocksDB, unless the session names another store."""
+    conf = stream.sparkSession.conf
+    if "RocksDB" not in conf.get(STATE_STORE):
+        conf.set(STATE_STORE, ROCKSDB)
+    conf.set(CHANGES, "true")
+    return stream.writeStream
 
 
 def ingest(
-    articles: DataFrame, table: str, checkpoint: str, delay: str = "7 days"
+    articles: DataFrame, table: str, checkpoint: str, keep: str | None = None
 ) -> DataStreamWriter:
     """Merge first-seen articles into a parquet table with one folder per batch.
 
-    The stream's state drops copies within ``delay`` of the first; an article listed again later is
-    found in the table by its ``article_id`` and not added again. A repeated batch looks at earlier
-    folders only and writes its own again.
+    What the table holds already is not read again; the state of the stream knows it (see
+    ``first_seen``). A repeated batch finds the state before it and writes its own folder again.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = _unseen(batch, table, batch_id, "article_id", batch.schema["article_id"].dataType)
-        new.write.mode("overwrite").parquet(batch_folder(table, batch_id))
+        batch.write.mode("overwrite").parquet(batch_folder(table, batch_id))
 
-    writer = first_seen(articles, delay).writeStream.foreachBatch(merge)
+    writer = _with_key_state(first_seen(articles, keep)).foreachBatch(merge)
     return writer.option("checkpointLocation", checkpoint)
 
 
-def _unseen(batch: DataFrame, table: str, batch_id: int, key: str, kind) -> DataFrame:
-    """Rows of a batch whose key no folder of an earlier batch holds."""
-    if not batch_id:
-        return batch
-    schema = StructType().add(key, kind).add("batch", "long")
-    known = batch.sparkSession.read.schema(schema).parquet(table)
-    earlier = known.where(F.col("batch") < batch_id).select(F.col(key).alias("_known"))
-    return batch.join(earlier, F.col(key) == F.col("_known"), "left_anti")
-
-
 def rolling_latest(
     articles: DataFrame,
     folder: str,
@@ -82,34 +115,33 @@ def rolling_latest(
     n: int = fixed.NEWEST,
     labels: list[Label] | None = None,
     scorer: Scorer | None = None,
+    keep: str | None = None,
 ) -> DataStreamWriter:
     """Keep the newest ``n`` unique articles seen so far, one folder per batch.
 
-    The first copy of an article counts, in feed and entry order within a batch; the keys of all
-    batches are kept, so an article that fell out of the newest ones does not come back by being
+    The first copy of an article counts, in feed and entry order within a batch; its key stays known
+    (see ``first_seen``), so an article that fell out of the newest ones does not come back by being
     listed again. Each batch merges with the folder of the batch before it. With ``labels`` the
     newest articles are scored too, and their number per category is written below ``counts``. A
     repeated batch reads the same folders and writes its own again, so a restart changes nothing.
     """
-    newest, keys, counts = newest_folder(folder), f"{folder}/keys", f"{folder}/counts"
+    newest, counts = newest_folder(folder), f"{folder}/counts"
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        read = batch.sparkSession.read
-        unique = dedup_first_seen(batch).withColumn("key", dedup_key())
-        unique = pin(_unseen(unique, keys, batch_id, "key", StringType()), "fresh")
-        unique.select("key").write.mode("overwrite").parquet(batch_folder(keys, batch_id))
-        seen = unique.drop("key")
+    def merge(seen: DataFrame, batch_id: int) -> None:
+        read = seen.sparkSession.read
+        schema = seen.schema
         if batch_id > 0:
-            before = read.schema(batch.schema).parquet(batch_folder(newest, batch_id - 1))
+            before = read.schema(schema).parquet(batch_folder(newest, batch_id - 1))
             seen = before.unionByName(seen)
         here = batch_folder(newest, batch_id)
         top_rows(seen, n).write.mode("overwrite").parquet(here)
         if labels:
-            tagged = classify(read.schema(batch.schema).parquet(here), labels, scorer=scorer)
+            tagged = classify(read.schema(schema).parquet(here), labels, scorer=scorer)
             found = category_counts(tagged, labels)
             found.write.mode("overwrite").parquet(batch_folder(counts, batch_id))
 
-    return articles.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = _with_key_state(first_seen(articles, keep)).foreachBatch(merge)
+    return writer.option("checkpointLocation", checkpoint)
 
 
 def newest_folder(folder: str) -> str:
