@@ -62,6 +62,21 @@ def test_matches_are_numbered_without_gaps(spark):
     assert got == [("Ann", 1, "c"), ("Ann", 2, "b"), ("Bob", 1, "c")]
 
 
+def test_one_large_choice_costs_others_nothing(spark):
+    """One recipient asks for 100,000 articles, the others for five: rows joined follow each one's own size."""
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("a"), "id").alias("article_id"), (F.col("id") % 3).cast("string").alias("category"),
+        F.timestamp_seconds(F.col("id") % 1000).alias("published_ts"), F.lit(0).alias("feed_rank"), F.col("id").alias("entry_index"),
+    )
+    people = [(f"p{place}", [str(place % 3), "1"], 5) for place in range(30)] + [("all", ["0", "2"], 100_000)]
+    matched = D.match_recipients(rows, recipients(spark, people))
+    counts = {r.recipient: r.n for r in matched.groupBy("recipient").agg(F.count("*").alias("n")).collect()}
+    assert counts == {name: min(size, 40_000) for name, _, size in people}
+    newest = matched.where("recipient = 'p0'").orderBy("number").collect()
+    expected = sorted(((place % 1000, -place) for place in range(60_000) if place % 3 < 2), reverse=True)[:5]
+    assert [r.article_id for r in newest] == [f"a{-place}" for _, place in expected]
+
+
 def articles(spark, n):
     rows = [
         (f"a{i}", "s", 0, i, f"Títle {i}", "", f"Text {i}." if i % 2 else "", "", None)

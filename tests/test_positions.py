@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidings.operators import corpus as C
 from tidings.operators import requests as Q
-from tidings.operators.positions import first_of_group, with_position
+from tidings.operators.positions import first_of_group, least_keys, with_position
 from tidings.session import job_folder, pin, scratch_path
 
 
@@ -124,9 +124,36 @@ def test_job_folder_is_removed(spark):
 
 @pytest.mark.parametrize("n", [1, 999, 1001, 5000])
 def test_first_of_group_never_meets_in_one_task(spark, n):
-    """Before the last round no group is whole, also where the engine cuts nothing by itself."""
+    """Rows are taken from parts of a group and then numbered over range partitions."""
     rows = spark.range(6000).select(F.lit("a").alias("g"), F.col("id"))
     found = first_of_group(rows, ["g"], [F.col("id").desc()], n)
     assert sorted(r.id for r in found.collect()) == list(range(6000 - n, 6000))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert ", 1024)" in plan and ", 32)" in plan
+    assert "row_number" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400, 899, 900, 901, 10_000_000])
+def test_least_keys(spark, skewed, n):
+    keyed = skewed.withColumn("key", F.md5(F.col("id").cast("string")))
+    found = least_keys(keyed, ["k"], "key", n)
+    groups = {}
+    for row in keyed.collect():
+        groups.setdefault(row.k, []).append((row.key, row.id))
+    expected = {id_ for rows in groups.values() for _, id_ in sorted(rows)[:n]}
+    rows = [row.id for row in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert found.columns == keyed.columns
+
+
+def test_least_keys_with_long_common_beginnings(spark):
+    """Rounds go on until the digits tell the keys apart."""
+    rows = [("a", f"{'0' * 20}{place:012x}") for place in range(5000)] + [("b", "f" * 32)]
+    frame = spark.createDataFrame(rows, "g string, key string").repartition(9)
+    found = least_keys(frame, ["g"], "key", 1234)
+    assert sorted(row.key for row in found.collect()) == sorted([key for _, key in rows[:1234]] + ["f" * 32])
+
+
+def test_least_keys_shuffles_no_rows(spark):
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("key"))
+    plan = least_keys(rows, ["g"], "key", 5000)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan

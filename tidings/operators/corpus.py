@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidings import fixed_values as fixed
 from tidings.functions.text import contains_any, strip
 from tidings.operators.articles import head_in_order
-from tidings.operators.positions import first_of_group, rejoin, with_position
+from tidings.operators.positions import fresh_column, least_keys, rejoin, with_position
 from tidings.session import pin
 from tidings.sources.labels import Label
 from tidings.sources.tables import FILE_ORDER
@@ -76,14 +76,11 @@ def stratified_sample(
 ) -> DataFrame:
     """Exactly min(n, class size) rows of each class, without replacement.
 
-    Identifiers, classes and sort keys alone are merged, in rounds; the rows chosen do not depend
-    on the partitioning, and they fetch their other columns at the end. ``id_column`` is unique.
+    The least sort keys of each class are found by counting, so no class meets in one task; the rows
+    chosen do not depend on the partitioning. ``id_column`` is unique.
     """
-    narrow = df.select(id_column, by, seeded_key(seed, id_column).alias("_key"))
-    chosen = first_of_group(narrow, [by], [F.col("_key"), F.col(id_column)], n)
-    if set(df.columns) == {id_column, by}:
-        return chosen.select(*df.columns)
-    return df.join(chosen.select(id_column), id_column, "left_semi").select(*df.columns)
+    key = fresh_column(df, "sample_key")
+    return least_keys(df.withColumn(key, seeded_key(seed, id_column)), [by], key, n).drop(key)
 
 
 def shuffle_rows(

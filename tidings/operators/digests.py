@@ -20,12 +20,12 @@ def with_choice(recipients: DataFrame) -> DataFrame:
 
 
 def leading_articles(tagged: DataFrame, most: int) -> DataFrame:
-    """The newest ``most`` articles of each category, with the columns of ``ENTRY`` alone.
+    """The newest ``most`` articles of each category, with the columns of ``ENTRY`` and their ``place``.
 
     No digest of up to ``most`` articles can use more from one category, so this loses nothing.
     """
     order = [*recency(), F.col("article_id")]
-    return first_of_group(tagged.select(*ENTRY), ["category"], order, most)
+    return first_of_group(tagged.select(*ENTRY), ["category"], order, most, "place")
 
 
 def most_articles(recipients: DataFrame) -> int:
@@ -34,19 +34,26 @@ def most_articles(recipients: DataFrame) -> int:
 
 
 ENTRY = ["article_id", "category", "published_ts", "feed_rank", "entry_index"]
+# Places of a category's list that are matched together.
+BLOCK = 32
 
 
 def match_choices(leading: DataFrame, recipients: DataFrame) -> DataFrame:
     """Articles of every distinct choice of categories and size, with ``number`` 1, 2, ...
 
-    The articles depend on the choice alone, so recipients with the same choice share the work.
-    ``leading`` holds the newest articles of each category, enough for the largest digest.
+    The articles depend on the choice alone, so recipients with the same choice share the work. The
+    lists of the categories are sorted and cut into blocks; a choice asks each of its lists for the
+    blocks up to its own size and merges what they hold, so a large choice costs other ones nothing.
     """
-    choices = with_choice(recipients).select(*CHOICE).distinct()
-    wanted = choices.select(*CHOICE, F.explode("categories").alias("category"))
+    choices = with_choice(recipients).select(*CHOICE).distinct().where("max_articles > 0")
+    last = F.floor((F.col("max_articles") - 1) / BLOCK)
+    wanted = choices.select(*CHOICE, F.explode("categories").alias("category"), last.alias("last"))
+    wanted = wanted.select(*CHOICE, "category", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
+    listed = leading.withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
     number = F.row_number().over(Window.partitionBy(*CHOICE).orderBy(*recency()))
     return (
-        wanted.join(leading.select(*ENTRY), "category")
+        wanted.join(listed, ["category", "block"])
+        .where("place <= max_articles")
         .withColumn("number", number)
         .where(F.col("number") <= F.col("max_articles"))
         .select(*CHOICE, "number", "article_id")

@@ -8,6 +8,8 @@ again, so callers pass keys and order columns only and join the result back by `
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,24 +79,81 @@ def with_position(
     return numbered.select(*df.columns, (F.col(PLACE) + F.col("_shift")).alias(name))
 
 
-# Parts of a group in the rounds before the last one of ``first_of_group``.
-ROUNDS = (1024, 32)
+# Parts of a group of which ``first_of_group`` takes the first rows before it orders what is left.
+PARTS = 1024
 
 
-def first_of_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group in the given total order.
+def first_of_group(
+    df: DataFrame, by: list[str], order: list[Column], n: int, name: str | None = None
+) -> DataFrame:
+    """The first ``n`` rows of each group in the given total order, with their places if ``name`` is
+    given.
 
-    A group is dealt to ever fewer parts by hash, and each part keeps ``n`` rows, so no task holds
-    more than a part of a large group, whatever ``n`` is and whatever the engine cuts by itself.
-    Rows travel with all their columns; pass narrow frames.
+    A group is dealt to parts by hash and each keeps ``n`` rows; where ``n`` is small every task drops
+    most of its rows before they travel. What is left is numbered over range partitions, so no task
+    holds a whole group, whatever ``n`` is. Rows travel with all their columns; pass narrow frames.
     """
     part = fresh_column(df, "part")
-    spread = F.xxhash64(*df.columns)
-    for parts in (*ROUNDS, 1):
-        dealt = df.withColumn(part, F.pmod(spread, F.lit(parts)))
-        place = F.row_number().over(Window.partitionBy(*by, part).orderBy(*order))
-        df = dealt.withColumn(PLACE, place).where(F.col(PLACE) <= n).drop(part, PLACE)
-    return df
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+    place = F.row_number().over(Window.partitionBy(*by, part).orderBy(*order))
+    left = dealt.withColumn(PLACE, place).where(F.col(PLACE) <= n).select(*df.columns)
+    place = name or fresh_column(df, "position")
+    found = with_position(left, by, order, place).where(F.col(place) <= n)
+    return found if name else found.drop(place)
+
+
+# Characters by which ``least_keys`` looks further into the keys in each round.
+STEP = 3
+ABOVE_ALL = "~"
+
+
+def least_keys(df: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
+    """The rows with the ``n`` least values of ``key`` in each group; ``key`` is a text of hexadecimal
+    digits, all of one length and unique in its group.
+
+    The ``n``-th least key is found by counting: rows are counted by the first digits of their keys,
+    the counts tell with which digits the ``n``-th one begins, and the next round counts the keys
+    that begin so by their further digits. Counts are added up in every task before they travel,
+    4,096 a group at most, and one filter then takes the rows; so no row is ever shuffled.
+    """
+    if n <= 0:
+        return df.limit(0)
+    names = {name: f"_{name}" for name in by}
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in names.items()]
+    rows = df.select(*by, F.col(key).alias("_key")).withColumns({"_begin": F.lit(""), "_left": F.lit(n).cast("long")})
+    length, bounds = 0, []
+    while True:
+        length += STEP
+        digits = F.substring("_key", 1, length).alias("digits")
+        counted = rows.groupBy(*by, "_left", digits).agg(F.count(F.lit(1)).alias("n"))
+        buckets = F.array_sort(F.collect_list(F.struct("digits", "n")))
+        found = counted.groupBy(*by, "_left").agg(_nth_bucket(buckets, F.col("_left")).alias("at"))
+        found = pin(found.select(*by, "at.*"), "bounds")
+        bounds.append(found.where("done").select(*by, F.concat("begin", F.lit(ABOVE_ALL)).alias("_upto")))
+        further = found.where("NOT done").withColumnsRenamed(names)
+        if further.isEmpty():
+            break
+        rows = df.select(*by, F.col(key).alias("_key")).join(further.select(*names.values(), "begin", "left"), same)
+        rows = rows.where(F.startswith("_key", "begin")).select(*by, "_key", F.col("left").alias("_left"))
+    upto = reduce(DataFrame.unionAll, bounds).withColumnsRenamed(names)
+    return df.join(upto, [*same, F.col(key) <= F.col("_upto")], "left_semi")
+
+
+def _nth_bucket(buckets: Column, n: Column) -> Column:
+    """Where the ``n``-th row lies: the digits its bucket begins with, how many rows of the bucket are
+    among the first ``n``, and whether those are all, or the buckets end before."""
+    start = F.struct(F.lit("").alias("begin"), n.alias("left"), F.lit(0).cast("long").alias("size"))
+
+    def step(state: Column, bucket: Column) -> Column:
+        after = state["left"] - state["size"]
+        there = F.struct(bucket["digits"].alias("begin"), after.alias("left"), bucket["n"].alias("size"))
+        return F.when(after > 0, there).otherwise(state)
+
+    def told(state: Column) -> Column:
+        begin = F.when(state["left"] > state["size"], "").otherwise(state["begin"])
+        return F.struct(begin.alias("begin"), state["left"].alias("left"), (state["left"] >= state["size"]).alias("done"))
+
+    return F.aggregate(buckets, start, step, told)
 
 
 def fresh_column(df: DataFrame, name: str) -> str:
