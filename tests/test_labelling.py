@@ -1,5 +1,6 @@
 import math
 import os
+import random
 import time
 import uuid
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import labelling as L
-from tidings.operators.ablation import ablate
+from tidings.operators.ablation import ablate, predictions_by_template
 from tidings.sources.labels import Label, read_labels
 
 LABELS = [Label("sport", "Sport"), Label("market", "Money"), Label("film", "Film")]
@@ -83,6 +84,25 @@ def test_model_scorer_is_loaded_once_per_worker(articles, tmp_path):
     assert len(workers) == len(set(workers)) > 0
 
 
+def test_models_get_texts_of_similar_length(spark):
+    """A model that tells how much it pads: under a tenth of what it reads."""
+    rng = random.Random(6)
+    lengths = [int(rng.lognormvariate(6, 1.5)) for _ in range(4000)] + [0, 200_000]
+    texts = spark.createDataFrame([(place, "x" * size) for place, size in enumerate(lengths)], "id int, x string").repartition(4)
+
+    def load():
+        def run(premises, hypotheses):
+            longest = max(map(len, premises))
+            assert len(premises) == 1 or longest * len(premises) <= L.MODEL_CHARS
+            return np.array([[longest - len(one), len(one)] for one in premises], float)
+
+        return run
+
+    scored = texts.select("id", L.pandas_scorer(load)(F.col("x"), ["padded", "read"]).alias("found")).collect()
+    assert {row.id: row.found[1] for row in scored} == dict(enumerate(map(float, lengths)))
+    assert sum(row.found[0] for row in scored) < 0.1 * sum(lengths)
+
+
 def test_large_vocabularies_and_many_templates(spark, tmp_path):
     path = tmp_path / "labels.txt"
     path.write_text("\n".join(f"topic {place} kind{place}" for place in range(2500)))
@@ -99,6 +119,38 @@ def test_large_vocabularies_and_many_templates(spark, tmp_path):
     assert [(r.prompt_id, r.accuracy) for r in found] == [(name, 0.5) for name, _ in templates]
 
 
+def test_winners_equal_all_scores(spark):
+    """The index of own words finds what scoring every hypothesis finds, ties included."""
+    rng = random.Random(5)
+    words = [f"w{place}" for place in range(14)]
+    some = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(1, most)))
+    texts = spark.createDataFrame([(some(12),) for _ in range(200)] + [("",), (None,)], "x string")
+    for _ in range(6):
+        labels = [Label(f"{some(4)} l{place}", "") for place in range(9)]
+        # Templates share words with labels, use phrases, hold nothing but the label, or hold it twice.
+        templates = [("a", f"{some(3)} {{}}"), ("b_expanded", "{} w1 w2"), ("c", "{}"), ("d", "w3 {} {} w4"), ("e", "w5")]
+        phrases = {labels[0].label: "w1 w2 w9", labels[3].label: "w7"}
+        fast = predictions_by_template(texts, labels, templates, phrases).collect()
+        plain = lambda premise, hypotheses: F.transform(L.overlap_shares(premise, hypotheses), lambda x: x * 10.0)
+        slow = predictions_by_template(texts, labels, templates, phrases, scorer=plain).collect()
+        assert fast == slow
+
+
+def test_many_hypotheses_cost_little(spark):
+    """120 templates of 300 labels next to 4 of 100 of the same kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.col("text").alias("x"), F.lit("").alias("y"))
+
+    def seconds(n_labels, n_templates):
+        labels = [Label(f"kind{place} of the {place % 7}", "") for place in range(n_labels)]
+        templates = [(f"t{place:03}", f"number {place} in {{}}") for place in range(n_templates)]
+        start = time.monotonic()
+        ablate(docs, labels, templates).collect()
+        return time.monotonic() - start
+
+    seconds(100, 4)
+    assert seconds(300, 120) < 2 * seconds(100, 4) + 3
+
+
 def test_display_names(spark):
     frame = spark.createDataFrame([("sport",), ("other",), (None,)], "raw_category string")
     shown = [r["category"] for r in L.map_display(frame, LABELS).collect()]

@@ -9,6 +9,7 @@ from tidings import fixed_values as fixed
 from tidings.functions.once import with_once
 from tidings.functions.text import bind
 from tidings.operators.labelling import (
+    OverlapScorer,
     Scorer,
     fill,
     literal_strings,
@@ -61,18 +62,19 @@ def predictions_by_template(
 ) -> DataFrame:
     """Add ``yhats``: the winning label under each template, in template order.
 
-    All hypotheses of all templates go to the scorer together, so it sees each text once; phrases
-    are mapped back by their place in the vocabulary.
+    A scorer that finds winners by itself is asked for them. To any other one all hypotheses of all
+    templates go together, so it sees each text once; phrases are mapped back by their place in the
+    vocabulary.
     """
     catalog = fixed.TEMPLATES if templates is None else templates
     names = [label.label for label in labels]
-    every = [
-        text
-        for prompt_id, template in catalog
-        for text in fill(template, phrases_for(prompt_id, labels, phrases))
-    ]
+    groups = [fill(template, phrases_for(prompt_id, labels, phrases)) for prompt_id, template in catalog]
     text = F.col("x") if premise is None else premise
-    logits = (scorer or overlap_scorer())(text, every)
+    scorer = scorer or overlap_scorer()
+    if isinstance(scorer, OverlapScorer):
+        places = scorer.winners(text, groups)
+        return with_once(df, yhats=F.transform(places, lambda place: F.get(literal_strings(names), place)))
+    logits = scorer(text, [text for group in groups for text in group])
     width = len(names)
     starts = F.array(*(F.lit(place * width + 1) for place in range(len(catalog))))
     best = bind(

@@ -30,16 +30,20 @@ from tidings.sources.labels import Label, label_table
 Scorer = Callable[[Column, list[str]], Column]
 
 
+def literal_json(values: list, kind: str) -> Column:
+    """Values as one literal, which the optimizer folds to a single value."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def literal_strings(values: list[str]) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+    return literal_json(values, "array<string>")
 
 
 def literal_table(rows: list[tuple], fields: str) -> Column:
-    """Rows as one literal array of structs, which the optimizer folds to a single value."""
+    """Rows as one literal array of structs."""
     names = [field.split()[0] for field in fields.split(", ")]
-    told = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
     kinds = ", ".join(field.replace(" ", ": ") for field in fields.split(", "))
-    return F.from_json(F.lit(told), f"array<struct<{kinds}>>")
+    return literal_json([dict(zip(names, row, strict=True)) for row in rows], f"array<struct<{kinds}>>")
 
 
 @lru_cache(maxsize=64)
@@ -53,25 +57,124 @@ def overlap_shares(premise: Column, hypotheses: list[str]) -> Column:
     """Share of each hypothesis's distinct words found in the premise.
 
     The premise is reduced to words that occur in some hypothesis first, so a long text is searched
-    once and not once per hypothesis.
+    once and not once per hypothesis. Words that all hypotheses share are looked for once as well.
     """
-    words = F.from_json(F.lit(distinct_words(tuple(hypotheses))), "array<array<string>>")
-    known = F.array_intersect(T.word_pieces(premise), F.array_distinct(F.flatten(words)))
+    words = json.loads(distinct_words(tuple(hypotheses)))
+    frame = set(words[0]).intersection(*words) if words else set()
+    entries = [{"size": len(one), "words": [word for word in one if word not in frame]} for one in words]
+    known = sorted({word for one in words for word in one})
+    own = literal_json(entries, "array<struct<size: int, words: array<string>>>")
+
+    def shares(found: Column, shared: Column) -> Column:
+        return F.transform(
+            own, lambda one: (shared + F.size(F.array_intersect(one["words"], found))) / one["size"]
+        )
+
+    found = F.array_intersect(T.word_pieces(premise), literal_strings(known))
     return bind(
-        known,
-        lambda found: F.transform(
-            words, lambda one: F.size(F.array_intersect(one, found)) / F.size(one)
+        found,
+        lambda have: bind(
+            F.size(F.array_intersect(literal_strings(sorted(frame)), have)), lambda shared: shares(have, shared)
         ),
     )
 
 
-def overlap_scorer(scale: float = 10.0) -> Scorer:
-    """Deterministic scorer that needs no model."""
+class OverlapScorer:
+    """Deterministic scorer that needs no model: ``scale`` times the share of words found."""
+
+    def __init__(self, scale: float = 10.0):
+        self.scale = scale
+
+    def __call__(self, premise: Column, hypotheses: list[str]) -> Column:
+        return F.transform(overlap_shares(premise, hypotheses), lambda share: share * self.scale)
+
+    def winners(self, premise: Column, groups: list[list[str]]) -> Column:
+        """The place of the best hypothesis in each group, ties to the earlier one, without a score for
+        every hypothesis.
+
+        The words that all hypotheses of a group share are its frame; what is left of each is its own.
+        Groups that differ in their frames alone, as templates over one vocabulary do, share an index
+        of own words. In it, of all hypotheses with the same number of own words only the one with
+        most of them found can win, whatever the frame. So a text meets each entry of an index once,
+        and each group compares one candidate for every number of own words.
+        """
+        every = [text for group in groups for text in group]
+        said = iter(json.loads(distinct_words(tuple(every))))
+        frames, indexes, place_of = [], [], {}
+        for group in groups:
+            words = [next(said) for _ in group]
+            frame = set(words[0]).intersection(*words)
+            own = tuple(tuple(word for word in one if word not in frame) for one in words)
+            if own not in place_of:
+                place_of[own] = len(indexes)
+                indexes.append(own)
+            frames.append({"index": place_of[own], "size": len(frame), "words": sorted(frame)})
+        own_words = sorted({word for own in indexes for words in own for word in words})
+        numbers = {word: number for number, word in enumerate(own_words)}
+        indexed = literal_json(
+            [_by_size(own, numbers) for own in indexes],
+            "array<array<struct<size: int, entries: array<struct<turn: int, words: array<int>>>>>>",
+        )
+        framed = literal_json(frames, "array<struct<index: int, size: int, words: array<string>>>")
+        known = sorted({*own_words, *(word for one in frames for word in one["words"])})
+        found = F.array_intersect(T.word_pieces(premise), literal_strings(known))
+
+        def places(have: Column) -> Column:
+            held = F.transform(literal_strings(own_words), lambda word: F.array_contains(have, word).cast("int"))
+            return bind(
+                bind(held, lambda hits: _candidates(indexed, hits)), lambda best: _best_of(framed, best, have)
+            )
+
+        return bind(found, places)
+
+
+def _by_size(own: tuple[tuple[str, ...], ...], numbers: dict[str, int]) -> list[dict]:
+    """The entries of an index by their number of words, words by number; ``turn`` falls along the group."""
+    by_size: dict[int, list[dict]] = {}
+    for place, words in enumerate(own):
+        entry = {"turn": -place, "words": [numbers[word] for word in words]}
+        by_size.setdefault(len(words), []).append(entry)
+    return [{"size": size, "entries": entries} for size, entries in sorted(by_size.items())]
+
+
+def _candidates(indexes: Column, held: Column) -> Column:
+    """For every index and number of own words the entry with most of them; ``held`` has 1 for each word
+    that the text holds."""
+
+    def hits(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0), lambda total, word: total + F.get(held, word))
+
+    def best(one: Column) -> Column:
+        scored = F.transform(
+            one["entries"], lambda entry: F.struct(hits(entry["words"]).alias("hits"), entry["turn"].alias("turn"))
+        )
+        return bind(
+            F.array_max(scored),
+            lambda top: F.struct(one["size"].alias("size"), top["hits"].alias("hits"), top["turn"].alias("turn")),
+        )
+
+    return F.transform(indexes, lambda index: F.transform(index, best))
+
+
+def _best_of(frames: Column, candidates: Column, found: Column) -> Column:
+    """The place of each group's winner."""
+
+    def place(frame: Column, hits: Column) -> Column:
+        shares = F.transform(
+            F.get(candidates, frame["index"]),
+            lambda one: F.struct(
+                F.try_divide(hits + one["hits"], frame["size"] + one["size"]).alias("share"), one["turn"].alias("turn")
+            ),
+        )
+        return -F.array_max(shares)["turn"]
 
-    def score(premise: Column, hypotheses: list[str]) -> Column:
-        return F.transform(overlap_shares(premise, hypotheses), lambda share: share * scale)
+    return F.transform(
+        frames, lambda frame: bind(F.size(F.array_intersect(frame["words"], found)), lambda hits: place(frame, hits))
+    )
 
-    return score
+
+def overlap_scorer(scale: float = 10.0) -> OverlapScorer:
+    return OverlapScorer(scale)
 
 
 # Models of this worker process, by a digest of the function that loads them.
@@ -85,16 +188,46 @@ def loaded(key: str, load: Callable[[], Callable]) -> Callable:
     return MODELS[key]
 
 
-def pandas_scorer(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]) -> Scorer:
+# Characters that a model is given at once, each text counted as long as the longest one with it, and
+# how much longer than the shortest one that may be.
+MODEL_CHARS, MOST_LONGER = 1 << 16, 1.15
+
+
+def by_length(texts: list[str], most: int) -> Iterator[list[int]]:
+    """Places of the texts in batches of similar length: their number times the longest of them is
+    ``most`` at most; a longer text is a batch by itself."""
+    batch: list[int] = []
+    for place in sorted(range(len(texts)), key=lambda place: len(texts[place] or "")):
+        size = len(texts[place] or "")
+        if batch and ((len(batch) + 1) * size > most or size > MOST_LONGER * len(texts[batch[0]] or "") + 1):
+            yield batch
+            batch = []
+        batch.append(place)
+    if batch:
+        yield batch
+
+
+def pandas_scorer(
+    load: Callable[[], Callable[[list[str], list[str]], np.ndarray]], most: int = MODEL_CHARS
+) -> Scorer:
     """Scorer around a model. ``load`` runs once per worker process and returns a function from
-    premises and hypotheses to a matrix of logits, one row per premise."""
+    premises and hypotheses to a matrix of logits, one row per premise.
+
+    Models pad the texts of a batch to the longest one, so texts of similar length go together, no
+    more than ``most`` characters at once.
+    """
     key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
 
     def score(premise: Column, hypotheses: list[str]) -> Column:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = loaded(key, load)
             for batch in batches:
-                yield pd.Series(list(model(batch.tolist(), hypotheses)), index=batch.index)
+                texts, logits = batch.tolist(), [None] * len(batch)
+                for places in by_length(texts, most):
+                    found = model([texts[place] for place in places], hypotheses)
+                    for place, row in zip(places, found, strict=True):
+                        logits[place] = row
+                yield pd.Series(logits, index=batch.index)
 
         # Type hints of a nested function are text here, so they are given as objects.
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
