@@ -1,3 +1,8 @@
+import html
+import html.entities
+from datetime import UTC
+from email.utils import parsedate_to_datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +142,21 @@ def test_indented_lines(spark):
     assert apply(spark, T.indented, ["a\r\nb\x0cc d"]) == ["   a\n   b\n   c\n   d"]
 
 
+def test_entities_as_html_reads_them(spark):
+    names = list(html.entities.html5)
+    cases = [f"a &{name} b" for name in names] + [f"&{name.rstrip(';')}x;" for name in names[::7]]
+    cases += [f"&#{point};" for point in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFFFD, 0xFFFE, 0x1FFFF, 0x1F600, 0x10FFFF, 0x110000]]
+    cases += ["&#x1f600;&#X41", "&#65&#66;", "&#99999999999999999999;", "&#xffffffffffffffffffff;", "&#;", "&#x;", "&#xg;", "&", "&&amp;&", "& amp;"]
+    cases += ["&notit;", "&notin;", "&ampamp;", "&amp;amp;", "&" + "a" * 40 + ";", "&lt", "x&lt<y", "&copy2024", "&nosuch;", "", "no reference", "&\n;", "&é;", "&am"]
+    assert apply(spark, T.decode_entities, cases + [None]) == [html.unescape(case) for case in cases] + [None]
+
+
+def test_cleaning_needs_no_python(spark):
+    frame = spark.createDataFrame([("a &amp; b",)], "x string")
+    plan = frame.select(T.clean_text(F.col("x")), T.clean_summary_text(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def shown(column):
     return lambda c: F.date_format(column(c), "yyyy-MM-dd HH:mm:ss")
 
@@ -158,6 +178,37 @@ def test_feed_times(spark):
     assert apply(spark, shown(published_time), cases) == list(cases.values())
 
 
+MAIL_DATES = [
+    "Tue, 03 Jun 2025 10:00:00 GMT", "Tue, 3 Jun 2025 10:00:00 +0530", "3 Jun 2025 10:00:00 -0800",
+    "03 Jun 25 10:00:00 +0000", "03 Jun 68 10:00:00 GMT", "03 Jun 69 10:00:00 GMT", "3 June 2025 10:00:00 GMT",
+    "Tue 3 Jun 2025 10:00:00 GMT", "Tuesday, 3 June 2025 10:00:00 GMT", "tue, 3 jun 2025 10:00:00 gmt",
+    "TUE, 3 JUN 2025 10:00:00 GMT", "3 Jun 2025 10:00:00 EST", "3 Jun 2025 10:00:00 EDT",
+    "3 Jun 2025 10:00:00 CST", "3 Jun 2025 10:00:00 CDT", "3 Jun 2025 10:00:00 MST", "3 Jun 2025 10:00:00 MDT",
+    "3 Jan 2025 10:00:00 PST", "3 Jan 2025 10:00:00 PDT", "3 Jan 2025 10:00:00 AST", "3 Jan 2025 10:00:00 ADT",
+    "3 Jun 2025 10:00:00 est", "3 Jun 2025 10:00:00 Z", "3 Jun 2025 10:00:00 UT", "3 Jun 2025 10:00:00 UTC",
+    "3 Jun 2025 10:00:00 CET", "3 Jun 2025 10:00:00", "3 Jun 2025 10:00", "Tue, 3 Jun 2025 10:00 +0200",
+    "3 Jun 2025 9:05:07 -0330", "31 Dec 2024 23:59:59 -0001", "1 Jan 2025 00:00:00 +1400", "29 Feb 2024 12:00:00 GMT",
+    "29 Feb 2025 12:00:00 GMT", "32 Jan 2025 12:00:00 GMT", "3 Jun 2025 24:00:00 GMT", "Tue Jun  3 10:00:00 2025",
+    "Tue Jun  3 10:00:00 EST 2025", "June 3, 2025 10:00:00 GMT", "Tue, Jun 3 2025 10:00:00 +0100",
+    "3-Jun-2025 10:00:00 GMT", "Tuesday, 03-Jun-25 10:00:00 GMT", "3 Jun 2025 10:00:00 -0000",
+    "3 Jun 2025 10:00:00 +0200 (CEST)", "Sept 3 2025", "3 Juno 2025 10:00:00 GMT", "x 3 Jun 2025 10:00:00 GMT", "10:00:00", "",
+]
+
+
+def by_mail_rules(text):
+    """The standard library's reading as UTC; a date without a zone is UTC."""
+    try:
+        parsed = parsedate_to_datetime(text)
+        return (parsed if parsed.tzinfo else parsed.replace(tzinfo=UTC)).astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S")
+    except (ValueError, TypeError):
+        return None
+
+
+def test_mail_dates_by_the_rules(spark):
+    found = apply(spark, shown(published_time), MAIL_DATES)
+    assert dict(zip(MAIL_DATES, found, strict=True)) == {text: by_mail_rules(text) for text in MAIL_DATES}
+
+
 def test_first_valid_time_wins(spark):
     when = lambda c: published_time(F.lit("soon"), c)
     assert apply(spark, shown(when), ["2024-01-02"]) == ["2024-01-02 00:00:00"]

@@ -1,17 +1,17 @@
-"""Text columns. All are built-in expressions except entity decoding."""
+"""Text columns. All are built-in expressions but for keyword matching."""
 
 from __future__ import annotations
 
-import html
+import html.entities
+import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 from tidings import fixed_values as fixed
 
@@ -48,17 +48,72 @@ def or_else(text: Column, default: Column | str) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """HTML entities to characters.
+    """HTML character references to characters, as HTML reads them in text.
 
-    Spark has no such function. Rows without an ampersand reach the Python worker as NULL, so
-    their text is never copied.
+    A text is cut at its ampersands; what follows one is a number, or a name with its semicolon, or
+    the longest of the old names that need none, or no reference at all.
     """
+    pieces = F.split(text, "&")
+    decoded = bind(
+        pieces,
+        lambda ps: F.concat(
+            F.get(ps, F.lit(0)),
+            F.array_join(F.transform(F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), _referred), ""),
+        ),
+    )
+    return F.when(text.contains("&"), decoded).otherwise(text)
+
+
+# Fixed value: how a reference may begin, up to 32 characters of a name.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names by which HTML knows characters; those without a semicolon are looked for first.
+NAMES = dict(sorted(html.entities.html5.items(), key=lambda item: item[0].endswith(";")))
+SHORT_NAMES = sorted((name for name in NAMES if not name.endswith(";")), key=len, reverse=True)
+LAST_POINT, NO_CHARACTER = 0x10FFFF, "\ufffd"
+
+
+def _referred(piece: Column) -> Column:
+    """What follows an ampersand, with the reference it begins with replaced."""
+
+    def by_name(told: Column) -> Column:
+        names = F.from_json(F.lit(json.dumps(NAMES)), "map<string, string>")
+        whole = F.try_element_at(names, told)
+        short = F.regexp_extract(told, f"^(?:{'|'.join(SHORT_NAMES)})", 0)
+        return F.coalesce(
+            F.concat(whole, F.substr(piece, F.length(told) + 1)),
+            F.when(short != "", F.concat(F.try_element_at(names, short), F.substr(piece, F.length(short) + 1))),
+            F.concat(F.lit("&"), piece),
+        )
+
+    def by_number(told: Column) -> Column:
+        digits = F.ltrim(F.regexp_extract(told, "([0-9a-fA-F]+);?$", 1), F.lit("0"))
+        number = F.when(F.rlike(told, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits)
+        # Nine digits without leading zeros are beyond the last character.
+        point = F.when(F.length(digits) > 8, LAST_POINT + 1).when(digits == "", 0).otherwise(number.cast("long"))
+        return F.concat(bind(point, _character), F.substr(piece, F.length(told) + 1))
+
+    return bind(
+        F.regexp_extract(piece, REFERENCE, 1),
+        lambda told: F.when(told == "", F.concat(F.lit("&"), piece))
+        .when(F.startswith(told, F.lit("#")), by_number(told))
+        .otherwise(by_name(told)),
+    )
 
-    def unescape(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
 
-    decode = F.pandas_udf(unescape, StringType())
-    return F.coalesce(decode(F.when(text.contains("&"), text)), text)
+def _character(point: Column) -> Column:
+    """The character of a number: the 128 to 159 mean those of the old Windows table, controls and
+    non-characters mean nothing, and what is no code point is marked."""
+    windows = "".join(bytes([code]).decode("cp1252", "ignore") or chr(code) for code in range(0x80, 0xA0))
+    control = point.between(1, 8) | (point == 0xB) | point.between(0xE, 0x1F) | (point == 0x7F)
+    unused = point.between(0xFDD0, 0xFDEF) | (point % 0x10000 >= 0xFFFE)
+    bad = (point == 0) | point.between(0xD800, 0xDFFF) | (point > LAST_POINT)
+    own = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return (
+        F.when(bad, NO_CHARACTER)
+        .when(point.between(0x80, 0x9F), F.substr(F.lit(windows), (point - 0x7F).cast("int"), F.lit(1)))
+        .when(control | unused, "")
+        .otherwise(own)
+    )
 
 
 def clean_decoded(text: Column) -> Column:
