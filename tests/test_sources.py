@@ -1,10 +1,11 @@
 import pytest
 
 from tidings import fixed_values as fixed
+from tidings.operators.articles import newest_landed, newest_unique
 from tidings.operators.corpus import keyword_subset
 from tidings.plans.briefing import csv_briefing, feed_briefing
 from tidings.plans.preparation import write_keyword_corpus
-from tidings.sources.feeds import feed_rejects, parse_feeds, read_feeds
+from tidings.sources.feeds import feed_rejects, parse_feeds, read_feeds, reject_reasons
 from tidings.sources.labels import label_table, read_labels
 from tidings.sources.tables import (
     breaks_lines,
@@ -66,6 +67,15 @@ WILD = [
     <title>G</title><content:encoded><![CDATA[<p>Long & <b>whole</b></p>]]></content:encoded></item>
     <item><guid isPermaLink="false">id-1</guid><title>H</title></item><item><title>I</b></title></item>
     </channel></rss>""",
+    # What stands in a comment or CDATA begins nothing, and a bare "<" is text.
+    """<?xml version="1.0"?><!DOCTYPE rss><rss><channel><!-- <item><title>no</title></item> -->
+    <item><title>5 < 6</title><description>a <b or 5 <6, <![CDATA[<item id=1>x</item></rss>]]></description></item>
+    <item><title><!-- hidden -->T<!-- <b> --></title><description>d<br>e<p>f</description></item></b></channel></rss>""",
+    # An unclosed item ends where the next one begins or its holder ends; nested names are no fields.
+    """<feed><entry><title>lost</title><entry><title type='a>b'>kept</title><source><title>outer</title></source>
+    <link rel="self" href="s"/><link rel="alternate" href="l?a=1&amp;b=2"/><content type="xhtml"><div>1 &amp; 2
+    <entry-x/></div></content></entry><entry><title>cut</feed>""",
+    "<rss><channel><item/><ITEM><Title>C&#233;&#x26;&#0;</Title><PubDate>2024-01-02</PubDate></ITEM><item><![CDATA[ open",
 ]
 
 
@@ -78,11 +88,17 @@ def test_feeds_that_are_no_perfect_xml(spark):
         ("A & B", "http://x?a=1&b=2", ""),
         ("A B", "", ""), ("ok", "", ""),
         ("R", "lr", ""), ("P", "lp", "c"),
-        ("G", "http://g", "Long & whole"), ("H", "", ""),
+        ("G", "http://g", "Long & whole"), ("H", "", ""), ("I", "", ""),
+        ("5 < 6", "", "a x"), ("T", "", "d e f"),
+        ("kept", "l?a=1&b=2", "1 & 2"), ("Cé&\ufffd", "", ""),
     ]
     assert str(found[6].published_ts) == "2024-01-02 00:00:00"
     rejects = {r.fetch: (r.n_entries, r.n_rejected) for r in feed_rejects(wild).collect()}
-    assert rejects == {0: (4, 1), 1: (1, 0), 2: (2, 0), 3: (1, 0), 4: (1, 0), 5: (3, 1)}
+    reasons = {(r.fetch, r.cut_off): (r.n, r.first_position) for r in reject_reasons(wild).collect()}
+    assert reasons == {
+        (0, "document ends"): (1, 3), (7, "next entry begins"): (1, 0), (7, "holder ends"): (1, 2), (8, "document ends"): (1, 1),
+    }
+    assert rejects == {0: (4, 1), 1: (1, 0), 2: (2, 0), 3: (1, 0), 4: (1, 0), 5: (3, 0), 6: (2, 0), 7: (3, 2), 8: (2, 1)}
 
 
 def test_csv_ids_do_not_depend_on_splits(spark, tmp_path):
@@ -150,6 +166,25 @@ def test_feed_folder_and_briefing(spark, tmp_path):
     assert set(tagged.columns) >= {"raw_category", "category", "confidence", "scores"}
 
 
+def test_newest_of_a_folder_reads_few_documents_twice(spark, tmp_path):
+    folder = str(tmp_path / "feeds")
+    rows = []
+    for fetch in range(40):
+        items = "".join(
+            f"<item><title>t{fetch}-{k}</title><link>l{(fetch * 5 + k) % 90}</link><description>d{k}</description>"
+            f"<pubDate>{1 + (fetch * 7 + k) % 28:02d} Jan 2024 {k:02d}:00:00 GMT</pubDate></item>"
+            for k in range(12)
+        )
+        rows.append((f"<rss><channel>{items}</channel></rss>", fetch % 3, fetch))
+    frame = spark.createDataFrame(rows, "value string, feed_rank int, fetch bigint")
+    frame.write.partitionBy("feed_rank", "fetch").text(folder)
+    found = newest_landed(spark, folder, 4, FEEDS)
+    assert found.collect() == newest_unique(read_feeds(spark, folder, FEEDS), 4).collect()
+    plans = found._jdf.queryExecution()
+    assert plans.optimizedPlan().toString().count("MapInArrow") == 1
+    assert "PartitionFilters: [concat_ws" in plans.executedPlan().toString()
+
+
 def test_csv_articles(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text(

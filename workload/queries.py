@@ -22,7 +22,7 @@ from tidings.plans.briefing import newest_with_summaries
 from tidings.plans.evaluation import eval_pairs
 from tidings.plans.preparation import balanced_corpus
 from tidings.session import scratch_path
-from tidings.sources.feeds import dedup_key, feed_rejects, parse_feeds, read_feeds
+from tidings.sources.feeds import dedup_key, feed_rejects, parse_feeds, read_feeds, reject_reasons
 from tidings.sources.labels import label_lines
 from tidings.sources.schemas import RAW_FEEDS
 from tidings.sources.tables import (
@@ -154,6 +154,45 @@ def feed_reject_counts(spark, sf):
     return feed_rejects(broken_feeds(spark, sf)).withColumn("feed_rank", big("feed_rank"))
 
 
+@query(
+    f"""{BROKEN_SQL}
+    SELECT CAST(feed_rank AS BIGINT) AS feed_rank, fetch_no AS "fetch", 'document ends' AS cut_off,
+           1::BIGINT AS n, count(*) - 1 AS first_position
+    FROM numbered GROUP BY 1, 2"""
+)
+def feed_reject_reasons(spark, sf):
+    found = reject_reasons(broken_feeds(spark, sf))
+    return found.select(big("feed_rank"), "fetch", "cut_off", "n", big("first_position"))
+
+
+def wild_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed documents with entries in comments, starts of entries in CDATA, bare "<", end tags
+    without a start and elements that are never closed."""
+    value = F.col("value")
+    for old, new in {
+        "</item>": "<category>open</item>",
+        "<item>": "<!-- <item><title>no</title></item> --><item>",
+        "<entry>": "<!-- an <entry> --><entry>",
+        "<description>": "<description><![CDATA[<item id=1>first</item> ]]>",
+        "<summary>": "<summary><![CDATA[<entry>first</entry> ]]>",
+        "</title>": " 5 < 6</title></b>",
+    }.items():
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return V.feed_files(spark, sf).withColumn("value", value)
+
+
+@query(
+    f"""{FEED_SQL.split("    SELECT source")[0]}
+    SELECT CAST(feed_rank AS BIGINT) AS feed_rank, fetch_no * 4294967296 + position AS entry_index,
+           {S.clean("title || ' 5 < 6'")} AS title, link,
+           {S.clean("'<item id=1>first</item> ' || coalesce(html, description)")} AS description
+    FROM found"""
+)
+def wild_feed_entries(spark, sf):
+    found = parse_feeds(wild_feeds(spark, sf), V.feed_catalog())
+    return found.select(big("feed_rank"), "entry_index", "title", "link", "description")
+
+
 def landed(spark: SparkSession, sf: str) -> str:
     folder = scratch_path(spark, "feeds")
     V.feed_files(spark, sf).write.partitionBy("feed_rank", "fetch").text(folder)
@@ -994,6 +1033,26 @@ def feed_times(spark, sf):
     )
 
 
+# How mail dates are written, by event, and what has to be added to reach UTC, in minutes.
+MAIL_FORMS = [
+    ("d MMM yy HH:mm:ss 'EST'", 300), ("EEEE, d MMMM yyyy HH:mm:ss 'GMT'", 0), ("EEE MMM d HH:mm:ss yyyy", 0),
+    ("EEE d MMM yyyy HH:mm:ss 'PDT'", 420), ("MMMM d, yyyy HH:mm:ss '-0330'", 210), ("dd-MMM-yy HH:mm:ss 'CET'", 0),
+]
+
+
+@query(
+    f"""SELECT event_id, strftime(date_trunc('second', ts) + to_minutes(CAST(CASE event_id % {len(MAIL_FORMS)}
+             {" ".join(f"WHEN {place} THEN {minutes}" for place, (_, minutes) in enumerate(MAIL_FORMS))} END AS INTEGER)),
+             '%Y-%m-%d %H:%M:%S') AS published_ts
+    FROM events"""
+)
+def mail_times(spark, sf):
+    forms = [F.date_format("ts", form) for form, _ in MAIL_FORMS]
+    told = F.get(F.array(*forms), (F.col("event_id") % len(MAIL_FORMS)).cast("int"))
+    found = V.table(spark, sf, "events").select("event_id", published_time(told).alias("published_ts"))
+    return found.select("event_id", stamp("published_ts"))
+
+
 @query(
     """SELECT event_id, strftime(CASE event_type
              WHEN 'click' THEN date_trunc('second', ts) - INTERVAL 330 MINUTE
@@ -1152,6 +1211,11 @@ ROLLED_SQL = f"""base AS ({FEED_SQL}),
     )"""
 
 
+@query(f"WITH {ROLLED_SQL} SELECT * FROM rolled")
+def newest_landed_articles(spark, sf):
+    return _feed_columns(N.newest_landed(spark, landed(spark, sf), feeds=V.feed_catalog()))
+
+
 @query(f"WITH {ROLLED_SQL} SELECT * FROM rolled")
 def stream_latest(spark, sf):
     run, batch_id, articles = _rolled(spark, sf)
