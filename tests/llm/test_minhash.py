@@ -1,6 +1,8 @@
 """Near-duplicate documents against all pairs of whole sets."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -87,6 +89,25 @@ def test_chains_crowds_and_odd_rows(spark):
     assert sorted(found(spark, rows), key=key) == sorted(brute_force(rows), key=key)
 
 
+@pytest.mark.parametrize("bounds", [{}, {"RARE": 2, "GROWTH": 3, "FEW_MET": 0}, {"RARE": 1, "FEW_MET": 10**9}])
+def test_crowds_of_mostly_unlinked_texts(spark, monkeypatch, bounds):
+    """Families with 0 to 30 % edits from few words: many share bands, some are linked, most are not."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(60)}" for _ in range(80)]
+        for _ in range(130):
+            rate = rng.choice([0.01, 0.03, 0.05, 0.08, 0.15])
+            words = [f"e{rng.randrange(40)}" if rng.random() < rate else word for word in base]
+            rows.append((len(rows), " ".join(words[: rng.choice([80, 80, 80, 76, 70])])))
+    out = found(spark, rows)
+    assert sorted(out, key=key) == sorted(brute_force(rows), key=key)
+    sizes = Counter(row[2] for row in out)
+    assert max(sizes.values()) > 30 and sum(size == 1 for size in sizes.values()) > 30
+
+
 def test_empty_table(spark):
     assert minhash.deduplicate(spark.createDataFrame([], SCHEMA)).collect() == []
 
