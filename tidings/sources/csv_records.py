@@ -148,7 +148,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     closed takes the rest of the file, but for its last line break.
 
     Only the stretches reach the driver, one narrow row for each split at most. The lines are read
-    twice and never shuffled, but for the pieces of records that reach beyond a split.
+    twice, and once more where records reach beyond a split; only the pieces of those are shuffled.
     """
     lines = csv_lines(spark, path)
     begins: dict[str, list[tuple]] = {}
@@ -159,6 +159,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         "file_path string, file_offset long, row_in_split long, record string, goes_on boolean, continues boolean",
     )
     names = [*SPLIT, "row_in_split", "record"]
+    if not begins:
+        return found.select(*names)
     whole = found.where("NOT goes_on AND NOT continues").select(*names)
     upto = Window.partitionBy("file_path").orderBy("file_offset", "row_in_split")
     starts = F.sum((~F.col("continues")).cast("int")).over(upto)

@@ -19,7 +19,8 @@ from tidings.sources.entry_scanner import Entry, scan
 from tidings.sources.schemas import FEED_ENTRY, RAW_FEEDS
 
 # Entries of one fetch are numbered inside a block of this size.
-FETCH_STRIDE = 1 << 32
+FETCH_BITS = 32
+FETCH_STRIDE = 1 << FETCH_BITS
 # Entries sent back at once.
 ENTRIES = 1000
 
@@ -120,7 +121,7 @@ def normalize_entries(entries: DataFrame, feeds: list[tuple[str, str]]) -> DataF
 
 def fetch_of(entry_index: Column) -> Column:
     """The fetch that an entry came with."""
-    return F.floor(entry_index / FETCH_STRIDE)
+    return F.shiftright(entry_index, FETCH_BITS)
 
 
 def dedup_key() -> Column:

@@ -26,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     """All columns as text, plus ``file_path``, ``file_offset`` and ``row_in_split``.
 
     Sorting by these three gives file order. Files are split over many tasks. Where line breaks may
-    stand inside fields, records are cut by ``csv_records``, which reads the lines twice; unless
+    stand inside fields, records are cut by ``csv_records``, which reads the lines more than once; unless
     ``multi_line`` tells which files they are, their lines are looked through first.
     """
     if multi_line is None:
