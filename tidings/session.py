@@ -11,6 +11,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+# Tasks a core for listing folders.
+LISTS_A_CORE = 4
 
 
 def build_session(app: str = "tidings", master: str | None = None, **conf) -> SparkSession:
@@ -62,6 +65,17 @@ def job_folder(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def list_by_few_tasks(spark: SparkSession) -> None:
+    """Folders of many files are listed by a few tasks a core.
+
+    By Spark's default each folder, or each file that a batch of a stream names, is a task by itself,
+    and starting it costs far more than looking.
+    """
+    most = LISTS_A_CORE * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(LISTING_TASKS)) > most:
+        spark.conf.set(LISTING_TASKS, str(most))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/tidings/{JOB.get()}{name}-{uuid.uuid4().hex}"

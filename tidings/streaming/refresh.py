@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidings import fixed_values as fixed
 from tidings.operators.articles import ROW, drop_unkeyed, top_rows
 from tidings.operators.labelling import Scorer, category_counts, classify
+from tidings.session import list_by_few_tasks
 from tidings.sources.feeds import dedup_key, parse_feeds
 from tidings.sources.labels import Label
 from tidings.sources.schemas import RAW_FEEDS
@@ -33,6 +34,7 @@ def feed_stream(
 ) -> DataFrame:
     """Articles of feed files as they land. Event time is arrival time, so an old article seen for
     the first time is not late."""
+    list_by_few_tasks(spark)
     raw = spark.readStream.schema(RAW_FEEDS).text(folder, wholetext=True)
     stamped = raw.select(
         "value", "feed_rank", "fetch", F.col("_metadata.file_modification_time").alias("ingest_ts")
