@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 
 from tidings import fixed_values as fixed
@@ -5,7 +8,18 @@ from tidings.operators.articles import newest_landed, newest_unique
 from tidings.operators.corpus import keyword_subset
 from tidings.plans.briefing import csv_briefing, feed_briefing
 from tidings.plans.preparation import write_keyword_corpus
-from tidings.sources.feeds import feed_rejects, parse_feeds, read_feeds, reject_reasons
+from tidings.sources.entry_scanner import TOKEN
+from tidings.sources.feeds import (
+    CHARS,
+    ENTRIES,
+    _some,
+    feed_rejects,
+    landed_feeds,
+    parse_feeds,
+    read_feeds,
+    reject_reasons,
+    scanned_entries,
+)
 from tidings.sources.labels import label_table, read_labels
 from tidings.sources.tables import (
     breaks_lines,
@@ -262,3 +276,55 @@ def test_digest_sink_and_profile(spark, tmp_path):
     write_digests(digests, str(tmp_path / "d"))
     assert spark.read.json(str(tmp_path / "d")).first()["body"] == "a\n\nb"
     assert tuple(profile(digests).first()) == (1, 2)
+
+
+def test_rejects_are_counted_without_sending_texts_back(spark):
+    rows = [(f"<rss><channel>{ONE_ITEM[14:-16]}<item><title>cut", 0, 1), (RSS, 1, 2)]
+    docs = spark.createDataFrame(rows, "value string, feed_rank int, fetch bigint")
+    narrow = scanned_entries(docs, ["position", "cut_off"])
+    assert narrow.columns == ["feed_rank", "fetch", "position", "cut_off"]
+    assert sorted(tuple(r) for r in narrow.collect()) == [
+        tuple(r) for r in sorted(scanned_entries(docs).select(*narrow.columns).collect())
+    ]
+    assert [(r.fetch, r.n_entries, r.n_rejected) for r in feed_rejects(docs).orderBy("fetch").collect()] == [
+        (1, 2, 1), (2, 3, 0),
+    ]
+
+
+def test_entries_are_sent_back_by_length():
+    entries = [(place, "x" * size) for place, size in enumerate([CHARS, 5, CHARS, *[1] * (ENTRIES + 1)])]
+    lists = list(_some(iter(entries)))
+    assert [entry for some in lists for entry in some] == entries
+    assert [len(some) for some in lists] == [1, 2, ENTRIES, 1]
+
+
+def test_folders_of_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(setting)
+    rows = [(ONE_ITEM, 0, fetch) for fetch in range(60)]
+    docs = spark.createDataFrame(rows, "value string, feed_rank int, fetch bigint")
+    docs.write.partitionBy("feed_rank", "fetch").text(str(tmp_path / "many"))
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = landed_feeds(spark, str(tmp_path / "many"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("listing")]
+    tasks = [tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 60
+    assert found.count() == 60
+    spark.conf.set(setting, "3")
+    landed_feeds(spark, str(tmp_path / "many"))
+    assert spark.conf.get(setting) == "3"
+    spark.conf.unset(setting)
+
+
+def test_scanner_looks_for_the_first_character_of_markup_alone():
+    """A pattern whose alternatives each begin with it is tried at every character of a text."""
+    text = "plain words & more " * 200_000
+
+    def seconds(pattern):
+        began = time.perf_counter()
+        assert not list(pattern.finditer(text))
+        return time.perf_counter() - began
+
+    assert seconds(TOKEN) < 10 * min(seconds(re.compile("<(?:a|b)")) for _ in range(3)) + 0.05
