@@ -163,3 +163,16 @@ def test_error_classes(spark):
     assert {tuple(r) for r in Q.error_classes(frame).collect()} == {
         ("ok", 1), ("rate_limited", 2), ("failed", 2),
     }
+
+
+def test_texts_do_not_travel_to_meet_replies(spark):
+    rows = [("a1", "s", 0, 0, "T1", "", "One. Two.", "", None), ("a2", "s", 0, 1, "T2", "", None, "", None)]
+    articles = spark.createDataFrame(rows, ARTICLES)
+    members = spark.createDataFrame([("q", 1, "a1"), ("q", 2, "a2")], "request_id string, id int, article_id string")
+    parsed = spark.createDataFrame([("q", 2, " said ")], "request_id string, id bigint, summary string")
+    found = Q.attach_summaries(articles, members, parsed).select("article_id", "summary", "summary_source")
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "description" not in above and "split" not in above
+    assert sorted(tuple(row) for row in found.collect()) == [
+        ("a1", "One.\nTwo.\nAdditional details are awaited.", "fallback"), ("a2", "said", "reply"),
+    ]

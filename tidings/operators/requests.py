@@ -129,13 +129,15 @@ def attach_summaries(
         "article_id", F.col("summary").alias("_reply")
     )
     given = T.strip(F.col("_reply"))
-    filled = T.summary_or_fallback(given, F.col("title"), F.col("description"))
+    # Made before the join, so that a few lines travel where a caller does not keep the texts.
+    fallback = T.fallback_summary(T.details(F.col("title"), F.col("description")))
     origin = F.when(T.or_else(given, F.lit(None)).isNotNull(), "reply").otherwise("fallback")
     return (
-        articles.join(replied, "article_id", "left")
-        .withColumn("summary", filled)
+        articles.withColumn("_fallback", fallback)
+        .join(replied, "article_id", "left")
+        .withColumn("summary", T.or_else(given, F.col("_fallback")))
         .withColumn("summary_source", origin)
-        .drop("_reply")
+        .drop("_reply", "_fallback")
     )
 
 
