@@ -131,3 +131,11 @@ def test_sketch_is_bounded():
     assert filter_audit.sketch_bits(0) == filter_audit.FEWEST_BITS
     assert filter_audit.sketch_bits(1 << 50) == filter_audit.MOST_BITS
     assert in_bitmap(np.zeros(1 << 10, np.uint64), np.zeros(1, np.uint64), 16).tolist() == [False]
+
+
+def test_filters_of_rows_the_sketch_clears_are_not_evaluated_again(spark):
+    rows = [(1, "s", "a a"), (2, "s", "once"), (3, "s", "a a"), (None, "s", "a a")]
+    texts = spark.createDataFrame(rows, "id long, part string, text string").withColumn("hash", F.xxhash64("text"))
+    # The rows come without their mask, which only those that may repeat are given.
+    found = filter_audit.later_copies(texts, texts.select("hash")).collect()
+    assert [tuple(row) for row in found] == [(3, "s", 3)]

@@ -84,7 +84,7 @@ def may_repeat(crowded: np.ndarray, hash_: Column, bits: int) -> Column:
 
 
 def later_copies(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (id, part, mask, hash, text) whose text has a row of a smaller id.
+    """The rows of ``texts`` (id, part, hash, text) whose text has a row of a smaller id, with their mask.
 
     ``marked`` has the hashes of all rows. Rows that the sketch clears are never shuffled. Of the
     others each task sends every text once, with its least id; the rows that are no least ones are
@@ -93,7 +93,8 @@ def later_copies(texts: DataFrame, marked: DataFrame) -> DataFrame:
     bits = sketch_bits(marked.count())
     crowded = crowded_slots(marked, "hash", bits)
     kept = texts.where(may_repeat(crowded, F.col("hash"), bits) & F.col("id").isNotNull())
-    kept = pin(kept.select("id", "part", "mask", "text"), "repeats")
+    # The filters of the rows that the sketch clears are not evaluated again.
+    kept = pin(kept.select("id", "part", own_filters(F.col("text")).alias("mask"), "text"), "repeats")
     first = kept.groupBy("text").agg(F.min("id").alias("id"))
     first = first.select("id", F.sha2("text", 256).alias("digest"))
     found = kept.select("id", "part", "mask", F.sha2("text", 256).alias("digest"))
@@ -121,8 +122,7 @@ def mask_counts(
     )
     own = texts.select("id", "part", own_filters(F.col("text")).alias("mask"), F.xxhash64("text").alias("hash"))
     marked = pin(own, "masks")
-    texts = texts.withColumn("hash", F.xxhash64("text")).withColumn("mask", own_filters(F.col("text")))
-    copies = later_copies(texts, marked)
+    copies = later_copies(texts.withColumn("hash", F.xxhash64("text")), marked)
     # A later copy leaves the count without the repeat bit and enters the one with it.
     changes = [
         marked.select("id", "part", "mask", F.lit(1).alias("n")),
