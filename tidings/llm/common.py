@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -45,6 +46,25 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield start, stop, texts[start:stop]
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, giving the memory it has freed back to the system at its end.
+
+    A worker process runs task after task and would otherwise keep what its largest one took.
+    """
+
+    def run_and_release(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            # Only the C library of GNU has it.
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run_and_release
+
+
 def with_text_columns(
     docs: DataFrame,
     text_col: str,
@@ -72,7 +92,7 @@ def with_text_columns(
                 new = [pa.array(one, kind) for one, kind in zip(compute(texts), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, *made])
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(released(run), schema)
 
 
 @cache

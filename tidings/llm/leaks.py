@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import (
     STEP, WIDE, Words, bitmap, byte_slices, fresh_name, in_bitmap, lists, mixed, powers,
+    released,
 )
 from tidings.llm.near import SIMILARITY
 from tidings.session import pin
@@ -89,7 +90,7 @@ def _benchmark_words(items: DataFrame, text_col: str, id_col: str) -> DataFrame:
         .agg(F.min(id_col).alias("item"), F.count(F.lit(1)).alias("copies"))
         .select("item", "copies", "text")
     )
-    found = texts.mapInArrow(run, f"item {kind}, copies long, words array<long>")
+    found = texts.mapInArrow(released(run), f"item {kind}, copies long, words array<long>")
     return found.where(F.size("words") > 0).withColumn("key", F.monotonically_increasing_id())
 
 
@@ -149,7 +150,7 @@ def _segments(
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
     schema = f"doc {kind}, first long, words array<long>, seeds array<long>, places array<long>"
-    return texts.mapInArrow(run, schema).withColumn("segment", F.monotonically_increasing_id())
+    return texts.mapInArrow(released(run), schema).withColumn("segment", F.monotonically_increasing_id())
 
 
 def _overlay(least: int, share: float):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import (
     BYTE_HASH, STEP, STEP_BACK, WIDE, bitmap, byte_slices, in_bitmap, lists, mixed, powers,
+    released,
 )
 from tidings.llm.graph import components
 from tidings.session import pin
@@ -145,7 +146,7 @@ def sketches(texts: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc", "hi", "lo", "size", "marks"])
 
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc {kind}, hi long, lo long, size long, marks array<long>")
+    return texts.mapInArrow(released(run), f"doc {kind}, hi long, lo long, size long, marks array<long>")
 
 
 def full_sets(texts: DataFrame, classes: DataFrame, words: int, count: int) -> DataFrame:
@@ -179,7 +180,7 @@ def full_sets(texts: DataFrame, classes: DataFrame, words: int, count: int) -> D
 
     chosen = texts.where(may_be_wanted(F.xxhash64("doc")))
     chosen = chosen.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")), "left_semi")
-    made = chosen.mapInArrow(run, f"doc {kind}, hi long, lo long, shingles array<long>, signature array<tinyint>")
+    made = chosen.mapInArrow(released(run), f"doc {kind}, hi long, lo long, shingles array<long>, signature array<tinyint>")
     known = classes.select("rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "first_doc")
     same = (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))
     known = F.broadcast(known) if classes.count() <= FEW_PAIRS else known

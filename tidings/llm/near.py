@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.common import (
-    STEP, WIDE, Words, byte_slices, fresh_name, lists, mixed, powers,
+    STEP, WIDE, Words, byte_slices, fresh_name, lists, mixed, powers, released,
 )
 from tidings.llm.graph import components
 from tidings.session import pin
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame, text_col: str, id_col: str, words: int, rows: int, b
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc {kind}, hi long, lo long, size long, bands array<long>")
+    return texts.mapInArrow(released(run), f"doc {kind}, hi long, lo long, size long, bands array<long>")
 
 
 def _ngram_sets(docs: DataFrame, classes: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _ngram_sets(docs: DataFrame, classes: DataFrame, text_col: str, id_col: str,
     texts = docs.select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
     wanted = classes.select(F.col("first_doc").alias("wanted")).distinct()
     chosen = texts.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")), "left_semi")
-    made = chosen.mapInArrow(run, f"doc {kind}, hi long, lo long, ngrams array<long>")
+    made = chosen.mapInArrow(released(run), f"doc {kind}, hi long, lo long, ngrams array<long>")
     of = classes.withColumnsRenamed({"hi": "_hi", "lo": "_lo"})
     same = (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))
     return made.join(of, same & F.col("doc").eqNullSafe(F.col("first_doc"))).select(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import byte_slices
+from tidings.llm.common import byte_slices, released
 from tidings.llm.encode import encoder, with_end
 
 CAPACITY = 4096
@@ -174,7 +174,7 @@ def pack(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return dealt.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} long" for name in NAMES))
+    return dealt.mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{name} long" for name in NAMES))
 
 
 NAMES = [

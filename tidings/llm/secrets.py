@@ -16,7 +16,7 @@ from math import log10
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidings.llm.common import with_text_columns
+from tidings.llm.common import released, with_text_columns
 
 # Fixed values of the base patterns.
 KINDS = ("assign", "access", "hex")
@@ -296,7 +296,7 @@ def redact(
                     batch = batch.set_column(count, names[count], pa.array(new, old.type))
             yield batch
 
-    return docs.mapInArrow(hide, docs.schema)
+    return docs.mapInArrow(released(hide), docs.schema)
 
 
 def _blotted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:

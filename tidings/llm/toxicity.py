@@ -25,7 +25,7 @@ from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import held_out, letters, text_slices, with_text_columns
+from tidings.llm.common import held_out, letters, released, text_slices, with_text_columns
 from tidings.session import pin
 
 # Bounds of the labelled sample, by label.
@@ -442,7 +442,7 @@ def filter_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
                 clean = _chances(features(texts, *machine), model) < 0.5
                 yield batch.slice(start, stop - start).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def _chances(sums: np.ndarray, model: Model) -> np.ndarray:
