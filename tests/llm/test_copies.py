@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidings.llm import imatch, leaks, near, spans
+from tidings import session
+from tidings.llm import graph, imatch, leaks, near, spans
 from tidings.llm.graph import components
 
 SCHEMA = "doc_id long, text string"
@@ -112,6 +113,54 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def least_of_each(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("few", [graph.FEW_KNOTS, -1])
+def test_components_take_one_shuffle_a_table(spark, monkeypatch, few):
+    """A step of a crowd, of copies of edges and of a node below many; with and without broadcasts."""
+    shuffles = []
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(plan.count("Exchange hashpartitioning"))
+        return session.pin(df, name)
+
+    monkeypatch.setattr(graph, "pin", counted)
+    monkeypatch.setattr(graph, "FEW_KNOTS", few)
+    random_ = random.Random(4)
+    edges = [(random_.randrange(400), 400 + random_.randrange(200)) for _ in range(500)] * 2
+    edges += [(999, 1000 + k) for k in range(50)] + [(1000 + k, 2000) for k in range(50)] + [(7, None)]
+    found = [tuple(row) for row in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(found) == sorted(least_of_each(edge for edge in edges if None not in edge).items())
+    # A plain join shuffles both its sides; the tables it joins are written.
+    assert max(shuffles) <= (1 if few > 0 else 2)
+
+
+def test_stars_are_seen_to_be_stars(spark, monkeypatch):
+    """Neither stars nor what a step makes stars take another step to find out."""
+    written = []
+    monkeypatch.setattr(graph, "pin", lambda df, name: written.append(name) or session.pin(df, name))
+    stars = [(1, 5), (1, 9), (3, 8), (3, 8), (4, 4)]
+    assert sorted(map(tuple, components(spark.createDataFrame(stars, "a long, b long")).collect())) == [(5, 1), (8, 3), (9, 1)]
+    assert written == ["edges", "knots"]
+    written.clear()
+    found = components(spark.createDataFrame([(1, 5), (2, 5)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(2, 1), (5, 1)]
+    assert written == ["edges", "knots", "edges", "knots", "edges"]
+
+
 def test_leaks(spark):
     random_ = random.Random(9)
     items = [prose(random_, size) for size in (40, 30, 20, 8, 3)] + [None, "", "!!"]

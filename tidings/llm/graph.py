@@ -7,41 +7,58 @@ from pyspark.sql import functions as F
 
 from tidings.session import pin
 
+# Nodes to look up, of 16 bytes each, that are sent to every executor.
+FEW_KNOTS = 1 << 16
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges`` that is not the root, its component's least node.
 
-    Large-star and small-star steps (Kiveris et al.) alternate until the edges are stars. Least
-    neighbours are partially aggregated and written before they are joined back: Spark then knows
-    their size and broadcasts them while small, and beyond that both sides of the join are plain
-    shuffles, of which adaptive execution splits a node with very many edges. Nothing but two
-    numbers per round reaches the driver.
+    Large-star and small-star steps (Kiveris et al.) alternate until the edges are stars, and end as
+    soon as they are. A step looks up only the nodes that keep them from being stars (``_knots``):
+    these are partially aggregated in one shuffle, written, and broadcast while few; beyond that both
+    sides of the join are plain shuffles, of which adaptive execution splits a node with very many
+    edges. A step makes one edge of each edge. Nothing but two numbers per step reaches the driver.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = pin(now.where("u > v").distinct(), "edges")
-    before = None
+    large, steps = False, 0
     while True:
-        state = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if tuple(state) == before or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(state)
-        now = pin(_small_star(_large_star(now)), "edges")
+        knots = pin(_knots(now), "knots")
+        inner, torn = knots.agg(F.count_if("inner"), F.count_if("torn")).first()
+        if not inner and not torn:
+            stars = pin(now.distinct(), "edges") if steps else now
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = bool(inner) and not (large and torn)
+        chosen = knots.where("inner" if large else "torn").select("x", "least")
+        if (inner if large else torn) <= FEW_KNOTS:
+            chosen = F.broadcast(chosen)
+        now = pin(_large_star(now, chosen) if large else _small_star(now, chosen), "edges")
+        steps += 1
+
+
+def _knots(edges: DataFrame) -> DataFrame:
+    """x and its ``least`` neighbour, for the nodes with lesser neighbours that have greater ones as
+    well (``inner``) or several lesser ones (``torn``)."""
+    below = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
+    above = edges.select(F.col("v").alias("x"), F.lit(None).cast(edges.schema["v"].dataType).alias("y"))
+    nodes = below.unionAll(above).groupBy("x").agg(
+        F.min("y").alias("least"),
+        F.bool_or(F.col("y").isNull()).alias("inner"),
+        (F.min("y") < F.max("y")).alias("torn"),
+    )
+    return nodes.where("least IS NOT NULL AND (inner OR torn)")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, inner: DataFrame) -> DataFrame:
     """Tie the greater neighbours of every node to the least of it and its neighbours."""
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = pin(least.select("u", F.least("u", "m").alias("m")), "least")
-    tied = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.distinct()
+    return edges.join(inner, F.col("v") == F.col("x"), "left").select("u", F.coalesce("least", "v").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, torn: DataFrame) -> DataFrame:
     """Tie the lesser neighbours of every node, and the node, to the least of them."""
-    least = pin(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-    tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    nodes = least.select("u", F.col("m").alias("v"))
-    return tied.where("u > v").unionAll(nodes).distinct()
+    moved = F.col("v") > F.col("least")
+    return edges.join(torn, F.col("u") == F.col("x"), "left").select(
+        F.when(moved, F.col("v")).otherwise(F.col("u")).alias("u"),
+        F.when(moved, F.col("least")).otherwise(F.col("v")).alias("v"),
+    )
