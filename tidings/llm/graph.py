@@ -16,24 +16,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps (Kiveris et al.) alternate until the edges are stars, and end as
     soon as they are. A step looks up only the nodes that keep them from being stars (``_knots``):
-    these are partially aggregated in one shuffle, written, and broadcast while few; beyond that both
-    sides of the join are plain shuffles, of which adaptive execution splits a node with very many
-    edges. A step makes one edge of each edge. Nothing but two numbers per step reaches the driver.
+    these are partially aggregated in one shuffle, cached for the step, and broadcast while few; many are
+    written, so that both sides of the join are plain shuffles, of which adaptive execution splits a node
+    with very many edges. A step makes one edge of each edge and writes them; the last ones are made
+    distinct whenever the result is read. Nothing but two numbers per step reaches the driver.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = pin(now.where("u > v").distinct(), "edges")
     large, steps = False, 0
     while True:
-        knots = pin(_knots(now), "knots")
-        inner, torn = knots.agg(F.count_if("inner"), F.count_if("torn")).first()
-        if not inner and not torn:
-            stars = pin(now.distinct(), "edges") if steps else now
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        large = bool(inner) and not (large and torn)
-        chosen = knots.where("inner" if large else "torn").select("x", "least")
-        if (inner if large else torn) <= FEW_KNOTS:
-            chosen = F.broadcast(chosen)
-        now = pin(_large_star(now, chosen) if large else _small_star(now, chosen), "edges")
+        knots = _knots(now).persist()
+        try:
+            inner, torn = knots.agg(F.count_if("inner"), F.count_if("torn")).first()
+            if not inner and not torn:
+                stars = now.distinct() if steps else now
+                return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            large = bool(inner) and not (large and torn)
+            chosen = knots.where("inner" if large else "torn").select("x", "least")
+            # Read back, many are shuffled anew: only then does Spark split the other side.
+            many = (inner if large else torn) > FEW_KNOTS
+            chosen = pin(chosen, "knots") if many else F.broadcast(chosen)
+            now = pin(_large_star(now, chosen) if large else _small_star(now, chosen), "edges")
+        finally:
+            knots.unpersist()
         steps += 1
 
 

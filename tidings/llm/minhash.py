@@ -251,7 +251,7 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
         return roots
     if roots is not None:
         links = links.unionAll(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    return components(links).withColumnRenamed("node", "rep")
+    return pin(components(links).withColumnRenamed("node", "rep"), "roots")
 
 
 def find_roots(

@@ -261,7 +261,7 @@ def near_duplicates(
     roots = tied.select("root").distinct().select(F.col("root").alias("rep"), F.col("root").alias("component"))
     members = tied.select(F.col("node").alias("rep"), F.col("root").alias("component")).unionAll(roots)
     known = reps.select("rep", "hi", "lo", "copies", "first_doc", "size")
-    members = pin(members.join(known, "rep"), "components")
+    members = members.join(known, "rep").persist()
     tiles = F.greatest(F.count(F.lit(1)) / tile, F.sum("size") / tile_ngrams)
     sizes = members.groupBy("component").agg(F.ceil(tiles).cast("int").alias("tiles"))
     chosen = (
@@ -269,7 +269,9 @@ def near_duplicates(
         .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         .select("rep", "component", "tiles", "tile", "copies", "hi", "lo", "first_doc")
     )
-    sets = _ngram_sets(docs, pin(chosen, "candidates"), text_col, id_col, words)
+    candidates = pin(chosen, "candidates")
+    members.unpersist()
+    sets = _ngram_sets(docs, candidates, text_col, id_col, words)
     keys = ["component", "low", "high"]
     pairs = (
         sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
